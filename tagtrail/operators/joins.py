@@ -1,0 +1,23 @@
+"""Join helpers: broadcast only behind a bounded size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Default row bound under which a lookup side (catalogue, tag map, grid) is
+# broadcast. Beyond it the join is left to the planner and AQE, which
+# still converts a shuffle join to a broadcast at runtime when the
+# materialised side is small.
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def has_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows. Reads at most
+    ``max_rows + 1`` rows, so the check is cheap even on a huge input."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast hint for ``df`` only when its row count is proven small."""
+    return F.broadcast(df) if has_at_most(df, max_rows) else df

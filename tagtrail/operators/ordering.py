@@ -1,0 +1,67 @@
+"""Positions inside ordered groups without putting a whole group in one task.
+
+A ``Window.partitionBy(key)`` sends every row of a key to one task; a single
+hot session (say a third of all rows) would then be sorted by one core. Here
+the rows are range-partitioned on (keys, order) instead, so a hot group is cut
+into several contiguous, sorted slices. Each row gets a per-partition running
+id; a small table of (group, partition) counts -- at most one row per group
+per partition it touches -- turns that into the exact position in the group.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]):
+    cond = None
+    for c in cols:
+        e = left[c].eqNullSafe(right[c])
+        cond = e if cond is None else cond & e
+    return cond
+
+
+def ordered_position(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], pos_col: str = "pos"
+) -> DataFrame:
+    """Add ``pos_col``: 1-based row number inside ``keys`` ordered by ``order``.
+
+    ``order`` must make rows unique inside a group (add a sequence column as
+    the last tie-breaker), which keeps the result deterministic on re-runs.
+    """
+    keys, order = list(keys), list(order)
+    cols = keys + order
+    tagged = (
+        df.repartitionByRange(*cols)
+        .sortWithinPartitions(*cols)
+        .select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_mid"))
+    )
+    per_slice = tagged.groupBy(*keys, "_part").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")
+    )
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    per_slice = per_slice.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    s = per_slice.alias("s")
+    t = tagged.alias("t")
+    joined = t.join(s, _null_safe_on(t, s, keys + ["_part"]))
+    return joined.select(
+        *[F.col("t." + c) for c in df.columns],
+        (F.col("s._offset") + F.col("t._mid") - F.col("s._first") + 1).alias(pos_col),
+    )
+
+
+def previous_in_group(
+    positioned: DataFrame, keys: Sequence[str], value_cols: Sequence[str], pos_col: str = "pos", prefix: str = "prev_"
+) -> DataFrame:
+    """Attach the values of the previous row of the same group (a skew-safe
+    ``lag``): a self-join on the unique key (keys, position)."""
+    keys = list(keys)
+    prev = positioned.select(
+        *keys, (F.col(pos_col) + 1).alias(pos_col), *[F.col(c).alias(prefix + c) for c in value_cols]
+    )
+    a, b = positioned.alias("a"), prev.alias("b")
+    joined = a.join(b, _null_safe_on(a, b, keys + [pos_col]), "left")
+    return joined.select("a.*", *[F.col("b." + prefix + c) for c in value_cols])

@@ -31,3 +31,7 @@ SELECT split, count(*) AS n_orders,
 FROM rk GROUP BY split""",
     "fx_next_last",
 )
+
+from .oracle_prep import O as _prep  # noqa: E402
+
+ORACLE.update(_prep)

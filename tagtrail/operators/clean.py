@@ -94,6 +94,12 @@ def clean_loads(raw: DataFrame, domain: str = C.FIXTURE_DOMAIN, families: dict[s
     return drop_consecutive_duplicates(pre_dedup_loads(raw, domain, families))
 
 
+def _stage(no: int, name: str, kept: str, prev: str) -> F.Column:
+    return F.struct(
+        F.lit(no).alias("stage_no"), F.lit(name).alias("stage"), F.col(kept).alias("n_kept"), F.col(prev).alias("n_prev")
+    )
+
+
 def clean_stage_report(raw: DataFrame, domain: str = C.FIXTURE_DOMAIN, families: dict[str, str] | None = None) -> DataFrame:
     """F8: rows kept / dropped per cleaning stage, percent of the ORIGINAL
     count. One pass over the flags for the row-local stages, one for W2."""
@@ -109,11 +115,11 @@ def clean_stage_report(raw: DataFrame, domain: str = C.FIXTURE_DOMAIN, families:
     n4 = clean_loads(raw, domain, families).agg(F.count(F.lit(1)).alias("n4"))
     both = counts.crossJoin(n4)  # two one-row aggregates
     stages = F.array(
-        F.struct(F.lit(0).alias("stage_no"), F.lit("raw").alias("stage"), F.col("n0").alias("n_kept"), F.col("n0").alias("n_prev")),
-        F.struct(F.lit(1), F.lit("self_referral"), F.col("n1"), F.col("n0")),
-        F.struct(F.lit(2), F.lit("domain"), F.col("n2"), F.col("n1")),
-        F.struct(F.lit(3), F.lit("page_family"), F.col("n3"), F.col("n2")),
-        F.struct(F.lit(4), F.lit("consecutive_duplicates"), F.col("n4"), F.col("n3")),
+        _stage(0, "raw", "n0", "n0"),
+        _stage(1, "self_referral", "n1", "n0"),
+        _stage(2, "domain", "n2", "n1"),
+        _stage(3, "page_family", "n3", "n2"),
+        _stage(4, "consecutive_duplicates", "n4", "n3"),
     )
     out = both.select(F.col("n0"), F.inline(stages))
     return out.select(
@@ -187,9 +193,9 @@ def purchase_stage_report(raw: DataFrame) -> DataFrame:
     n12 = dedup.agg(F.count(F.lit(1)).alias("n1"), F.count_if(F.size("products") > 0).alias("n2"))
     both = n0.crossJoin(n12)
     stages = F.array(
-        F.struct(F.lit(0).alias("stage_no"), F.lit("raw").alias("stage"), F.col("n0").alias("n_kept"), F.col("n0").alias("n_prev")),
-        F.struct(F.lit(1), F.lit("duplicate_orders"), F.col("n1"), F.col("n0")),
-        F.struct(F.lit(2), F.lit("empty_orders"), F.col("n2"), F.col("n1")),
+        _stage(0, "raw", "n0", "n0"),
+        _stage(1, "duplicate_orders", "n1", "n0"),
+        _stage(2, "empty_orders", "n2", "n1"),
     )
     return both.select("n0", F.inline(stages)).select(
         "stage_no",

@@ -23,3 +23,10 @@ def register(name: str):
 @register("baseline_metrics")
 def q_baseline_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.baseline_metrics(spark, sf)
+
+
+def _load_all() -> None:
+    from . import q_prep  # noqa: F401
+
+
+_load_all()

@@ -35,3 +35,7 @@ FROM rk GROUP BY split""",
 from .oracle_prep import O as _prep  # noqa: E402
 
 ORACLE.update(_prep)
+
+from .oracle_eval import O as _eval  # noqa: E402
+
+ORACLE.update(_eval)

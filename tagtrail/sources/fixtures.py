@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read_table
+from .tables import read_table  # noqa: F401  (re-exported)
 
 EPOCH_2024_US = 1704067200000000
 WEEK_US = 7 * 86400 * 1000000

@@ -90,17 +90,18 @@ cte("fx_purchases_raw", """SELECT 'shop' AS web_id, 'purchase' AS event_type, ev
 FROM fx_ev e JOIN (SELECT 0 AS copy UNION ALL SELECT 1) c ON c.copy = 0 OR e.event_id % 23 = 0
 WHERE _etype = 'purchase'""", ["fx_ev"])
 
-cte("fx_products", "SELECT p_partkey AS pid FROM part WHERE p_partkey < 100 AND p_partkey % 10 <> 9")
+cte("fx_products", """SELECT p_partkey AS pid FROM part WHERE p_size <= 45
+  AND p_partkey IN (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) FROM events)""")
 
 cte("fx_tags", """SELECT p_partkey AS pid, list_concat(string_split(p_name, ' '), [p_brand, p_type]) AS tags
-FROM part WHERE p_partkey < 100""")
+FROM part""")
 
 cte("fx_tag_docs", r"""SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '') AS tokens
 FROM documents""")
 
 cte("fx_predictions", """SELECT t.pid, d.lang,
-  '1. ' || array_to_string(t.tags, ', ') || chr(10) || '2. ' || substring(d.text, 1, 200) AS raw_predict
-FROM documents d JOIN fx_tags t ON d.doc_id = t.pid WHERE d.doc_id < 100""", ["fx_tags"])
+  '1. ' || array_to_string(t.tags, ', ') || chr(10) || '2. ' || d.text AS raw_predict
+FROM documents d JOIN fx_tags t ON d.doc_id = t.pid""", ["fx_tags"])
 
 cte("fx_generations", """SELECT pid, lang, '<s>[INST] tags of product ' || CAST(pid AS VARCHAR) || ' [/INST]' || raw_predict || '</s>' AS generation
 FROM fx_predictions""", ["fx_predictions"])

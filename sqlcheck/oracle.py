@@ -39,3 +39,7 @@ ORACLE.update(_prep)
 from .oracle_eval import O as _eval  # noqa: E402
 
 ORACLE.update(_eval)
+
+from .oracle_text import O as _text  # noqa: E402
+
+ORACLE.update(_text)

@@ -56,7 +56,7 @@ def clean_generation(text: str | Column) -> Column:
     (case-insensitive). Text without the marker gives ''."""
     out = F.split_part(_c(text), F.lit(C.INST_CLOSE), F.lit(2))
     for pat in C.GENERATION_MARKERS:
-        out = F.regexp_replace(out, "(?i)" + pat, "")
+        out = F.regexp_replace(out, "(?iU)" + pat, "")
     return out
 
 

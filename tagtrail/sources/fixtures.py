@@ -104,19 +104,17 @@ def purchases_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fx_products: the available catalogue (p_partkey < 100, not ending in 9)."""
-    return (
-        read_table(spark, sf_dir, "part")
-        .where((F.col("p_partkey") < 100) & (F.col("p_partkey") % 10 != 9))
-        .select(F.col("p_partkey").alias("pid"))
-    )
+    """fx_products: the available catalogue -- parts the click log refers to
+    (the ``k`` of an event) that are in stock (p_size <= 45)."""
+    seen = read_table(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").cast("bigint").alias("p_partkey"))
+    part = read_table(spark, sf_dir, "part").where(F.col("p_size") <= 45).select("p_partkey")
+    return part.join(seen, "p_partkey", "left_semi").select(F.col("p_partkey").alias("pid"))
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fx_tags: pid -> words of p_name, then p_brand, then p_type."""
+    """fx_tags: pid -> words of p_name, then p_brand, then p_type (every part)."""
     return (
         read_table(spark, sf_dir, "part")
-        .where(F.col("p_partkey") < 100)
         .select(
             F.col("p_partkey").alias("pid"),
             F.concat(F.split("p_name", " "), F.array("p_brand", "p_type")).alias("tags"),
@@ -134,14 +132,13 @@ def tag_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fx_predictions: pid -> generated-looking text (tag line + free text)."""
-    docs = read_table(spark, sf_dir, "documents").where(F.col("doc_id") < 100).select("doc_id", "text", "lang")
+    """fx_predictions: pid -> generated-looking text (numbered tag line, then
+    the whole document whose id equals the product id)."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return docs.join(tags(spark, sf_dir), docs.doc_id == F.col("pid")).select(
         "pid",
         "lang",
-        F.concat(
-            F.lit("1. "), F.array_join("tags", ", "), F.lit("\n2. "), F.substring("text", 1, 200)
-        ).alias("raw_predict"),
+        F.concat(F.lit("1. "), F.array_join("tags", ", "), F.lit("\n2. "), F.col("text")).alias("raw_predict"),
     )
 
 

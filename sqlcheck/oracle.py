@@ -43,3 +43,7 @@ ORACLE.update(_eval)
 from .oracle_text import O as _text  # noqa: E402
 
 ORACLE.update(_text)
+
+from .oracle_sft import O as _sft  # noqa: E402
+
+ORACLE.update(_sft)

@@ -47,3 +47,7 @@ ORACLE.update(_text)
 from .oracle_sft import O as _sft  # noqa: E402
 
 ORACLE.update(_sft)
+
+from .oracle_sim import O as _sim  # noqa: E402
+
+ORACLE.update(_sim)

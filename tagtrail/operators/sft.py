@@ -161,8 +161,9 @@ def shuffle_rank(df: DataFrame, key: Sequence[str], seed: int = 0) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """N rows in a seeded random order (a top-n by hash, not a full sort)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """N rows in a seeded random order: the n smallest md5(key:seed)
+    (a top-n, planned as TakeOrderedAndProject -- no full sort)."""
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(n)
 
 
 def with_configs(prompts: DataFrame, configs: list[dict]) -> DataFrame:

@@ -147,3 +147,5 @@ O["expand_purchases"] = W(
        FROM fx_merged, unnest(products) u(p)""", "fx_merged")
 O["loaded_only_sequences"] = W(
     "SELECT order_id, uuid_ind, array_to_string(loaded_pids, ',') AS seq FROM fx_merged WHERE len(loaded_pids) >= 2", "fx_merged")
+O["stream_clean_loads"] = W("SELECT seq, uuid_ind, session_id, url_path, item_id, item_type FROM fx_loads_pre", "fx_loads_pre")
+O["stream_session_counts"] = W("SELECT uuid_ind, session_id, count(*) AS n_loads FROM fx_loads_pre GROUP BY 1, 2", "fx_loads_pre")

@@ -26,7 +26,7 @@ def q_baseline_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _load_all() -> None:
-    from . import q_eval, q_prep, q_sft, q_sim, q_text  # noqa: F401
+    from . import q_eval, q_prep, q_sft, q_sim, q_stream, q_text  # noqa: F401
 
 
 _load_all()

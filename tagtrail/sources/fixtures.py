@@ -27,7 +27,11 @@ def epoch_us(ts: str | Column) -> Column:
 
 
 def _events(spark: SparkSession, sf_dir: str, types: list[str]) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events").where(F.col("event_type").isin(types))
+    return _event_rows(read_table(spark, sf_dir, "events"), types)
+
+
+def _event_rows(events: DataFrame, types: list[str]) -> DataFrame:
+    ev = events.where(F.col("event_type").isin(types))
     return ev.select(
         F.col("event_id"),
         F.col("event_type").alias("_etype"),
@@ -42,7 +46,12 @@ def _events(spark: SparkSession, sf_dir: str, types: list[str]) -> DataFrame:
 
 def loads_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fx_loads_raw: page loads (view / click events) with shop URLs."""
-    ev = _events(spark, sf_dir, ["view", "click"])
+    return loads_raw_from(read_table(spark, sf_dir, "events"))
+
+
+def loads_raw_from(events: DataFrame) -> DataFrame:
+    """fx_loads_raw over any events DataFrame (batch or streaming)."""
+    ev = _event_rows(events, ["view", "click"])
     url_now = F.expr(
         """case when event_id % 11 = 0 then 'https://mob.shop.example/member.php?x=1'
                 when event_id % 13 = 0 then concat('https://other.example/cheap_', cast(_k as string), '.html')

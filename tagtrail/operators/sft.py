@@ -135,8 +135,11 @@ def token_labels(records: DataFrame, key: Sequence[str], system_instruction: str
     the ids; attention_mask all ones (the reference also masks padding in;
     ``true_mask`` zeroes it). ``reference_prompt_padding`` reproduces the
     reference's padded prompt count (every label becomes -100)."""
+    from ..session import cut_lineage
+
     key = list(key)
-    rec = records.select(*key, prompt_text(system_instruction).alias("_prompt"), "output")
+    # used four times below: materialise once
+    rec = cut_lineage(records.select(*key, prompt_text(system_instruction).alias("_prompt"), "output"), "sft_records")
     if vocab is None:
         vocab = build_vocab(rec.select(F.concat_ws(" ", "_prompt", "output").alias("text")))
     p = _ids(rec, key, "_prompt", vocab, "_pi")

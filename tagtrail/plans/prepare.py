@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..operators import clean, orders as O
+from ..session import cut_lineage
 from ..sources import fixtures as fx
 
 ORDER_COLS = ["order_id", "uuid_ind", "session_id", "timestamp", "seq", "products"]
@@ -31,15 +32,44 @@ def clean_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.clean_purchases(fx.purchases_raw(spark, sf_dir))
 
 
-def prepare(spark: SparkSession, sf_dir: str, domain: str = C.FIXTURE_DOMAIN, split: bool = True) -> Prepared:
-    cat = fx.products(spark, sf_dir)
+_PREPARED: dict[tuple, Prepared] = {}
+
+
+def build(spark: SparkSession, sf_dir: str, domain: str = C.FIXTURE_DOMAIN, cat: DataFrame | None = None,
+          split: bool = True) -> Prepared:
+    """The preparation plan, not materialised."""
+    cat = fx.products(spark, sf_dir) if cat is None else cat
     loads = O.restrict_loads_to_catalogue(clean_loads(spark, sf_dir, domain), cat)
     loads = O.position_loads(loads)
     purchases = O.restrict_products(clean_purchases(spark, sf_dir).select(*ORDER_COLS), cat)
     merged = O.attach_preceding_loads(purchases, loads)
+    return Prepared(loads, purchases, O.time_split(merged) if split else merged, cat)
+
+
+def prepare(spark: SparkSession, sf_dir: str, domain: str = C.FIXTURE_DOMAIN, split: bool = True,
+            materialize: bool = True) -> Prepared:
+    """Prepared tables. With ``materialize`` the cleaned loads and the
+    merged orders are written once as Parquet tables in the shared
+    checkpoint folder (as the reference persists its cleaned tables) and every
+    later job of this application reads them instead of re-running the
+    cleaning, the window and the join."""
+    if not materialize:
+        p = build(spark, sf_dir, domain)
+    else:
+        key = (spark.sparkContext.applicationId, sf_dir, domain)
+        if key not in _PREPARED:
+            cat = cut_lineage(fx.products(spark, sf_dir), "catalogue")
+            b = build(spark, sf_dir, domain, cat, split=False)
+            loads = cut_lineage(b.loads, "prepared_loads")
+            # orders are written before the split: the split bounds are a
+            # one-row aggregate over this small table, not a second run of
+            # the cleaning and the join
+            merged = O.time_split(cut_lineage(O.attach_preceding_loads(b.purchases, loads), "prepared_orders"))
+            _PREPARED[key] = Prepared(loads, b.purchases, merged, cat)
+        p = _PREPARED[key]
     if split:
-        merged = O.time_split(merged)
-    return Prepared(loads, purchases, merged, cat)
+        return p
+    return Prepared(p.loads, p.purchases, p.merged.drop("split"), p.catalogue)
 
 
 def merged_orders(spark: SparkSession, sf_dir: str, split: bool = True) -> DataFrame:

@@ -149,3 +149,6 @@ O["loaded_only_sequences"] = W(
     "SELECT order_id, uuid_ind, array_to_string(loaded_pids, ',') AS seq FROM fx_merged WHERE len(loaded_pids) >= 2", "fx_merged")
 O["stream_clean_loads"] = W("SELECT seq, uuid_ind, session_id, url_path, item_id, item_type FROM fx_loads_pre", "fx_loads_pre")
 O["stream_session_counts"] = W("SELECT uuid_ind, session_id, count(*) AS n_loads FROM fx_loads_pre GROUP BY 1, 2", "fx_loads_pre")
+O["order_preceding_loads_long"] = W(
+    """SELECT o.order_id, l.pos, l.seq, l.item_id FROM fx_purchases_cat o JOIN fx_loads_final l
+  ON o.uuid_ind = l.uuid_ind AND o.session_id = l.session_id AND l."timestamp" <= o."timestamp\"""", "fx_purchases_cat", "fx_loads_final")

@@ -301,3 +301,10 @@ def q_concat_purchases(spark: SparkSession, sf: str) -> DataFrame:
 def q_loaded_only_sequences(spark: SparkSession, sf: str) -> DataFrame:
     e = expand.loaded_only_sequences(prepare(spark, sf).merged)
     return e.select("order_id", "uuid_ind", _ids("seq").alias("seq"))
+
+
+@register("order_preceding_loads_long")
+def q_order_preceding_loads_long(spark: SparkSession, sf: str) -> DataFrame:
+    """J1 long form: one row per (order, preceding load) -- no per-order arrays."""
+    p = prepare(spark, sf)
+    return O.preceding_loads_long(p.purchases, p.loads).select("order_id", "pos", "seq", "item_id")

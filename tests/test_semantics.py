@@ -117,3 +117,16 @@ def test_clean_generation(spark):
     df = spark.createDataFrame([("<s>[INST] q [/INST] Assistant: red, <b>blue</b></s>",), ("no marker",)], "s string")
     got = [r.c for r in df.select(T.clean_generation("s").alias("c")).collect()]
     assert got == ["  red, blue", ""]
+
+
+def test_token_labels_prompt_masking(spark):
+    from tagtrail.operators import sft
+
+    rec = spark.createDataFrame([(1, "", "1. a, b\n2.", "c d")], "order_id long, instruction string, input string, output string")
+    r = sft.token_labels(rec, ["order_id"], "sys", cutoff=32).first()
+    n_prompt = 1 + len("[INST] <<SYS>> sys <</SYS>> [/INST] 1. a, b 2.".split())
+    assert len(r.input_ids) == len(r.labels) == len(r.attention_mask) == 32
+    assert r.labels[:n_prompt] == [-100] * n_prompt and r.labels[n_prompt:n_prompt + 3] == r.input_ids[n_prompt:n_prompt + 3]
+    assert r.input_ids[n_prompt + 2] == 2 and set(r.attention_mask) == {1}
+    ref = sft.token_labels(rec, ["order_id"], "sys", cutoff=32, reference_prompt_padding=True).first()
+    assert set(ref.labels) == {-100}

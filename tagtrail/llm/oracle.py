@@ -57,3 +57,29 @@ t AS (SELECT d.*, CAST(quota // tokens AS BIGINT) AS whole, CAST(quota % tokens
 c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('mix:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM t)
 SELECT doc_id, domain, lang, source, n_tokens, CAST(whole + CASE WHEN upto <= part THEN 1 ELSE 0 END AS BIGINT) AS epochs FROM c
 UNION ALL SELECT doc_id, domain, lang, source, n_tokens, 0 FROM d WHERE n_tokens = 0"""
+
+
+def _components(pairs: str, nodes: str) -> str:
+    """CTE comp(id, component_id): smallest id reachable over pairs (a, b)."""
+    return f"""both_ways AS (SELECT a, b FROM {pairs} UNION SELECT b, a FROM {pairs}),
+reach(id, r) AS (SELECT id, id FROM {nodes} UNION SELECT reach.id, b FROM reach JOIN both_ways ON r = a),
+comp AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)"""
+
+
+ORACLE["op7_embedding_graph"] = f"""
+WITH RECURSIVE v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND list_count(e) = len(e) AND len(list_filter(e, lambda x: isfinite(x))) = len(e) AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT x.id AS a, y.id AS b FROM ok x JOIN ok y ON x.label = y.label AND len(x.e) = len(y.e) AND x.id <> y.id WHERE list_cosine_similarity(x.e, y.e) >= 0.93),
+{_components("p", "v")}
+SELECT v.id AS vec_id, coalesce(n, 0) AS n_links, component_id, v.id = component_id AS kept, CAST(1.0 AS DOUBLE) AS audited_recall
+FROM v JOIN comp USING (id) LEFT JOIN (SELECT a AS id, count(*) AS n FROM p GROUP BY a) USING (id)"""
+
+ORACLE["op8_jaccard_join"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+s AS (SELECT DISTINCT id, list_slice(w, i, i + least(len(w), 4) - 1) AS g FROM (SELECT id, w, unnest(range(1, len(w) - least(len(w), 4) + 2)) AS i FROM w WHERE len(w) > 0) x),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+o AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.id <> y.id GROUP BY x.id, y.id),
+p AS (SELECT a, b FROM o JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE 100 * k >= 85 * (na.n + nb.n - k)),
+{_components("p", "w")}
+SELECT w.id AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id, coalesce(l.n, 0) AS n_links
+FROM w JOIN comp USING (id) LEFT JOIN n USING (id) LEFT JOIN (SELECT a AS id, count(*) AS n FROM p GROUP BY a) l USING (id)"""

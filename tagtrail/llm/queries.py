@@ -8,12 +8,16 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, mixing, quality_rank, training_shards
+from . import decontaminate, embedding_graph, jaccard_join, language_id, mixing, quality_rank, token_counts, training_shards
 from .common import held_out, learnable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "tokens.n_words", "tokens.n_tokens")
+
+
 def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = language_id.fit(docs.where(learnable("doc_id", 4, 2)))
@@ -31,6 +35,10 @@ def op6_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.plan(table(spark, sf, "documents"), weights=MIX_WEIGHTS).drop("row_key")
 
 
+def op7_embedding_graph(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding_graph.near_duplicates(table(spark, sf, "embeddings"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf, "documents"), k=4, share=Fraction(85, 100)).drop("node")
 
@@ -47,5 +55,5 @@ def op10_training_shards(spark: SparkSession, sf: str) -> DataFrame:
 MIX_WEIGHTS = {"domain": {"domain0": 4, "domain1": 3, "domain2": 2}, "lang": {"en": 5, "de": 3, "fr": 2}}
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_language_id, op3_quality_rank, op6_source_mix, op8_jaccard_join, op9_decontaminate, op10_training_shards)
+    f.__name__: f for f in (op1_token_counts, op2_language_id, op3_quality_rank, op6_source_mix, op7_embedding_graph, op8_jaccard_join, op9_decontaminate, op10_training_shards)
 }

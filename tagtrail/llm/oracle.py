@@ -75,7 +75,8 @@ SELECT v.id AS vec_id, coalesce(n, 0) AS n_links, component_id, v.id = component
 FROM v JOIN comp USING (id) LEFT JOIN (SELECT a AS id, count(*) AS n FROM p GROUP BY a) USING (id)"""
 
 ORACLE["op8_jaccard_join"] = rf"""
-WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 s AS (SELECT DISTINCT id, list_slice(w, i, i + least(len(w), 4) - 1) AS g FROM (SELECT id, w, unnest(range(1, len(w) - least(len(w), 4) + 2)) AS i FROM w WHERE len(w) > 0) x),
 n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
 o AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.id <> y.id GROUP BY x.id, y.id),
@@ -83,3 +84,15 @@ p AS (SELECT a, b FROM o JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE 100
 {_components("p", "w")}
 SELECT w.id AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id, coalesce(l.n, 0) AS n_links
 FROM w JOIN comp USING (id) LEFT JOIN n USING (id) LEFT JOIN (SELECT a AS id, count(*) AS n FROM p GROUP BY a) l USING (id)"""
+
+ORACLE["op5_suffix_dedup"] = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS x, CASE WHEN 2 * i + 100 <= len(h) THEN substr(h, 2 * i + 1, 100) END AS w
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS i FROM t) u),
+m AS (SELECT w, min(doc_id) AS low FROM b WHERE w IS NOT NULL GROUP BY w HAVING min(doc_id) < max(doc_id)),
+f AS (SELECT doc_id, i, x, CASE WHEN low < doc_id THEN 1 ELSE 0 END AS gone FROM b LEFT JOIN m USING (w)),
+c AS (SELECT doc_id, i, x, max(gone) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS r FROM f),
+e AS (SELECT *, r - coalesce(lag(r) OVER (PARTITION BY doc_id ORDER BY i), 0) AS rise FROM c),
+g AS (SELECT doc_id, count(*) AS n_bytes, sum(r) AS n_removed, count(*) FILTER (rise = 1) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (r = 0) AS kept FROM e GROUP BY doc_id)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM t LEFT JOIN g USING (doc_id)"""

@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_graph, jaccard_join, language_id, mixing, quality_rank, token_counts, training_shards
+from . import decontaminate, embedding_graph, jaccard_join, language_id, mixing, quality_rank, quote_threads, suffix_dedup, token_counts, training_shards
 from .common import held_out, learnable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,14 @@ def op3_quality_rank(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= quality_rank.THRESHOLD).cast("int"))
 
 
+def op4_quote_threads(spark: SparkSession, sf: str) -> DataFrame:
+    return quote_threads.reply_ordered(table(spark, sf, "conversations"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.duplicate_spans(table(spark, sf, "documents")).drop("starts", "ends")
+
+
 def op6_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.plan(table(spark, sf, "documents"), weights=MIX_WEIGHTS).drop("row_key")
 
@@ -55,5 +63,5 @@ def op10_training_shards(spark: SparkSession, sf: str) -> DataFrame:
 MIX_WEIGHTS = {"domain": {"domain0": 4, "domain1": 3, "domain2": 2}, "lang": {"en": 5, "de": 3, "fr": 2}}
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_token_counts, op2_language_id, op3_quality_rank, op6_source_mix, op7_embedding_graph, op8_jaccard_join, op9_decontaminate, op10_training_shards)
+    f.__name__: f for f in (op1_token_counts, op2_language_id, op3_quality_rank, op4_quote_threads, op5_suffix_dedup, op6_source_mix, op7_embedding_graph, op8_jaccard_join, op9_decontaminate, op10_training_shards)
 }

@@ -120,7 +120,7 @@ def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int, share: Fraction) -> DataFrame:
-    """(doc_id, n_shingles, node, prefix): node and prefix are null for an empty set."""
+    """(doc_id, n_shingles, node, prefix, row_key): node and prefix are null for an empty set."""
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, k))
 
     def sketch(batches):
@@ -137,9 +137,9 @@ def sketches(docs: DataFrame, k: int, share: Fraction) -> DataFrame:
                 rare = np.lexsort((s, counts.value[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))
                 node.append(node_id(s))
                 prefix.append(s[rare[: len(s) - need + 1]].view(np.int64))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": n, "node": pd.array(node, dtype="Int64"), "prefix": prefix})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": n, "node": pd.array(node, dtype="Int64"), "prefix": prefix, "row_key": pdf["row_key"]})
 
-    return docs.select("doc_id", "text").mapInPandas(sketch, "doc_id long, n_shingles long, node long, prefix array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("row_key")).mapInPandas(sketch, "doc_id long, n_shingles long, node long, prefix array<long>, row_key long")
 
 
 class _Tree:
@@ -296,7 +296,8 @@ def link_rows(docs: DataFrame, classes: DataFrame, k: int, share: Fraction) -> D
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, share: Fraction = Fraction(4, 5)) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, n_links, node.
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, n_links,
+    component (null for an empty set) and row_key (a hash of the text).
 
     ``component_id`` is the smallest doc_id reachable over links of Jaccard
     >= ``share`` (itself included), ``n_links`` the number of other documents
@@ -311,7 +312,26 @@ def jaccard_components(docs: DataFrame, k: int = 5, share: Fraction = Fraction(4
     per_node = links.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     named = classes.select("node", "doc_id", "copies").join(parts, "node", "left").join(per_node, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    final = named.join(lowest, "component").select("node", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return thin.select("doc_id", "n_shingles", "node").join(final, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "node"
+    final = named.join(lowest, "component").select("node", "component", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return thin.select("doc_id", "n_shingles", "node", "row_key").join(final, "node", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "component", "row_key"
     )
+
+
+def keep_one(docs: DataFrame, k: int = 5, share: Fraction = Fraction(4, 5)) -> DataFrame:
+    """``docs`` with one row of each component: the smallest doc_id (null last), then the
+    smallest hash of the text. Rows with an empty set stay; all columns stay."""
+    found = cut_lineage(jaccard_components(docs, k, share).where("component IS NOT NULL").select("doc_id", "row_key", "component"), "jaccard-rows")
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("best"))
+    rows = found.groupBy("component", "doc_id", "row_key").agg(F.count("*").alias("n")).join(best, "component")
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("row_key") == F.col("best.row_key"))
+    key = [F.col("doc_id").alias("__near_doc"), F.col("row_key").alias("__near_row")]
+    gone = small_side(cut_lineage(rows.where(~stays).select(*key), "jaccard-gone"))
+    on = lambda side: docs["doc_id"].eqNullSafe(side["__near_doc"]) & (F.xxhash64(docs["text"]) == side["__near_row"])
+    kept = docs.join(gone, on(gone), "left_anti")
+    twice = cut_lineage(rows.where(stays & (F.col("n") > 1)).select(*key), "jaccard-repeats")
+    if not twice.take(1):
+        return kept
+    # rows that repeat id and text: only those are shuffled
+    once = docs.join(small_side(twice), on(twice), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(small_side(twice), on(twice), "left_anti").unionByName(once)

@@ -48,7 +48,7 @@ def op7_embedding_graph(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
-    return jaccard_join.jaccard_components(table(spark, sf, "documents"), k=4, share=Fraction(85, 100)).drop("node")
+    return jaccard_join.jaccard_components(table(spark, sf, "documents"), k=4, share=Fraction(85, 100)).drop("component", "row_key")
 
 
 def op9_decontaminate(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagtrail.llm import decontaminate, jaccard_join, language_id, mixing, training_shards
-from tagtrail.llm.common import small_side, table
+from tagtrail.llm.common import table
 from tagtrail.llm.queries import MIX_WEIGHTS
 from tagtrail.session import cut_lineage
 
@@ -28,11 +28,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component (five words, similarity 0.8) the document with the smallest id stays, once."""
-    found = jaccard_join.jaccard_components(docs, k=5, share=Fraction(4, 5))
-    gone = found.where(F.col("node").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("component_id"))) & F.col("component_id").isNotNull())
-    gone = small_side(cut_lineage(gone.select(F.col("doc_id").alias("__gone")).distinct(), "pipeline-near"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    """Of each component (five words, similarity 0.8) one document stays, the one with the smallest id."""
+    return jaccard_join.keep_one(docs, k=5, share=Fraction(4, 5))
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,9 +4,12 @@
    equal sets share a node id (a digest of the set), so copies are one node.
 2. Candidate blocks: hashed shingle counts over all documents give one global
    order (rare first); two sets of Jaccard >= t share a shingle among their
-   first |x| - ceil(t |x|) + 1 shingles. Nodes that share such a shingle hang
-   on the smallest node of that shingle (pre-aggregated, never a group's
-   pairs); connected candidates form a cluster.
+   first |x| - ceil(t |x|) + 1 shingles. Shingles with the same nodes count
+   once. Among the nodes of a shingle a bitmap per node bounds every overlap
+   from above (bits of x that y lacks are shingles that y lacks); nodes that
+   pass hang together as one candidate. Above ``GROUP_MAX`` nodes of a shingle
+   all hang on its smallest node, unfiltered. Connected candidates form a
+   cluster; no pairs leave a task.
 3. Inside a cluster a signature tree holds, per tree node, the OR of its
    members' shingle bitmaps (counts where shingles share a bit) and the range
    of their sizes. A dual traversal drops a pair of tree nodes whose largest
@@ -41,6 +44,8 @@ COUNT_BITS = 20  # the table of hashed shingle counts has 2**COUNT_BITS cells, w
 COUNT_CHUNKS = 64
 BLOCK_SHINGLES = 200_000
 LEAF, FANOUT, BITS = 32, 8, 8192
+GROUP_MAX = 1000
+PACK_ROWS = 20_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 BYTE_CODE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -94,6 +99,35 @@ def node_id(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """Hashed shingles in a power of two of bits, at least as many as shingles and 64."""
+    width = max(64, 1 << (len(s) - 1).bit_length())
+    out = np.zeros(width, np.uint8)
+    out[((s * PRIME) >> np.uint64(16)).astype(np.int64) & (width - 1)] = 1
+    return np.packbits(out).tobytes()
+
+
+def bounded_pairs(sizes: np.ndarray, bits: list[bytes], share: Fraction):
+    """Yield (i, j) index arrays of the pairs whose bitmaps and sizes allow the share."""
+    p, q = share.numerator, share.denominator
+    widths = np.array([len(b) for b in bits])
+    for w in np.unique(widths):
+        a = np.flatnonzero(widths == w)
+        x = np.unpackbits(np.frombuffer(b"".join(bits[i] for i in a), np.uint8).reshape(len(a), w), axis=1)
+        for same, b in ((True, a), (False, np.flatnonzero(widths == 2 * w))):  # a partner is at most one width wider
+            if not len(b):
+                continue
+            y = x
+            if not same:
+                y = np.unpackbits(np.frombuffer(b"".join(bits[i] for i in b), np.uint8).reshape(len(b), 2 * w), axis=1)
+                y = y[:, : 8 * w] | y[:, 8 * w :]
+            both = x.astype(np.float32) @ y.astype(np.float32).T
+            best = np.minimum(sizes[a][:, None] - (x.sum(axis=1)[:, None] - both), sizes[b][None, :] - (y.sum(axis=1)[None, :] - both))
+            i, j = np.nonzero((p + q) * best >= p * (sizes[a][:, None] + sizes[b][None, :]))
+            keep = i < j if same else slice(None)
+            yield a[i[keep]], b[j[keep]]
+
+
 def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
     """Counts of all documents' shingles in 2**COUNT_BITS hashed cells (a fixed size)."""
     cells, width = 1 << COUNT_BITS, (1 << COUNT_BITS) // COUNT_CHUNKS
@@ -120,26 +154,46 @@ def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int, share: Fraction) -> DataFrame:
-    """(doc_id, n_shingles, node, prefix, row_key): node and prefix are null for an empty set."""
+    """(doc_id, n_shingles, node, prefix, bits, row_key): node, prefix and bits are null for an empty set."""
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, k))
 
     def sketch(batches):
         for pdf in batches:
-            n, node, prefix = [], [], []
+            n, node, prefix, bits = [], [], [], []
             for t in pdf["text"]:
                 s = shingle_set(t, k)
                 n.append(len(s))
                 if not len(s):
                     node.append(None)
                     prefix.append(None)
+                    bits.append(None)
                     continue
                 need = -(-share.numerator * len(s) // share.denominator)
                 rare = np.lexsort((s, counts.value[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))
                 node.append(node_id(s))
                 prefix.append(s[rare[: len(s) - need + 1]].view(np.int64))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": n, "node": pd.array(node, dtype="Int64"), "prefix": prefix, "row_key": pdf["row_key"]})
+                bits.append(bitmap(s))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": n, "node": pd.array(node, dtype="Int64"), "prefix": prefix, "bits": bits, "row_key": pdf["row_key"]})
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("row_key")).mapInPandas(sketch, "doc_id long, n_shingles long, node long, prefix array<long>, bits binary, row_key long")
+
+
+class _Roots:
+    """Union-find over 0..n-1."""
+
+    def __init__(self, n: int):
+        self.root = list(range(n))
+
+    def find(self, i: int) -> int:
+        root = self.root
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("row_key")).mapInPandas(sketch, "doc_id long, n_shingles long, node long, prefix array<long>, row_key long")
+    def join(self, i: int, j: int) -> None:
+        if self.root[i] != self.root[j]:
+            self.root[self.find(i)] = self.find(j)
 
 
 class _Tree:
@@ -223,35 +277,48 @@ def tree_links(sets: list[np.ndarray], sizes: np.ndarray, share: Fraction, sides
 
 def cluster_links(nodes, sets, sizes, copies, share, sides=None) -> pd.DataFrame:
     """(u, v, links): each linked node, its local root and the copies of the nodes it links with."""
-    root = list(range(len(nodes)))
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    roots = _Roots(len(nodes))
     links = np.zeros(len(nodes), np.int64)
     for i, j in tree_links(sets, sizes, share, sides):
         links[i] += copies[j]
         links[j] += copies[i]
-        root[find(i)] = find(j)
+        roots.join(i, j)
     at = np.flatnonzero(links)
-    return pd.DataFrame({"u": nodes[at], "v": nodes[[find(i) for i in at]] if len(at) else nodes[at], "links": links[at]})
+    return pd.DataFrame({"u": nodes[at], "v": nodes[[roots.find(i) for i in at]] if len(at) else nodes[at], "links": links[at]})
 
 
-def clusters_of(classes: DataFrame) -> DataFrame:
-    """(node, cluster) of the nodes that share a prefix shingle with another node."""
+def clusters_of(classes: DataFrame, share: Fraction) -> DataFrame:
+    """(node, cluster) of the nodes that may link over a prefix shingle."""
     tokens = classes.select(F.explode("prefix").alias("token"), "node")
-    shared = tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token", "low")
-    edges = tokens.join(shared, "token").where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()
+    groups = tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("who")).where("low < high")
+    groups = groups.groupBy("low", "high", "n", "who").agg(F.min("token").alias("token")).select("token", "low", "n")
+    members = cut_lineage(tokens.join(groups, "token"), "jaccard-shared")
+    hot = members.where((F.col("n") > GROUP_MAX) & (F.col("node") != F.col("low"))).select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()
+    packs = max(1, -(-members.count() // PACK_ROWS))
+    rows = members.where(F.col("n") <= GROUP_MAX).join(classes.select("node", "n_shingles", "bits"), "node").withColumn("pack", F.pmod(F.xxhash64("token"), F.lit(packs)))
+
+    def filtered(pdf: pd.DataFrame) -> pd.DataFrame:
+        u, v = [], []
+        for _, g in pdf.groupby("token", sort=False):
+            ids = g["node"].to_numpy()
+            root = _Roots(len(ids))
+            for a, b in bounded_pairs(g["n_shingles"].to_numpy(np.int64), g["bits"].tolist(), share):
+                for i, j in zip(a.tolist(), b.tolist()):
+                    root.join(i, j)
+            top = ids[[root.find(i) for i in range(len(ids))]]
+            u.append(ids[top != ids])
+            v.append(top[top != ids])
+        return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)}).drop_duplicates()
+
+    near = rows.select("pack", "token", "node", "n_shingles", "bits").groupBy("pack").applyInPandas(filtered, "u long, v long")
+    edges = cut_lineage(near.union(hot).distinct(), "jaccard-edges")
     return connected_components(edges).select("node", F.col("component").alias("cluster"))
 
 
 def link_rows(docs: DataFrame, classes: DataFrame, k: int, share: Fraction) -> DataFrame:
     """Verified links of all clusters as (u, v, links)."""
     spark = docs.sparkSession
-    members = cut_lineage(classes.drop("prefix").join(clusters_of(classes), "node"), "jaccard-members")
+    members = cut_lineage(classes.drop("prefix", "bits").join(clusters_of(classes, share), "node"), "jaccard-members")
     weights = members.groupBy("cluster").agg(F.sum("n_shingles").alias("weight"))
     # size classes whose neighbours alone can hold a partner: sizes differ by the factor t at most
     size_class = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(float(-np.log(share.numerator / share.denominator)) * 1.0001))
@@ -305,7 +372,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, share: Fraction = Fraction(4
     """
     thin = cut_lineage(sketches(docs, k, share), "jaccard-sketch")
     sizes = thin.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("n_shingles").alias("n_shingles"))
-    prefixes = thin.where("node IS NOT NULL").select("node", "prefix").dropDuplicates(["node"])
+    prefixes = thin.where("node IS NOT NULL").select("node", "prefix", "bits").dropDuplicates(["node"])
     classes = cut_lineage(prefixes.join(sizes, "node"), "jaccard-classes")
     links = cut_lineage(link_rows(docs, classes, k, share), "jaccard-links")
     parts = connected_components(links.select("u", "v"))

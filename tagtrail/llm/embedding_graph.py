@@ -2,9 +2,9 @@
 
 1. Equal labels only; identical vectors are one node with a copy count. Within
    a label, centroids are fitted on a bounded, documented sample
-   (``SAMPLE`` vectors); every node goes to its nearest centroid's shard and to
-   each shard whose centroid is nearly as near (overlap), so close vectors meet
-   in at least one shard. The number of centroids follows the label's size up
+   (``SAMPLE`` vectors); every node goes to the shards of its ``NEAREST``
+   nearest centroids (overlap), so close vectors meet in at least one shard and
+   the copies of a node do not grow with the number of shards. The number of centroids follows the label's size up
    to the sample; a shard above ``SHARD_MAX`` is dealt to hash blocks.
 2. Each block builds a flat graph: greedy search from the medoid collects
    candidates, robust pruning keeps a few diverse neighbours, reverse edges are
@@ -16,7 +16,7 @@
 4. A pair is counted in the first shard that both share. A task returns a
    count and a local root per node, never pairs; star rounds join the roots.
 5. Recall is audited against brute force on ``AUDIT`` nodes; below
-   ``RECALL`` the overlap is doubled and the search repeated.
+   ``RECALL`` twice as many centroids are taken and the search is repeated.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite
 components, and rows with a null label, link with nothing; vectors of
@@ -38,7 +38,7 @@ from .common import connected_components
 THRESHOLD = 0.93
 SAMPLE = 4000
 SHARD, SHARD_MAX = 250, 1500
-OVERLAP = 0.15  # radians by which a further centroid may be worse than the nearest
+NEAREST = 2
 DEGREE, BEAM, STEP, ALPHA = 16, 32, 8, 1.2
 SLACK = 0.10  # cosine below the threshold over which a search still expands
 AUDIT, RECALL = 200, 0.97
@@ -179,7 +179,7 @@ def _usable(c: str):
     return F.coalesce(F.forall(c, finite) & F.exists(c, lambda v: v != 0), F.lit(False)) & F.col("label").isNotNull()
 
 
-def assign(nodes: DataFrame, overlap: float) -> DataFrame:
+def assign(nodes: DataFrame, nearest: int) -> DataFrame:
     """(node, copies, vec, shard, shards): one row per node and shard."""
     sizes = nodes.groupBy("family").agg(F.count("*").alias("n"))
     sized = nodes.join(sizes, "family")
@@ -203,18 +203,17 @@ def assign(nodes: DataFrame, overlap: float) -> DataFrame:
         if len(b):
             c = np.vstack(b["centroid"].to_numpy())
             c = c[np.lexsort(c.T)]
-            angle = np.arccos(np.clip(unit(a["vec"]) @ c.T, -1, 1))
-            near = angle <= angle.min(axis=1, keepdims=True) + overlap
-            shards = [np.flatnonzero(r).tolist() for r in near]
+            near = np.argsort(-(unit(a["vec"]) @ c.T), axis=1, kind="stable")[:, :nearest]
+            shards = np.sort(near, axis=1).tolist()
         return a[["family", "node", "copies", "vec"]].assign(shards=shards)
 
     placed = left.groupBy("family", "bucket").cogroup(right.groupBy("family", "bucket")).applyInPandas(place, "family long, node long, copies long, vec array<float>, shards array<int>")
     return placed.withColumn("shard", F.explode("shards"))
 
 
-def link_rows(nodes: DataFrame, threshold: float, overlap: float) -> DataFrame:
+def link_rows(nodes: DataFrame, threshold: float, nearest: int) -> DataFrame:
     """Verified links as (u, v, links): node, local root, copies of the nodes it links with."""
-    placed = cut_lineage(assign(nodes, overlap), "graph-shards")
+    placed = cut_lineage(assign(nodes, nearest), "graph-shards")
     cells = placed.groupBy("family", "shard").agg(F.ceil(F.count("*") / F.lit(float(SHARD_MAX))).cast("long").alias("blocks"))
     placed = placed.join(cells, ["family", "shard"]).withColumn("block", F.pmod(F.xxhash64("node", "shard"), F.col("blocks")))
 
@@ -315,13 +314,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     family = F.xxhash64("label", F.size("vec"))
     nodes = rows.where("node IS NOT NULL").withColumn("family", family).groupBy("node").agg(F.first("family").alias("family"), F.first("vec").alias("vec"), F.count("*").alias("copies"), F.min("vec_id").alias("vec_id"))
     nodes = cut_lineage(nodes, "graph-nodes")
-    overlap = OVERLAP
+    nearest = NEAREST
     for _ in range(3):
-        links = cut_lineage(link_rows(nodes.drop("vec_id"), threshold, overlap), "graph-links")
+        links = cut_lineage(link_rows(nodes.drop("vec_id"), threshold, nearest), "graph-links")
         recall = audit(nodes, links, threshold)
         if recall >= RECALL:
             break
-        overlap *= 2
+        nearest *= 2
     parts = connected_components(links.select("u", "v"))
     per_node = links.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     named = nodes.select("node", "vec_id", "copies").join(parts, "node", "left").join(per_node, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -135,6 +135,8 @@ def canonical_tags(tags: DataFrame, threshold: int = 90, mode: str = "simple", s
         state = cut_lineage(nxt, "fuzzy_state")
         if state.where(F.col("st") == "U").limit(1).count() == 0:
             break
+    else:
+        raise RuntimeError(f"leaders were not decided in {max_rounds} rounds")
     LAST_ROUNDS[0] = rounds
     state = nodes.select("id").join(state, "id", "left").select("id", F.coalesce("st", F.lit("L")).alias("st"))
     leaders = state.where(F.col("st") == "L").select(F.col("id").alias("lid"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from .clean import LOAD_ORDER, SESSION_KEYS
-from .joins import BROADCAST_MAX_ROWS, has_at_most, maybe_broadcast
+from .joins import maybe_broadcast
 
 LOAD_FIELDS = ["pos", "timestamp", "seq", "item_id", "item_type", "url_path", "main_cat", "sub_cat"]
 
@@ -54,39 +54,26 @@ def attach_preceding_loads(orders: DataFrame, positioned_loads: DataFrame) -> Da
     return agg.select(*orders.columns, "loads", F.col("loads.item_id").alias("loaded_pids"))
 
 
-def restrict_products(orders: DataFrame, catalogue: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def restrict_products(orders: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Products of each order intersected with the catalogue; orders
-    left empty are dropped. A checked-small catalogue travels as one
-    broadcast array row (no shuffle of the orders); a large one goes through
-    explode -> semi join -> regroup."""
+    left empty are dropped. Products are exploded, semi joined and regrouped on
+    the order, whatever the catalogue's size; the planner picks the join."""
     ids = catalogue.select("pid").distinct()
-    if has_at_most(ids, max_rows):
-        cat = ids.agg(F.collect_set("pid").alias("_cat"))
-        out = orders.crossJoin(F.broadcast(cat)).withColumn(
-            "products", F.array_sort(F.array_intersect("products", "_cat"))
-        ).drop("_cat")
-        return out.where(F.size("products") > 0)
     ex = orders.select("order_id", F.explode("products").alias("pid"))
     kept = ex.join(ids, "pid", "left_semi").groupBy("order_id").agg(F.array_sort(F.collect_set("pid")).alias("_p"))
-    return orders.join(kept, "order_id").withColumn("products", F.col("_p")).drop("_p")
+    return orders.join(kept, "order_id").withColumn("products", F.col("_p")).select(*orders.columns)
 
 
 def restrict_loads_array(orders: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Keep only catalogue items inside the ``loads`` array (order kept),
-    re-derive ``loaded_pids`` and drop orders left without loads (F6)."""
-    ids = catalogue.select("pid").distinct()
-    if not has_at_most(ids, BROADCAST_MAX_ROWS):
-        ex = orders.select("order_id", F.posexplode("loads").alias("_i", "_l"))
-        kept = ex.join(ids.withColumnRenamed("pid", "_pid"), F.col("_l.item_id") == F.col("_pid"), "left_semi")
-        regrouped = kept.groupBy("order_id").agg(F.array_sort(F.collect_list(F.struct("_i", "_l"))).alias("_ls"))
-        out = orders.drop("loads").join(regrouped, "order_id").withColumn("loads", F.col("_ls._l")).drop("_ls")
-        return out.withColumn("loaded_pids", F.col("loads.item_id"))
-    cat = ids.agg(F.collect_set("pid").alias("_cat"))
-    out = orders.crossJoin(F.broadcast(cat)).withColumn(
-        "loads", F.filter("loads", lambda l: F.array_contains(F.col("_cat"), l["item_id"]))
-    ).drop("_cat")
-    out = out.withColumn("loaded_pids", F.col("loads.item_id"))
-    return out.where(F.size("loaded_pids") > 0)
+    re-derive ``loaded_pids`` and drop orders left without loads (F6). One plan
+    for every catalogue size, as U2."""
+    ids = catalogue.select(F.col("pid").alias("_pid")).distinct()
+    ex = orders.select("order_id", F.posexplode("loads").alias("_i", "_l"))
+    kept = ex.join(ids, F.col("_l.item_id") == F.col("_pid"), "left_semi")
+    regrouped = kept.groupBy("order_id").agg(F.array_sort(F.collect_list(F.struct("_i", "_l"))).alias("_ls"))
+    out = orders.join(regrouped, "order_id").withColumn("loads", F.col("_ls._l")).select(*orders.columns)
+    return out.withColumn("loaded_pids", F.col("loads.item_id"))
 
 
 def time_split(df: DataFrame, ts_col: str = "timestamp", train_ratio: float = C.TRAIN_RATIO, val_ratio: float = C.VAL_RATIO) -> DataFrame:

@@ -17,13 +17,15 @@ from ..sources import fixtures as fx
 
 
 def events_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """Events as a file stream: the table's folder, filtered to its files
-    (a file source watches a directory)."""
-    schema = spark.read.parquet(table_path(sf_dir, "events")).schema
-    return (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-        .option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    )
+    """Events as a file stream (a file source watches a directory): the table's
+    own folder, or, where the table is a single file, its parent filtered to
+    that file's name."""
+    path = table_path(sf_dir, "events")
+    table = spark.read.parquet(path)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", max_files_per_trigger)
+    if all(f.rstrip("/").endswith("/events.parquet") for f in table.inputFiles()):
+        return stream.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return stream.parquet(path)
 
 
 def cleaned_loads_stream(events: DataFrame) -> DataFrame:

@@ -176,3 +176,34 @@ O["dq_score_truth"] = W(tag_bm25_scores("b_", "union") + """SELECT
     "fx_next_last", "fx_tags", "fx_products")
 O["dq_index_corpus"] = W(DOC_BM25 + """SELECT c.n_docs, (SELECT count(*) FROM fx_tag_docs) AS n_corpus,
   c.n_docs = (SELECT count(*) FROM fx_tag_docs) AS ok FROM d_cs c""", "fx_tag_docs")
+
+
+def fill_ctes(scores: str, k: int, seed: int) -> str:
+    """CTE ``_filled`` (order_id, pid, score): scores and each short order's own pseudo-random products behind them."""
+    return f"""
+, _places AS (SELECT pid, row_number() OVER (ORDER BY md5(pid || ':{seed}'), pid) - 1 AS place FROM (SELECT DISTINCT pid FROM fx_products) x)
+, _size AS (SELECT count(*) AS n FROM _places)
+, _short AS (SELECT o.order_id, (SELECT count(DISTINCT s.pid) FROM {scores} s WHERE s.order_id = o.order_id) AS n_scored
+             FROM (SELECT DISTINCT order_id FROM fx_next_last) o)
+, _drawn AS (SELECT order_id, n_scored, i, CAST('0x' || md5(order_id || ':{seed}:' || i)[1:8] AS BIGINT) % n AS place
+             FROM _short, _size, range(0, {2 * k}) r(i) WHERE n_scored < {k}
+             UNION ALL
+             SELECT order_id, n_scored, {2 * k} + i, (CAST('0x' || md5(order_id || ':{seed}:0')[1:8] AS BIGINT) + i) % n
+             FROM _short, _size, range(0, {2 * k}) r(i) WHERE n_scored < {k} AND i < n)
+, _first AS (SELECT order_id, n_scored, place, min(i) AS i FROM _drawn GROUP BY ALL)
+, _open AS (SELECT f.order_id, f.n_scored, p.pid, row_number() OVER (PARTITION BY f.order_id ORDER BY f.i) AS r
+            FROM _first f JOIN _places p ON f.place = p.place
+            WHERE NOT EXISTS (SELECT 1 FROM {scores} s WHERE s.order_id = f.order_id AND s.pid = p.pid))
+, _filled AS (SELECT order_id, pid, CAST(score AS DOUBLE) AS score FROM {scores}
+              UNION ALL SELECT order_id, pid, -10.0::DOUBLE - r / {float(2 * k + 1)}::DOUBLE FROM _open WHERE r <= {k} - n_scored)
+"""
+
+
+O["score_fill"] = W("""
+, _bs AS (SELECT order_id, pid, max(i) AS score FROM (
+    SELECT order_id, unnest(prefix) AS pid, generate_subscripts(prefix, 1) AS i FROM fx_next_last) x GROUP BY 1, 2)"""
+    + fill_ctes("_bs", 20, 3) + "SELECT order_id, pid, score FROM _filled", "fx_next_last", "fx_products")
+O["random_metrics"] = W("""
+, _no AS (SELECT order_id, target AS pid, 0.0 AS score FROM fx_next_last WHERE false)
+, _truth AS (SELECT order_id, split, target AS pid FROM fx_next_last)"""
+    + fill_ctes("_no", 20, 5) + metrics_ctes("m", "_filled", "_truth") + "SELECT * FROM mout", "fx_next_last", "fx_products")

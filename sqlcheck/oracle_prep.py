@@ -133,7 +133,7 @@ O["orders_per_user"] = W("SELECT uuid_ind, count(*) AS n_orders FROM fx_merged G
 O["order_id_uniqueness"] = W("SELECT count(DISTINCT order_id) AS n_distinct, count(*) AS n_rows FROM fx_merged", "fx_merged")
 O["unique_products"] = W(
     """SELECT DISTINCT pid FROM (SELECT item_id AS pid FROM fx_loads_clean UNION ALL
-       SELECT unnest(products) AS pid FROM fx_purchases_clean) x WHERE pid IS NOT NULL""", "fx_loads_clean", "fx_purchases_clean")
+       SELECT unnest(products) AS pid FROM fx_merged) x WHERE pid IS NOT NULL""", "fx_loads_clean", "fx_merged")
 O["unmatched_paths"] = W(
     f"""SELECT url_path, count(*) AS n FROM fx_loads_stage WHERE f1 AND f2 AND NOT regexp_matches(url_path, {FAM})
         AND NOT regexp_matches(url_path, {ITEM}) GROUP BY 1""", "fx_loads_stage")

@@ -20,60 +20,75 @@ pigeonhole filter of PassJoin):
     possible partner length |r|, and r emits its substrings at the allowed
     positions under the same keys. An equi-join on that key yields every
     similar pair; segments are about 1/f characters long, so the key is
-    selective. Strings whose tau is 0 can only match themselves.
+    selective;
+  * d has the parity of |a|+|b|, so tau is lowered by one where it has not;
+  * tau = 1: s is r without one character; tau = 2 and equal lengths: both
+    leave the same string without one character. These join on the whole
+    string and its deletion variants instead of short segments.
+Tags that share one prepared string (``Red``, ``red``, ``RED!`` in mode
+``sort``) score 100 with one another and alike with all others, so each
+distinct prepared string is one node: no pairs of equal strings are made, and
+tau = 0 needs no candidates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import prepared, ratio_udf
 from ..session import cut_lineage
-
+from .indexing import dense_index
 
 EPS = 1e-9
-LAST_ROUNDS = [0]  # rounds used by the last canonical_tags call (diagnostics)
+
+
+def _tau(f: float) -> F.Column:
+    """Largest Indel distance of a pair of lengths ``ls``, ``lr``: at most f * (ls + lr), with the parity of the sum."""
+    total = F.col("ls") + F.col("lr")
+    tau = F.floor(total * f + EPS).cast("int")
+    return tau - F.pmod(total - tau, F.lit(2))
+
+
+def _without_one(c: str, length: str) -> F.Column:
+    """Distinct strings that ``c`` leaves without one character."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.col(length)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.col(length)))))
+
+
+def _by_deletion() -> F.Column:
+    """Lengths whose pairs are found by deletion variants; the others by segments."""
+    return (F.col("tau") == 1) | ((F.col("tau") == 2) & (F.col("ls") == F.col("lr")))
+
+
+def _segments(df: DataFrame) -> DataFrame:
+    """The tau + 1 even segments (no. ``i``, start ``p``, length ``len``) of a string of length ``ls``."""
+    d = df.withColumn("m", F.col("tau") + 1).withColumn("base", F.floor(F.col("ls") / F.col("m")).cast("int")).withColumn("extra", F.col("ls") % F.col("m"))
+    d = d.select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"))
+    d = d.withColumn("len", F.col("base") + F.when(F.col("i") >= F.col("m") - F.col("extra"), 1).otherwise(0))
+    return d.withColumn("p", F.col("i") * F.col("base") + F.greatest(F.col("i") - (F.col("m") - F.col("extra")), F.lit(0))).where(F.col("len") > 0)
 
 
 def _segment_keys(strings: DataFrame, f: float) -> tuple[DataFrame, DataFrame]:
-    """(key, id) rows for the indexed side and the probe side."""
-    s = strings.select("id", "s", F.length("s").alias("ls"))
-    # index side: s is the shorter (or equal) string, partner length lr
-    idx = s.select(
-        "id", "s", "ls",
-        F.explode(F.sequence(F.col("ls"), F.floor(F.col("ls") * (1 + f) / (1 - f) + EPS).cast("int"))).alias("lr"),
-    ).withColumn("tau", F.floor((F.col("ls") + F.col("lr")) * f + EPS).cast("int")).where(
-        (F.col("lr") - F.col("ls") <= F.col("tau")) & (F.col("tau") >= 1)
-    )
-    idx = idx.withColumn("m", F.col("tau") + 1).withColumn("base", F.floor(F.col("ls") / F.col("m")).cast("int")).withColumn(
-        "extra", F.col("ls") % F.col("m")
-    )
-    idx = idx.select("id", "s", "ls", "lr", "tau", "m", "base", "extra", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"))
-    seg_len = F.col("base") + F.when(F.col("i") >= F.col("m") - F.col("extra"), 1).otherwise(0)
-    seg_pos = F.col("i") * F.col("base") + F.greatest(F.col("i") - (F.col("m") - F.col("extra")), F.lit(0))
-    idx_keys = idx.select(
-        "id", F.struct("ls", "lr", "i", F.substring("s", seg_pos + 1, seg_len).alias("seg")).alias("key"),
-    ).where(seg_len > 0)
-    # probe side: r is the longer (or equal) string, partner length ls
-    pr = s.select(
-        "id", "s", F.col("ls").alias("lr"),
-        F.explode(F.sequence(F.ceil(F.col("ls") * (1 - f) / (1 + f) - EPS).cast("int"), F.col("ls"))).alias("ls"),
-    ).withColumn("tau", F.floor((F.col("ls") + F.col("lr")) * f + EPS).cast("int")).where(
-        (F.col("lr") - F.col("ls") <= F.col("tau")) & (F.col("tau") >= 1) & (F.col("ls") >= 1)
-    )
-    pr = pr.withColumn("m", F.col("tau") + 1).withColumn("base", F.floor(F.col("ls") / F.col("m")).cast("int")).withColumn(
-        "extra", F.col("ls") % F.col("m")
-    )
-    pr = pr.select("id", "s", "ls", "lr", "tau", "m", "base", "extra", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"))
-    pr = pr.withColumn("len", seg_len).withColumn("p", seg_pos).where(F.col("len") > 0)
-    pr = pr.select(
-        "id", "s", "ls", "lr", "i", "len",
-        F.explode(F.sequence(F.greatest(F.col("p") - F.col("tau"), F.lit(0)),
-                             F.least(F.col("p") + F.col("tau"), F.col("lr") - F.col("len")))).alias("q"),
-    )
-    pr_keys = pr.select("id", F.struct("ls", "lr", "i", F.substring("s", F.col("q") + 1, F.col("len")).alias("seg")).alias("key"))
-    return idx_keys, pr_keys
+    """(id, key) rows of the indexed side (the shorter or equal string) and of the probe side."""
+    s = strings.select("id", "s", F.length("s").alias("n")).where(F.col("n") > 0)
+    fits = (F.col("lr") - F.col("ls") <= F.col("tau")) & (F.col("tau") >= 1)
+    longest = F.floor(F.col("n") * (1 + f) / (1 - f) + EPS).cast("int")
+    shortest = F.greatest(F.ceil(F.col("n") * (1 - f) / (1 + f) - EPS).cast("int"), F.lit(1))
+    idx = s.select("id", "s", F.col("n").alias("ls"), F.explode(F.sequence("n", longest)).alias("lr")).withColumn("tau", _tau(f)).where(fits)
+    probe = s.select("id", "s", F.col("n").alias("lr"), F.explode(F.sequence(shortest, F.col("n"))).alias("ls")).withColumn("tau", _tau(f)).where(fits)
+
+    def key(i, text):
+        return F.struct("ls", "lr", i.cast("int").alias("i"), text.alias("seg")).alias("key")
+
+    whole = F.lit(-1)
+    idx_text = F.when(F.col("tau") == 1, F.array("s")).otherwise(_without_one("s", "ls"))
+    idx_del = idx.where(_by_deletion()).select("id", "ls", "lr", F.explode(idx_text).alias("v")).select("id", key(whole, F.col("v")))
+    probe_del = probe.where(_by_deletion()).select("id", "ls", "lr", F.explode(_without_one("s", "lr")).alias("v")).select("id", key(whole, F.col("v")))
+    idx_seg = _segments(idx.where(~_by_deletion())).select("id", key(F.col("i"), F.substring("s", F.col("p") + 1, F.col("len"))))
+    places = F.sequence(F.greatest(F.col("p") - F.col("tau"), F.lit(0)), F.least(F.col("p") + F.col("tau"), F.col("lr") - F.col("len")))
+    probe_seg = _segments(probe.where(~_by_deletion())).select("*", F.explode(places).alias("q")).select(
+        "id", key(F.col("i"), F.substring("s", F.col("q") + 1, F.col("len"))))
+    return idx_del.unionByName(idx_seg), probe_del.unionByName(probe_seg)
 
 
 def candidate_pairs(strings: DataFrame, threshold: int) -> DataFrame:
@@ -99,27 +114,25 @@ def similar_pairs(strings: DataFrame, threshold: int) -> DataFrame:
     return scored.where(F.col("score") >= threshold).select("a", "b", "score")
 
 
-def _nodes(tags: DataFrame, mode: str, seed: int) -> DataFrame:
-    """Distinct tags with a compact id in priority order (id 0 = highest
-    priority = smallest seeded hash), materialised once."""
-    from .indexing import dense_index
-
-    d = tags.select("tag").where(F.col("tag").isNotNull()).distinct().withColumn("h", F.xxhash64("tag", F.lit(seed)))
-    d = dense_index(d, ["h", "tag"], "id").select("id", "tag", prepared("tag", mode).alias("s"))
-    return cut_lineage(d, "fuzzy_nodes")
+def _nodes(tags: DataFrame, mode: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes, tags): nodes (id, s, tag), one per distinct prepared string, with
+    its first tag by seeded hash, ids in the order of these (0 = highest
+    priority); tags (tag, h, s), each distinct tag once. Both are written."""
+    d = tags.select("tag").where(F.col("tag").isNotNull()).distinct().select("tag", F.xxhash64("tag", F.lit(seed)).alias("h"), prepared("tag", mode).alias("s"))
+    d = cut_lineage(d, "fuzzy_tags")
+    first = d.groupBy("s").agg(F.min(F.struct("h", "tag")).alias("_f")).select("s", "_f.h", "_f.tag")
+    return cut_lineage(dense_index(first, ["h", "tag"], "id").select("id", "s", "tag"), "fuzzy_nodes"), d
 
 
 def canonical_tags(tags: DataFrame, threshold: int = 90, mode: str = "simple", seed: int = 0, max_rounds: int = 1000) -> DataFrame:
     """(tag, leader, is_leader) for every distinct tag of ``tags(tag)``."""
-    nodes = _nodes(tags, mode, seed)
+    nodes, every = _nodes(tags, mode, seed)
     strings = nodes.select("id", "s")
     edges = cut_lineage(similar_pairs(strings, threshold).select(F.col("a").alias("hi"), F.col("b").alias("lo")), "fuzzy_edges")
     # only tags with a similar partner need rounds; isolated tags lead
     linked = edges.select(F.col("hi").alias("id")).union(edges.select(F.col("lo").alias("id"))).distinct()
     state = cut_lineage(linked.select("id", F.lit("U").alias("st")), "fuzzy_state")
-    rounds = 0
     for _ in range(max_rounds):
-        rounds += 1
         undecided = state.where(F.col("st") == "U")
         hs = state.select(F.col("id").alias("hi"), F.col("st").alias("hs"))
         agg = edges.join(undecided.select(F.col("id").alias("lo")), "lo").join(hs, "hi").groupBy("lo").agg(
@@ -137,20 +150,16 @@ def canonical_tags(tags: DataFrame, threshold: int = 90, mode: str = "simple", s
             break
     else:
         raise RuntimeError(f"leaders were not decided in {max_rounds} rounds")
-    LAST_ROUNDS[0] = rounds
     state = nodes.select("id").join(state, "id", "left").select("id", F.coalesce("st", F.lit("L")).alias("st"))
     leaders = state.where(F.col("st") == "L").select(F.col("id").alias("lid"))
     both = edges.select(F.col("hi").alias("m"), F.col("lo").alias("lid")).unionByName(edges.select(F.col("lo").alias("m"), F.col("hi").alias("lid")))
     best = both.join(leaders, "lid").groupBy("m").agg(F.min("lid").alias("lid"))  # highest-priority similar leader
     names = nodes.select("id", "tag")
-    out = state.join(best, state.id == best.m, "left").join(names, "id").join(
-        names.select(F.col("id").alias("lid"), F.col("tag").alias("ltag")), "lid", "left"
-    )
-    return out.select(
-        "tag",
-        F.when(F.col("st") == "L", F.col("tag")).otherwise(F.col("ltag")).alias("leader"),
-        (F.col("st") == "L").alias("is_leader"),
-    )
+    # a leading node is led by its first tag, its other tags are members of it
+    led = state.join(best, state.id == best.m, "left").select("id", F.coalesce(F.when(F.col("st") == "L", F.col("id")), F.col("lid")).alias("lid"))
+    led = led.join(nodes.select("id", "s"), "id").join(names.select(F.col("id").alias("lid"), F.col("tag").alias("leader")), "lid")
+    out = every.join(led.select("s", "leader"), "s")
+    return out.select("tag", "leader", (F.col("tag") == F.col("leader")).alias("is_leader"))
 
 
 def canonicalise(tag_lists: DataFrame, mapping: DataFrame, key: str = "pid", col: str = "tags") -> DataFrame:
@@ -166,19 +175,20 @@ def lookup(queries: DataFrame, mapping: DataFrame, threshold: int = 90, mode: st
     """Canonical leader for new strings ``queries(query)``: the
     highest-priority leader scoring >= threshold, else ``default``."""
     leaders = mapping.where("is_leader").select(F.col("tag").alias("t"), F.lit(1).alias("ld"), F.lit(0).alias("qy"))
-    q = queries.select(F.col("query").alias("t"), F.lit(0).alias("ld"), F.lit(1).alias("qy"))
-    allx = leaders.unionByName(q).groupBy("t").agg(F.max("ld").alias("ld"), F.max("qy").alias("qy"))
-    nodes = _nodes(allx.select(F.col("t").alias("tag")), mode, seed)
-    sides = nodes.join(allx.withColumnRenamed("t", "tag"), "tag").select("id", "tag", "ld", "qy")
+    q = queries.select(F.col("query").alias("t"), F.lit(0).alias("ld"), F.lit(1).alias("qy")).where(F.col("t").isNotNull())
+    sides = leaders.unionByName(q).groupBy("t").agg(F.max("ld").alias("ld"), F.max("qy").alias("qy")).withColumnRenamed("t", "tag")
+    nodes, every = _nodes(sides, mode, seed)
+    sides = every.join(sides, "tag").join(nodes.select("id", "s"), "s").select("id", "tag", "h", "ld", "qy")
+    # nodes without a query or without a leader need no partner of their kind
+    has = sides.groupBy("id").agg(F.min(F.when(F.col("ld") == 1, F.struct("h", "tag"))).alias("lead"), F.max("qy").alias("qy"))
     pairs = similar_pairs(nodes.select("id", "s"), threshold)
-    both = pairs.select(F.col("a").alias("q"), F.col("b").alias("l")).unionByName(pairs.select(F.col("b").alias("q"), F.col("a").alias("l")))
-    sq = sides.select(F.col("id").alias("q"), F.col("tag").alias("query"), F.col("qy").alias("q_is_query"))
-    sl = sides.select(F.col("id").alias("l"), F.col("tag").alias("ltag"), F.col("ld").alias("l_is_leader"))
-    both = both.join(sq, "q").join(sl, "l").where((F.col("q_is_query") == 1) & (F.col("l_is_leader") == 1))
-    best = both.groupBy("query").agg(F.min_by("ltag", "l").alias("near"))
-    qs = sides.where(F.col("qy") == 1).select(F.col("tag").alias("query"), F.when(F.col("ld") == 1, F.col("tag")).alias("exact"))
-    out = qs.join(best, "query", "left")
-    return out.select("query", F.coalesce("exact", "near", F.lit(default)).alias("leader"))
+    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("lid")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("lid")))
+    both = both.join(has.where(F.col("qy") == 1).select("id"), "id", "left_semi")
+    lead = has.where(F.col("lead").isNotNull()).select(F.col("id").alias("lid"), "lead")
+    same = lead.select(F.col("lid").alias("id"), "lead")
+    best = both.join(lead, "lid").select("id", "lead").unionByName(same).groupBy("id").agg(F.min("lead").alias("near"))
+    out = sides.where(F.col("qy") == 1).join(best, "id", "left")
+    return out.select(F.col("tag").alias("query"), F.coalesce(F.when(F.col("ld") == 1, F.col("tag")), F.col("near.tag"), F.lit(default)).alias("leader"))
 
 
 def merge_report(mapping: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from .clean import LOAD_ORDER, SESSION_KEYS
-from .joins import maybe_broadcast
 
 LOAD_FIELDS = ["pos", "timestamp", "seq", "item_id", "item_type", "url_path", "main_cat", "sub_cat"]
 
@@ -17,7 +16,7 @@ def restrict_loads_to_catalogue(loads: DataFrame, catalogue: DataFrame) -> DataF
     """keep loads whose item is in the catalogue (semi join; the
     catalogue is broadcast only when its size is checked to be small)."""
     cat = catalogue.select(F.col("pid").alias("item_id")).distinct()
-    return loads.join(maybe_broadcast(cat), "item_id", "left_semi")
+    return loads.join(cat, "item_id", "left_semi")
 
 
 def position_loads(loads: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """H3-H5: distributed batch generation with a caller-supplied predictor.
 
-The predictor is created once per Python worker (``factory()``), then fed
+The predictor is created once per task (``factory()``), then fed
 Arrow batches through ``mapInPandas``. A deterministic stub predictor is
 provided for tests; a model-backed callable has the same signature:
 ``predict(prompts: list[str], config: dict | None) -> list[str]`` returning the
@@ -18,7 +18,6 @@ from ..functions import text as T
 from ..session import cut_lineage
 
 Predictor = Callable[[list[str], "dict | None"], list[str]]
-_CACHE: dict[int, Predictor] = {}
 
 
 class EchoTagPredictor:
@@ -37,28 +36,24 @@ class EchoTagPredictor:
         return out
 
 
-def _get(factory: Callable[[], Predictor]) -> Predictor:
-    key = id(factory)
-    if key not in _CACHE:
-        _CACHE[key] = factory()
-    return _CACHE[key]
-
-
 def batch_predict(prompts: DataFrame, factory: Callable[[], Predictor], input_col: str = "input",
                   config_cols: list[str] | None = None, out: str = "predict") -> DataFrame:
-    """H3: one generation per row, in Arrow batches, then G15 cleaning (JVM side)."""
+    """H3: one generation per row, in Arrow batches (one call of the model for
+    each config in a batch), then G15 cleaning (JVM side)."""
     from pyspark.sql.types import StringType, StructField, StructType
 
     schema = StructType(list(prompts.schema.fields) + [StructField(out + "_raw", StringType())])
     cfg_cols = list(config_cols or [])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _get(factory)
+        model = factory()
         for pdf in batches:
+            raw = pd.Series(index=pdf.index, dtype=object)
             if cfg_cols:
-                raw = [model([p], {c: row[c] for c in cfg_cols})[0] for p, (_, row) in zip(pdf[input_col], pdf.iterrows())]
-            else:
-                raw = model(list(pdf[input_col]), None)
+                for values, part in pdf.groupby(cfg_cols, dropna=False, sort=False):
+                    raw[part.index] = model(list(part[input_col]), dict(zip(cfg_cols, values)))
+            elif len(pdf):
+                raw[:] = model(list(pdf[input_col]), None)
             yield pdf.assign(**{out + "_raw": raw})
 
     return prompts.mapInPandas(run, schema).withColumn(out, T.clean_generation(out + "_raw")).drop(out + "_raw")

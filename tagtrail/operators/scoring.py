@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .indexing import dense_index
+
 
 def recency_ranking(seq_col: str = "prefix") -> F.Column:
     """Products ranked by their last position in the sequence, latest first
@@ -20,36 +22,35 @@ def baseline_score(df: DataFrame, seq_col: str = "loaded_pids", key: str = "orde
     return ex.groupBy(key, "pid").agg((F.max("_p") + off).cast("double").alias("score"))
 
 
+def _draw(text: F.Column) -> F.Column:
+    """A number from 0 to 2^32 - 1 from the first 8 hex digits of the md5."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
 def hash_fill(scores: DataFrame, orders: DataFrame, catalogue: DataFrame, k_max: int, seed: int = 0, key: str = "order_id") -> DataFrame:
     """R9 (fill='hash'): unscored catalogue products are ranked after every
-    scored one, in a seeded pseudo-random order.
-
-    The random order is one seeded permutation of the catalogue. An order
-    with ``n < k_max`` scored products needs at most ``k_max - n`` fill items,
-    all found among the first ``2 * k_max`` items of the permutation (at most
-    ``n`` of those are already scored). So only that bounded head list (one
-    row, ``2 * k_max`` ids) is broadcast; no order is paired with the whole
-    catalogue. Fill scores lie in [-11, -10), below any real score."""
-    head = (
-        catalogue.select("pid").distinct()
-        .select("pid", F.xxhash64(F.col("pid"), F.lit(seed)).alias("_h"))
-        .orderBy("_h", "pid").limit(2 * k_max)
-        .agg(F.array_sort(F.collect_list(F.struct("_h", "pid"))).alias("_head"))
-    )
-    per = scores.groupBy(key).agg(F.collect_set("pid").alias("_scored"))
-    short = orders.select(key).distinct().join(per, key, "left").withColumn(
-        "_scored", F.coalesce(F.col("_scored"), F.array().cast("array<bigint>"))
-    ).where(F.size("_scored") < k_max)
-    filled = short.crossJoin(F.broadcast(head)).select(
-        key,
-        F.posexplode(
-            F.slice(
-                F.filter(F.col("_head.pid"), lambda p: ~F.array_contains(F.col("_scored"), p)),
-                1, F.lit(k_max) - F.size("_scored"),
-            )
-        ).alias("_i", "pid"),
-    )
-    fill = filled.select(key, "pid", (F.lit(-10.0) - (F.col("_i") + 1) / F.lit(float(2 * k_max + 1))).alias("score"))
+    scored one, in a pseudo-random order of each order's own.
+
+    The catalogue is dealt positions by ``md5(pid:seed)``. An order with ``n <
+    k_max`` scored products draws ``2 * k_max`` positions from
+    ``md5(key:seed:i)``; behind them come as many positions in a row from the
+    first draw, which alone hold ``k_max`` unscored products (or the whole
+    catalogue). Repeats and scored products drop out and the first ``k_max -
+    n`` stay, so no order is paired with the whole catalogue. Fill scores lie
+    in [-11, -10), below any real score."""
+    hashed = catalogue.select("pid").where(F.col("pid").isNotNull()).distinct().withColumn(
+        "_h", F.md5(F.concat(F.col("pid").cast("string"), F.lit(f":{seed}"))))
+    places = dense_index(hashed, ["_h", "pid"], "_at").select("pid", "_at")
+    size = places.agg(F.count(F.lit(1)).alias("_n")).where("_n > 0")  # one row
+    n_scored = scores.groupBy(key).agg(F.count_distinct("pid").alias("_scored"))
+    short = orders.select(key).distinct().join(n_scored, key, "left").na.fill(0, ["_scored"]).where(F.col("_scored") < k_max).crossJoin(F.broadcast(size))
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(2 * k_max - 1)), lambda i: _draw(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)), i.cast("string"))) % F.col("_n"))
+    in_a_row = F.transform(F.sequence(F.lit(0), F.least(F.lit(2 * k_max), F.col("_n")) - 1), lambda i: (F.col("_d")[0] + i) % F.col("_n"))
+    at = short.withColumn("_d", drawn).select(key, "_scored", F.posexplode(F.array_distinct(F.concat("_d", in_a_row))).alias("_i", "_at"))
+    open_ = at.join(places, "_at").join(scores.select(key, "pid"), [key, "pid"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("_i"))
+    filled = open_.withColumn("_r", rank).where(F.col("_r") <= k_max - F.col("_scored"))
+    fill = filled.select(key, "pid", (F.lit(-10.0) - F.col("_r") / F.lit(float(2 * k_max + 1))).alias("score"))
     return scores.select(key, "pid", "score").unionByName(fill)
 
 

@@ -1,8 +1,7 @@
 """Instruction-tuning data from browse sequences.
 
-Sequences are rendered as numbered tag lines "i. t1, t2, ..." per product.
-A checked-small tag table travels as one broadcast MAP so rendering is
-row-local; a large one goes through explode -> join -> regroup."""
+Sequences are rendered as numbered tag lines "i. t1, t2, ..." per product:
+explode, join, regroup; the planner picks the join by bytes."""
 
 from __future__ import annotations
 
@@ -15,9 +14,6 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import text as T
 from .indexing import dense_index
-from .joins import has_at_most, maybe_broadcast
-
-TAG_MAP_MAX_ROWS = 200_000
 
 
 def _line(i: Column, tags: Column, n_tags: int) -> Column:
@@ -27,18 +23,17 @@ def _line(i: Column, tags: Column, n_tags: int) -> Column:
 def render_lines(df: DataFrame, tags: DataFrame, seq_col: str, key: Sequence[str], n_tags: int = 5,
                  max_len: int = 20, out: str = "lines") -> DataFrame:
     """I1 + T3 + J4: the last ``max_len`` items of the sequence as numbered
-    tag lines (ARRAY<STRING>)."""
+    tag lines (ARRAY<STRING>). ``key`` identifies a row; every row stays. A
+    sequence without items has no lines, an item without tags a null line; of
+    several tag lists of a product the smallest counts."""
     key = list(key)
     seq = T.last_n(seq_col, max_len)
-    if has_at_most(tags, TAG_MAP_MAX_ROWS):
-        m = tags.agg(F.map_from_entries(F.collect_list(F.struct("pid", "tags"))).alias("_m"))
-        j = df.crossJoin(F.broadcast(m))  # one row: the whole (checked-small) tag map
-        lines = F.transform(seq, lambda p, i: _line(i, F.try_element_at(F.col("_m"), p), n_tags))
-        return j.withColumn(out, lines).drop("_m")
+    one = tags.groupBy("pid").agg(F.min("tags").alias("tags"))
     ex = df.select(*key, F.posexplode(seq).alias("_i", "pid"))
-    lk = ex.join(tags.select("pid", "tags"), "pid", "left")
-    grouped = lk.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_i", _line(F.col("_i"), F.col("tags"), n_tags).alias("l")))).alias("_ls"))
-    return df.join(grouped, key).withColumn(out, F.col("_ls.l")).drop("_ls")
+    line = F.struct("_i", _line(F.col("_i"), F.col("tags"), n_tags).alias("l"))
+    grouped = ex.join(one, "pid", "left").groupBy(*key).agg(F.array_sort(F.collect_list(line)).alias("_ls"))
+    none = F.when(F.col(seq_col).isNotNull(), F.array().cast("array<string>"))
+    return df.join(grouped, key, "left").withColumn(out, F.coalesce(F.col("_ls.l"), none)).drop("_ls")
 
 
 def purchase_record(lines: str = "lines") -> list[Column]:
@@ -66,7 +61,7 @@ def user_instruction(names: DataFrame | None, df: DataFrame, key: str = "uuid_in
     """J5: 'User: <name>' from a (uuid_ind, user_name) table, '' without one."""
     if names is None:
         return df.withColumn("instruction", F.lit(""))
-    j = df.join(maybe_broadcast(names.select(key, "user_name")), key, "left")
+    j = df.join(names.select(key, "user_name"), key, "left")
     return j.withColumn("instruction", F.concat(F.lit("User: "), F.col("user_name"))).drop("user_name")
 
 
@@ -120,21 +115,24 @@ def build_vocab(texts: DataFrame, col: str = "text") -> DataFrame:
     return dense_index(toks, ["token"], "id").select("token", (F.col("id") + 3).alias("id"))
 
 
-def _ids(df: DataFrame, key: Sequence[str], text_col: str, vocab: DataFrame, out: str) -> DataFrame:
+def _ids(df: DataFrame, key: Sequence[str], text_col: str, vocab: DataFrame, out: str, unknown_id: int | None) -> DataFrame:
     ex = df.select(*key, F.posexplode(_tokens(F.col(text_col))).alias("_p", "token"))
-    j = ex.join(maybe_broadcast(vocab), "token")
-    return j.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_p", F.col("id").cast("int").alias("id")))).alias("_s")).select(
+    unknown = F.raise_error(F.concat(F.lit("token not in the vocabulary: "), F.col("token"))).cast("int") if unknown_id is None else F.lit(unknown_id)
+    j = ex.join(vocab, "token", "left").withColumn("id", F.coalesce(F.col("id").cast("int"), unknown))
+    return j.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_p", "id"))).alias("_s")).select(
         *key, F.col("_s.id").alias(out)
     )
 
 
 def token_labels(records: DataFrame, key: Sequence[str], system_instruction: str, vocab: DataFrame | None = None,
-                 cutoff: int = C.CUTOFF_LEN, true_mask: bool = False, reference_prompt_padding: bool = False) -> DataFrame:
+                 cutoff: int = C.CUTOFF_LEN, true_mask: bool = False, reference_prompt_padding: bool = False,
+                 unknown_id: int | None = None) -> DataFrame:
     """I8: causal-LM arrays of length ``cutoff``: input_ids = bos + prompt +
     output + eos, truncated / padded; labels = -100 on prompt positions, then
     the ids; attention_mask all ones (the reference also masks padding in;
     ``true_mask`` zeroes it). ``reference_prompt_padding`` reproduces the
-    reference's padded prompt count (every label becomes -100)."""
+    reference's padded prompt count (every label becomes -100). A token that
+    ``vocab`` lacks takes ``unknown_id``; without one it is an error."""
     from ..session import cut_lineage
 
     key = list(key)
@@ -142,8 +140,8 @@ def token_labels(records: DataFrame, key: Sequence[str], system_instruction: str
     rec = cut_lineage(records.select(*key, prompt_text(system_instruction).alias("_prompt"), "output"), "sft_records")
     if vocab is None:
         vocab = build_vocab(rec.select(F.concat_ws(" ", "_prompt", "output").alias("text")))
-    p = _ids(rec, key, "_prompt", vocab, "_pi")
-    o = _ids(rec, key, "output", vocab, "_oi")
+    p = _ids(rec, key, "_prompt", vocab, "_pi", unknown_id)
+    o = _ids(rec, key, "output", vocab, "_oi", unknown_id)
     j = rec.select(*key).join(p, key, "left").join(o, key, "left")
     empty = F.array().cast("array<int>")
     full = F.concat(F.array(F.lit(BOS)), F.coalesce("_pi", empty), F.coalesce("_oi", empty), F.array(F.lit(EOS)))

@@ -11,7 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import maybe_broadcast
 
 
 def seq_tags_long(seqs: DataFrame, tags: DataFrame, key: str = "order_id", seq_col: str = "prefix",
@@ -22,7 +21,7 @@ def seq_tags_long(seqs: DataFrame, tags: DataFrame, key: str = "order_id", seq_c
     the sequence key and the tag lookup."""
     g = list(group or [])
     ex = seqs.select(*g, key, F.size(seq_col).alias("n_pos"), F.posexplode(seq_col).alias("pos", "pid"))
-    return ex.join(maybe_broadcast(tags.select(*g, "pid", "tags")), g + ["pid"]).select(*g, key, "pos", "n_pos", "pid", "tags")
+    return ex.join(tags.select(*g, "pid", "tags"), g + ["pid"]).select(*g, key, "pos", "n_pos", "pid", "tags")
 
 
 def seq_tag_lookup(seqs: DataFrame, tags: DataFrame, key: str = "order_id", seq_col: str = "prefix") -> DataFrame:

@@ -266,7 +266,7 @@ def q_order_id_uniqueness(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("unique_products")
 def q_unique_products(spark: SparkSession, sf: str) -> DataFrame:
-    return eda.unique_products(clean_loads(spark, sf), clean_purchases(spark, sf))
+    return eda.unique_products(clean_loads(spark, sf), prepare(spark, sf).merged)
 
 
 @register("unmatched_paths")

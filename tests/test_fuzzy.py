@@ -54,3 +54,51 @@ def test_leaders_equal_sequential_greedy(spark):
         else:
             best = min((l for l in leaders if indel_ratio(w, l) >= threshold), key=rank.get)
             assert got[w] == (best, False)
+
+
+def _greedy(df, threshold, seed, prep):
+    pr = sorted(df.select("tag", F.xxhash64("tag", F.lit(seed)).alias("h")).where("tag is not null").distinct().collect(), key=lambda r: (r.h, r.tag))
+    leaders, out = [], {}
+    for r in pr:
+        near = [x for x in leaders if indel_ratio(prep(r.tag), prep(x)) >= threshold]
+        if not near:
+            leaders.append(r.tag)
+        out[r.tag] = (near[0], False) if near else (r.tag, True)
+    return out
+
+
+def _sorted_words(t):
+    return " ".join(sorted("".join(c if c.isalnum() else " " for c in t.lower()).split()))
+
+
+def test_sort_mode_joins_tags_of_one_prepared_string(spark):
+    rnd = random.Random(11)
+    tags = ["Red", "red", "RED!", "", "!", "wool hat", "Hat, wool", "hat wools", "ab", "ba"]
+    for w in ["red woollen hats", "green tea", "silver candlestick"]:
+        for _ in range(12):
+            x = list(w)
+            i = rnd.randrange(len(x))
+            x[i] = rnd.choice("abcR !") if rnd.random() < 0.5 else ""
+            tags.append("".join(x))
+    df = spark.createDataFrame([(t,) for t in tags] + [("Red",), (None,)], "tag string")
+    for threshold in (80, 90):
+        got = {r.tag: (r.leader, r.is_leader) for r in fuzzy.canonical_tags(df, threshold, "sort", 7).collect()}
+        assert got == _greedy(df, threshold, 7, _sorted_words)
+
+
+def test_short_words_by_deletion_variants(spark):
+    rnd = random.Random(2)
+    tags = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 16))) for _ in range(250)})
+    tags = sorted(set(tags) | {t[:i] + rnd.choice("abc") + t[i + 1:] for t in tags for i in (0, len(t) // 2)})
+    df = spark.createDataFrame([(t,) for t in tags], "tag string")
+    for threshold in (75, 90):
+        pairs = fuzzy.similar_pairs(df.select(F.col("tag").alias("id"), F.col("tag").alias("s")), threshold)
+        got = {(r.a, r.b) for r in pairs.collect()}
+        assert got == {(a, b) for i, a in enumerate(tags) for b in tags[i + 1:] if indel_ratio(a, b) >= threshold}
+
+
+def test_lookup_takes_the_first_similar_leader(spark):
+    mapping = fuzzy.canonical_tags(spark.createDataFrame([(t,) for t in ["candlestick", "hat wool", "green tea"]], "tag string"), 90, "sort", 3)
+    queries = spark.createDataFrame([(t,) for t in ["Wool hat", "candlesticks", "green tea", "nothing"]] + [(None,)], "query string")
+    got = {r["query"]: r.leader for r in fuzzy.lookup(queries, mapping, 90, "sort", 3, "?").collect()}
+    assert got == {"Wool hat": "hat wool", "candlesticks": "candlestick", "green tea": "green tea", "nothing": "?"}

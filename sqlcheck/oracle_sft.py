@@ -111,3 +111,16 @@ O["seq_truncate"] = W("""SELECT order_id, array_to_string(list_slice(loaded_pids
   array_to_string(list_slice(loaded_pids, greatest(len(loaded_pids) - 2, 1), len(loaded_pids)), ',') AS last3 FROM fx_merged""", "fx_merged")
 O["user_name_classes"] = W("""SELECT CASE WHEN n > 2 THEN 'frequent' WHEN n = 2 THEN 'repeat' ELSE 'first_time' END AS class, count(*) AS n_users
 FROM (SELECT uuid_ind, count(*) AS n FROM fx_merged GROUP BY 1) x GROUP BY 1""", "fx_merged")
+
+
+def shuffled(seed: int) -> str:
+    return f"list_transform(list_sort(list_transform(products, lambda p: [md5(order_id || ':' || p || ':{seed}'), CAST(p AS VARCHAR)])), lambda x: x[2])"
+
+
+O["shuffle_rows"] = W("SELECT order_id, row_number() OVER (ORDER BY md5(order_id || ':1'), order_id) - 1 AS shuffle_rank FROM fx_merged", "fx_merged")
+O["shuffle_products"] = W(f"SELECT order_id, array_to_string({shuffled(2)}, ',') AS products FROM fx_merged", "fx_merged")
+O["concat_purchases"] = W(f"""SELECT order_id, uuid_ind, array_to_string(list_concat(list_transform(loaded_pids, lambda p: CAST(p AS VARCHAR)), {shuffled(7)}), ',') AS seq
+FROM fx_merged""", "fx_merged")
+O["sft_dataset"] = W(lines_ctes("lo_", LOADED, ["order_id"], "seq") + CONT + """SELECT c.order_id, c.instruction, c.input, c.output,
+  row_number() OVER (ORDER BY md5(c.order_id || ':11'), c.order_id) - 1 AS shuffle_rank
+FROM cont c JOIN fx_merged m ON m.order_id = c.order_id WHERE m.split IN ('train', 'val')""", "fx_merged", "fx_tags")

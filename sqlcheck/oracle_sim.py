@@ -18,3 +18,15 @@ O["tag_cosine"] = W(f"""
 , d AS (SELECT a.pid AS pa, b.pid AS pb, sum(a.n * b.n) AS dot FROM c a JOIN c b ON a.tag = b.tag GROUP BY 1, 2)
 SELECT pa AS pid_a, pb AS pid_b, round(CASE WHEN pa = pb THEN 1.0 ELSE dot / (x.norm * y.norm) END, 6) AS cosine
 FROM d JOIN nr x ON x.pid = d.pa JOIN nr y ON y.pid = d.pb""", "fx_products", "fx_tags")
+
+# the echo predictor gives the tags of a prompt's first line in reverse order, two of them below top_p 0.5;
+# what follows the marker is kept as it is, with its leading blank
+PROMPTS = """
+, _pr AS (SELECT c.pid, list_slice(t.tags, 1, 3) AS tg FROM fx_products c JOIN fx_tags t ON t.pid = c.pid)
+, _ec AS (SELECT pid, '1. ' || array_to_string(tg, ', ') || chr(10) || '2.' AS input,
+          ' ' || array_to_string(list_reverse(tg), ', ') AS echo, ' ' || array_to_string(list_reverse(list_slice(tg, 1, 2)), ', ') AS echo2 FROM _pr)
+"""
+O["batch_predict"] = W(PROMPTS + "SELECT pid, '' AS instruction, input, echo AS predict FROM _ec", "fx_products", "fx_tags")
+O["batch_predict_multi"] = W(PROMPTS + "SELECT pid, echo2 || ' || ' || echo AS predicts FROM _ec", "fx_products", "fx_tags")
+O["batch_predict_iterative"] = W(PROMPTS + """SELECT pid, '' AS instruction,
+  input || ' ' || echo || chr(10) || '3. ' || echo || chr(10) || '4. ' || echo AS input FROM _ec""", "fx_products", "fx_tags")

@@ -39,7 +39,8 @@ def expand_purchases(orders: DataFrame) -> DataFrame:
 def shuffled_products(seed: int = 0) -> F.Column:
     """T5: the order's products in a seeded pseudo-random order."""
     keyed = F.transform(
-        "products", lambda p: F.struct(F.xxhash64(F.col("order_id"), p, F.lit(seed)).alias("h"), p.alias("p"))
+        "products",
+        lambda p: F.struct(F.md5(F.concat_ws(":", F.col("order_id").cast("string"), p.cast("string"), F.lit(str(seed)))).alias("h"), p.alias("p")),
     )
     return F.transform(F.array_sort(keyed), lambda x: x["p"])
 

@@ -157,7 +157,7 @@ def token_labels(records: DataFrame, key: Sequence[str], system_instruction: str
 
 def shuffle_rank(df: DataFrame, key: Sequence[str], seed: int = 0) -> DataFrame:
     """T4: a seeded, reproducible random order of rows (``shuffle_rank``)."""
-    h = F.xxhash64(*[F.col(k) for k in key], F.lit(seed))
+    h = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
     return dense_index(df.withColumn("_h", h), ["_h", *key], "shuffle_rank").drop("_h")
 
 

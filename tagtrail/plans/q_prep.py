@@ -294,7 +294,7 @@ def q_expand_purchases(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("concat_purchases")
 def q_concat_purchases(spark: SparkSession, sf: str) -> DataFrame:
-    return expand.concat_purchases(prepare(spark, sf).merged, seed=7)
+    return expand.concat_purchases(prepare(spark, sf).merged, seed=7).withColumn("seq", F.array_join("seq", ","))
 
 
 @register("loaded_only_sequences")

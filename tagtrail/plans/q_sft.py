@@ -127,7 +127,7 @@ def q_shuffle_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("shuffle_products")
 def q_shuffle_products(spark: SparkSession, sf: str) -> DataFrame:
-    return _merged(spark, sf).select("order_id", expand.shuffled_products(seed=2).alias("products"))
+    return _merged(spark, sf).select("order_id", F.array_join(expand.shuffled_products(seed=2), ",").alias("products"))
 
 
 @register("sample_products")

@@ -41,3 +41,20 @@ def test_undecided_leaders_raise(spark):
     tags = spark.createDataFrame([("canvas shoes",), ("canvas shoe",), ("canvas shoess",)], "tag string")
     with pytest.raises(RuntimeError, match="rounds"):
         fuzzy.canonical_tags(tags, max_rounds=0)
+
+
+def test_rendering_keeps_every_row(spark):
+    df = spark.createDataFrame([(1, [7, 8, 9]), (2, []), (3, None)], "order_id long, seq array<long>")
+    tags = spark.createDataFrame([(7, ["a", "b"]), (8, ["c"]), (8, ["d"])], "pid long, tags array<string>")
+    got = {r.order_id: r.lines for r in sft.render_lines(df, tags, "seq", ["order_id"]).collect()}
+    assert got == {1: ["1. a, b", "2. c", None], 2: [], 3: None}
+
+
+def test_unknown_tokens_raise_or_take_the_id(spark):
+    rec = spark.createDataFrame([(1, "", "one", "two three")], "order_id long, instruction string, input string, output string")
+    vocab = spark.createDataFrame([("two", 5)], "token string, id long")
+    row = sft.token_labels(rec, ["order_id"], "system", vocab, unknown_id=9).first()
+    end = row.input_ids.index(sft.EOS)
+    assert row.input_ids[end - 2:end] == [5, 9] and row.labels[end - 2:end] == [5, 9] and row.labels[end - 3] == -100
+    with pytest.raises(Exception, match="not in the vocabulary"):
+        sft.token_labels(rec, ["order_id"], "system", vocab).collect()

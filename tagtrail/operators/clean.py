@@ -7,15 +7,15 @@ and order de-duplication (W3) need data movement.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import urls as U
-from pyspark.sql import Window
 
 SESSION_KEYS = ["uuid_ind", "session_id"]
 LOAD_ORDER = ["timestamp", "seq"]
+SLICE = 3_600_000_000  # one hour in microseconds: sessions are ordered slice by slice
 
 
 # ------------------------------------------------------------------ loads ---
@@ -66,20 +66,40 @@ def with_item_columns(loads: DataFrame) -> DataFrame:
     )
 
 
-def session_window() -> Window:
-    return Window.partitionBy(*SESSION_KEYS).orderBy(*LOAD_ORDER)
+def with_slice(loads: DataFrame) -> DataFrame:
+    """``_slice``: start of the time slice of a load (a null timestamp sorts first)."""
+    ts = F.col("timestamp")
+    return loads.withColumn("_slice", F.coalesce(ts - F.pmod(ts, F.lit(SLICE)), F.lit(-(1 << 62))))
+
+
+def with_carry(sliced: DataFrame, carry: DataFrame) -> DataFrame:
+    """Rows plus at most one carry row per slice of a session (``_own`` 0), which sorts before them."""
+    return sliced.withColumn("_own", F.lit(1)).unionByName(carry.withColumn("_own", F.lit(0)), allowMissingColumns=True)
+
+
+def slice_window() -> Window:
+    return Window.partitionBy(*SESSION_KEYS, "_slice").orderBy("_own", *LOAD_ORDER)
+
+
+def earlier_slices() -> Window:
+    """Slices of a session, one row each."""
+    return Window.partitionBy(*SESSION_KEYS).orderBy("_slice")
 
 
 def drop_consecutive_duplicates(loads: DataFrame) -> DataFrame:
     """Inside a session ordered by (timestamp, seq), drop a load whose
     path equals the previous load's path (``lag``; a NULL lag keeps the row).
 
-    The window hash-partitions by the session keys; the later positions
-    window and the order join use the same keys, so Spark keeps this one
-    partitioning for the whole load chain (a single shuffle of the loads)."""
-    prev = F.lag("url_path").over(session_window())
-    kept = loads.withColumn("_prev", prev).where(F.col("_prev").isNull() | (F.col("_prev") != F.col("url_path")))
-    return kept.drop("_prev")
+    A session is compared slice by slice, so a hot session spreads over its
+    slices; the last path of the slice before comes as a carry row, from an
+    aggregate that is combined map-side."""
+    sliced = with_slice(loads)
+    last = sliced.groupBy(*SESSION_KEYS, "_slice").agg(F.max_by("url_path", F.struct(*LOAD_ORDER)).alias("_last"))
+    carry = last.select(*SESSION_KEYS, "_slice", F.lag("_last").over(earlier_slices()).alias("url_path")).where("url_path IS NOT NULL")
+    prev = F.lag("url_path").over(slice_window())
+    kept = with_carry(sliced, carry).withColumn("_prev", prev)
+    kept = kept.where((F.col("_own") == 1) & (F.col("_prev").isNull() | (F.col("_prev") != F.col("url_path"))))
+    return kept.select(*loads.columns)
 
 
 def pre_dedup_loads(raw: DataFrame, domain: str = C.FIXTURE_DOMAIN, families: dict[str, str] | None = None) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from .clean import LOAD_ORDER, SESSION_KEYS
+from .clean import SESSION_KEYS, earlier_slices, slice_window, with_carry, with_slice
+from .indexing import dense_index
 
 LOAD_FIELDS = ["pos", "timestamp", "seq", "item_id", "item_type", "url_path", "main_cat", "sub_cat"]
 
@@ -20,8 +21,19 @@ def restrict_loads_to_catalogue(loads: DataFrame, catalogue: DataFrame) -> DataF
 
 
 def position_loads(loads: DataFrame) -> DataFrame:
-    """1-based position of every load inside its session, by (timestamp, seq)."""
-    return loads.withColumn("pos", F.row_number().over(Window.partitionBy(*SESSION_KEYS).orderBy(*LOAD_ORDER)))
+    """1-based position of every load inside its session, by (timestamp, seq).
+
+    Counted inside time slices; the loads of the earlier slices come as a
+    carry row, so no task orders a whole hot session."""
+    sliced = with_slice(loads)
+    counts = sliced.groupBy(*SESSION_KEYS, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    upto = earlier_slices().rowsBetween(Window.unboundedPreceding, -1)
+    carry = counts.select(*SESSION_KEYS, "_slice", F.sum("_n").over(upto).alias("_before")).where("_before IS NOT NULL")
+    rows = with_carry(sliced, carry)
+    # without a carry row the count starts at 0; with one, the carry row itself is counted too
+    before = F.first("_before").over(slice_window())
+    pos = F.row_number().over(slice_window()) + F.coalesce(before - 1, F.lit(0).cast("bigint"))
+    return rows.withColumn("pos", pos.cast("int")).where("_own = 1").select(*loads.columns, "pos")
 
 
 def preceding_loads_long(orders: DataFrame, positioned_loads: DataFrame) -> DataFrame:
@@ -40,13 +52,13 @@ def attach_preceding_loads(orders: DataFrame, positioned_loads: DataFrame) -> Da
     """J1 (array form): orders plus ``loads`` ARRAY<STRUCT> ordered by
     position and ``loaded_pids``; orders with no preceding load are dropped.
 
-    The aggregate groups by (session, order) so it reuses the join's
-    partitioning on the session keys instead of shuffling again."""
+    The aggregate groups by the order alone: it has a shuffle of its own, so
+    AQE may split a hot session in the join before it."""
     o = orders.select(*orders.columns, F.col("timestamp").alias("_o_ts"))
     l = positioned_loads.select(*SESSION_KEYS, *[F.col(c).alias("_l_" + c) for c in LOAD_FIELDS])
     j = o.join(l, SESSION_KEYS).where(F.col("_l_timestamp") <= F.col("_o_ts"))
-    other = [c for c in orders.columns if c not in SESSION_KEYS + ["order_id"]]
-    agg = j.groupBy(*SESSION_KEYS, "order_id").agg(
+    other = [c for c in orders.columns if c != "order_id"]
+    agg = j.groupBy("order_id").agg(
         *[F.any_value(c).alias(c) for c in other],
         F.array_sort(F.collect_list(F.struct(*[F.col("_l_" + c).alias(c) for c in LOAD_FIELDS]))).alias("loads"),
     )
@@ -106,11 +118,8 @@ def split_bounds(df: DataFrame, ts_col: str = "timestamp", train_ratio: float =
 
 
 def product_index(catalogue: DataFrame) -> DataFrame:
-    """Dense index 0..N-1 of the catalogue by pid. A global window is
-    one task -- fine for the catalogue by design (hundreds of ids); see
-    ``dense_index`` for an unbounded variant."""
-    w = Window.orderBy("pid")
-    return catalogue.select("pid").distinct().withColumn("idx", F.row_number().over(w) - 1)
+    """Dense index 0..N-1 (bigint) of the catalogue by pid."""
+    return dense_index(catalogue.select("pid").distinct(), ["pid"])
 
 
 def multi_hot_labels(orders: DataFrame, catalogue: DataFrame) -> DataFrame:

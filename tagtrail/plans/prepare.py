@@ -60,7 +60,9 @@ def prepare(spark: SparkSession, sf_dir: str, domain: str = C.FIXTURE_DOMAIN, sp
         if key not in _PREPARED:
             cat = cut_lineage(fx.products(spark, sf_dir), "catalogue")
             b = build(spark, sf_dir, domain, cat, split=False)
-            loads = cut_lineage(b.loads, "prepared_loads")
+            # written before the positions, which read the loads twice
+            kept = cut_lineage(O.restrict_loads_to_catalogue(clean_loads(spark, sf_dir, domain), cat), "cleaned_loads")
+            loads = cut_lineage(O.position_loads(kept), "prepared_loads")
             # orders are written before the split: the split bounds are a
             # one-row aggregate over this small table, not a second run of
             # the cleaning and the join

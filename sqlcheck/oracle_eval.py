@@ -207,3 +207,12 @@ O["random_metrics"] = W("""
 , _no AS (SELECT order_id, target AS pid, 0.0 AS score FROM fx_next_last WHERE false)
 , _truth AS (SELECT order_id, split, target AS pid FROM fx_next_last)"""
     + fill_ctes("_no", 20, 5) + metrics_ctes("m", "_filled", "_truth") + "SELECT * FROM mout", "fx_next_last", "fx_products")
+O["ranking_metrics_filled"] = W(BASE_NEXT + fill_ctes("_bsc", 20, 3) + metrics_ctes("m_", "_filled", "_ntruth") + "SELECT * FROM m_out",
+                                "fx_next_last", "fx_products")
+O["tag_metrics_filled"] = W(BASE_NEXT + tag_bm25_scores("b_", "last") + fill_ctes("b_sc", 20, 3) + metrics_ctes("m_", "_filled", "_ntruth")
+                            + "SELECT * FROM m_out", "fx_next_last", "fx_tags", "fx_products")
+O["bm25_reloaded_top_n"] = O["bm25_top_n"]
+O["bm25_index_reload"] = W(DOC_BM25 + """SELECT (SELECT count(*) FROM d_post) AS n_postings, (SELECT round(sum(w), 3) FROM d_post) AS sum_w,
+    (SELECT CAST(sum(df) AS BIGINT) FROM d_terms) AS sum_df, (SELECT CAST(sum(dl) AS BIGINT) FROM d_docs) AS sum_dl,
+    c.n_docs, round(c.avgdl, 6) AS avgdl, (SELECT count(*) FROM d_terms) AS n_terms,
+    CAST(1.5 AS DOUBLE) AS k1, CAST(0.75 AS DOUBLE) AS b, CAST(4.0 AS DOUBLE) AS alpha FROM d_cs c""", "fx_tag_docs")

@@ -9,17 +9,17 @@ from .fixtures_sql import sql_str, with_ctes
 O: dict[str, str] = {}
 W = with_ctes
 N_TAGS, MAX_LEN = 3, 7
-SYSTEM = "Predict the next product tags based on browsing histories. Provide exactly 3 output tags, comma-separated, sorted by relevance. "
+SYSTEM = "Suggest three tags, best first and with commas between them, for the product that the shopper opens next. "
 
 
-def lines_ctes(p: str, src: str, keys: list[str], seq: str) -> str:
-    """``{p}lines(keys..., lines)``: last MAX_LEN items as numbered tag lines."""
+def lines_ctes(p: str, src: str, keys: list[str], seq: str, n_tags: int = N_TAGS, max_len: int = MAX_LEN) -> str:
+    """``{p}lines(keys..., lines)``: last ``max_len`` items as numbered tag lines."""
     k = ", ".join(keys)
     kx = ", ".join(f"x.{c}" for c in keys)
     return f"""
-, {p}tr AS (SELECT {k}, list_slice({seq}, greatest(len({seq}) - {MAX_LEN} + 1, 1), len({seq})) AS s FROM {src})
+, {p}tr AS (SELECT {k}, list_slice({seq}, greatest(len({seq}) - {max_len} + 1, 1), len({seq})) AS s FROM {src})
 , {p}ex AS (SELECT {k}, unnest(s) AS pid, generate_subscripts(s, 1) AS i FROM {p}tr)
-, {p}lines AS (SELECT {kx}, list(CAST(x.i AS VARCHAR) || '. ' || array_to_string(list_slice(t.tags, 1, {N_TAGS}), ', ') ORDER BY x.i) AS lines
+, {p}lines AS (SELECT {kx}, list(CAST(x.i AS VARCHAR) || '. ' || array_to_string(list_slice(t.tags, 1, {n_tags}), ', ') ORDER BY x.i) AS lines
                FROM {p}ex x JOIN fx_tags t ON t.pid = x.pid GROUP BY {kx})
 """
 
@@ -124,3 +124,24 @@ FROM fx_merged""", "fx_merged")
 O["sft_dataset"] = W(lines_ctes("lo_", LOADED, ["order_id"], "seq") + CONT + """SELECT c.order_id, c.instruction, c.input, c.output,
   row_number() OVER (ORDER BY md5(c.order_id || ':11'), c.order_id) - 1 AS shuffle_rank
 FROM cont c JOIN fx_merged m ON m.order_id = c.order_id WHERE m.split IN ('train', 'val')""", "fx_merged", "fx_tags")
+
+
+def dataset_sql(src: str, keys: list[str], seed: int, purchase: bool) -> str:
+    """Records of sequences ``src`` (keys, uuid_ind, seq) with names, the default lengths and a seeded order."""
+    text = " || ':' || ".join(keys)
+    if purchase:
+        record = f"""array_to_string(list_slice(lines, 1, len(lines) - 1), chr(10)) || chr(10) || CAST(len(lines) AS VARCHAR) || '.' AS input,
+  {denum('lines[len(lines)]')} AS output"""
+    else:
+        record = f"""lines[1] || chr(10) || '2.' AS input, CASE WHEN len(lines) = 2 THEN {denum('lines[2]')}
+  ELSE {denum('lines[2]')} || chr(10) || array_to_string(list_slice(lines, 3, len(lines)), chr(10)) END AS output"""
+    return W(lines_ctes("ds_", src, [*keys, "uuid_ind"], "seq", 5, 20) + f"""SELECT {", ".join(keys)}, 'User: customer ' || uuid_ind AS instruction, {record},
+  row_number() OVER (ORDER BY md5({text} || ':{seed}'), {", ".join(keys)}) - 1 AS shuffle_rank FROM ds_lines""", "fx_merged", "fx_tags")
+
+
+TV = "split IN ('train', 'val')"
+O["sft_dataset_loaded"] = dataset_sql(f"(SELECT order_id, uuid_ind, loaded_pids AS seq FROM fx_merged WHERE len(loaded_pids) >= 2 AND {TV})", ["order_id"], 12, False)
+O["sft_dataset_expanded"] = dataset_sql(
+    f"(SELECT order_id, uuid_ind, p AS product, list_append(loaded_pids, p) AS seq FROM fx_merged, unnest(products) u(p) WHERE {TV})", ["order_id", "product"], 13, True)
+O["sft_dataset_concatenated"] = dataset_sql(
+    f"(SELECT order_id, uuid_ind, list_concat(loaded_pids, CAST({shuffled(17)} AS BIGINT[])) AS seq FROM fx_merged WHERE {TV})", ["order_id"], 17, False)

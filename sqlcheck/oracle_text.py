@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .fixtures_sql import sql_str, with_ctes
-from .oracle_eval import BASE_NEXT, O as EVAL, QUERIES, bm25_ctes, metrics_ctes, tag_bm25_scores
+from .oracle_eval import BASE_NEXT, O as EVAL, metrics_ctes, tag_bm25_scores
 
 O: dict[str, str] = {}
 W = with_ctes
@@ -82,30 +82,33 @@ _tm = W(BASE_NEXT + tag_bm25_scores("b_", "union") + metrics_ctes("m_", "b_sc",
 
 
 def _grid() -> str:
-    """One block of CTEs per grid configuration, all in one statement."""
-    parts, outs = [], []
-    base = f"""
+    """All cells of the grid as rows: the cell is a key of every step."""
+    k, b, one = "CAST(0.75 AS DOUBLE)", "CAST(0.75 AS DOUBLE)", "CAST(1 AS DOUBLE)"
+    return f"""
+, cells AS (SELECT 'l' || m || '_p' || p AS cell, m, p FROM range(8, 11) a(m), range(0, 7) c(p))
 , gp AS (SELECT pid, {parse_tags('raw_predict')} AS t FROM fx_predictions WHERE pid IN (SELECT pid FROM fx_products))
-, gtruth AS (SELECT order_id, split, target AS pid FROM fx_next_last)"""
-    for q in ("sum", "union", "last"):
-        for m in (2, 3):
-            for p in (0, 1):
-                c = f"{q}_l{m}_p{p}"
-                g = f"g_{q}{m}{p}_"
-                extra = "[CAST(pid AS VARCHAR)]" if p else "CAST([] AS VARCHAR[])"
-                parts.append(f"""
-, {g}tags AS (SELECT pid, list_concat(list_slice(t, 1, {m}), {extra}) AS tags FROM gp)
-, {g}lt AS (SELECT x.order_id, x.pos, x.n_pos, t.tags FROM (
+, gt AS (SELECT cell, pid, list_concat(list_slice(t, 1, m), list_transform(range(p), lambda x: CAST(pid AS VARCHAR))) AS tags FROM gp, cells)
+, glt AS (SELECT t.cell, x.order_id, x.pos, x.n_pos, t.tags FROM (
     SELECT order_id, len(prefix) AS n_pos, unnest(prefix) AS pid, generate_subscripts(prefix, 1) - 1 AS pos FROM fx_next_last) x
-    JOIN {g}tags t ON t.pid = x.pid)
-, {g}cnt AS (SELECT order_id, pos, any_value(n_pos) AS n_pos, term, count(*) AS cnt
-           FROM (SELECT order_id, pos, n_pos, unnest(tags) AS term FROM {g}lt) y GROUP BY order_id, pos, term)
-, {g}q AS ({QUERIES[q].replace('_cnt', g + 'cnt')})""" + bm25_ctes(g, f"SELECT pid AS doc_id, tags AS tokens FROM {g}tags", 0.75, 0.75, 1.0)
-                    + f"""
-, {g}sc AS (SELECT q.order_id, p.doc_id AS pid, round(sum(q.qty * p.w), 9) AS score FROM {g}q q JOIN {g}post p ON q.term = p.term GROUP BY 1, 2)"""
-                    + metrics_ctes(g + "m_", g + "sc", "gtruth"))
-                outs.append(f"SELECT '{c}' AS config_id, * FROM {g}m_out")
-    return base + "".join(parts) + "\n" + "\nUNION ALL ".join(outs)
+    JOIN gt t ON t.pid = x.pid)
+, gcnt AS (SELECT cell, order_id, pos, n_pos, term, count(*) AS cnt
+           FROM (SELECT cell, order_id, pos, n_pos, unnest(tags) AS term FROM glt) y GROUP BY ALL)
+, gq AS (SELECT 'sum' AS qf, cell, order_id, term, CAST(sum(cnt) AS BIGINT) AS qty FROM gcnt GROUP BY ALL
+   UNION ALL SELECT 'union', cell, order_id, term, max(cnt) FROM gcnt GROUP BY ALL
+   UNION ALL SELECT 'last', cell, order_id, term, cnt FROM gcnt WHERE pos = n_pos - 1)
+, gdl AS (SELECT cell, pid, len(tags) AS dl FROM gt)
+, gcs AS (SELECT cell, count(*) AS n_docs, avg(dl) AS avgdl FROM gdl GROUP BY cell)
+, gtf AS (SELECT cell, term, pid, count(*) AS tf FROM (SELECT cell, pid, unnest(tags) AS term FROM gt) x GROUP BY ALL)
+, gidf AS (SELECT f.cell, f.term, ln(n_docs - df + 0.5) - ln(df + 0.5) AS idf
+           FROM (SELECT cell, term, count(*) AS df FROM gtf GROUP BY ALL) f JOIN gcs c ON c.cell = f.cell)
+, gpost AS (SELECT f.cell, f.term, f.pid, i.idf * f.tf * ({k} + 1) / (f.tf + {k} * ({one} - {b} + {b} * d.dl / c.avgdl)) AS w
+            FROM gtf f JOIN gidf i ON i.cell = f.cell AND i.term = f.term JOIN gdl d ON d.cell = f.cell AND d.pid = f.pid
+            JOIN gcs c ON c.cell = f.cell WHERE i.idf > 1)
+, gsc AS (SELECT q.qf || '_' || q.cell || '#' || q.order_id AS order_id, p.pid, round(sum(q.qty * p.w), 9) AS score
+          FROM gq q JOIN gpost p ON p.cell = q.cell AND p.term = q.term GROUP BY ALL)
+, gtruth AS (SELECT f.qf || '_' || cell || '#' || order_id AS order_id, f.qf || '_' || cell || '#' || split AS split, target AS pid
+             FROM fx_next_last, cells, (VALUES ('sum'), ('union'), ('last')) f(qf))
+""" + metrics_ctes("g_", "gsc", "gtruth") + """SELECT split_part(split, '#', 1) AS config_id, split_part(split, '#', 2) AS split, * EXCLUDE (split) FROM g_out"""
 
 
 O["eval_grid"] = W(_grid(), "fx_predictions", "fx_products", "fx_next_last")

@@ -90,17 +90,21 @@ def top_n(scores: DataFrame, n: int = 5, key: str = "query_id", doc_col: str = "
 
 
 def save_index(index: BM25Index, path: str) -> None:
-    """Persist the four tables as Parquet; postings clustered by term."""
+    """Persist the four tables and the parameters as Parquet; postings clustered by term."""
     index.postings.repartition("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path + "/postings")
     index.terms.write.mode("overwrite").parquet(path + "/terms")
     index.docs.write.mode("overwrite").parquet(path + "/docs")
     index.stats.write.mode("overwrite").parquet(path + "/stats")
+    params = [(float(index.k1), float(index.b), float(index.alpha), index.group)]
+    index.stats.sparkSession.createDataFrame(params, "k1 double, b double, alpha double, group array<string>").write.mode("overwrite").parquet(path + "/params")
 
 
-def load_index(spark, path: str, k1: float = C.BM25_K1, b: float = C.BM25_B, alpha: float = C.BM25_ALPHA) -> BM25Index:
+def load_index(spark, path: str) -> BM25Index:
+    """The index saved at ``path``, with the parameters its weights were made with."""
     r = spark.read
+    p = r.parquet(path + "/params").first()  # one row
     return BM25Index(r.parquet(path + "/postings"), r.parquet(path + "/terms"), r.parquet(path + "/docs"),
-                     r.parquet(path + "/stats"), k1, b, alpha, [])
+                     r.parquet(path + "/stats"), p.k1, p.b, p.alpha, list(p.group))
 
 
 def iou_score(query: DataFrame, corpus: DataFrame, key: str = "order_id", doc_col: str = "pid", tokens_col: str = "tags") -> DataFrame:

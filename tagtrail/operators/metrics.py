@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..session import cut_lineage
+from .scoring import hash_fill
 
 
 def _ks(ks: int | Sequence[int] | None) -> list[int]:
@@ -121,9 +123,16 @@ def truth_from_products(orders: DataFrame, group_cols: Sequence[str] = ("split",
 def ranking_metrics(
     scores: DataFrame, truth: DataFrame, ks: int | Sequence[int] | None = None,
     key: str = "order_id", group_cols: Sequence[str] = ("split",), digits: int = 6,
+    fill: DataFrame | None = None, seed: int = 0,
 ) -> DataFrame:
-    """M4 end to end for the long form: rank, join truth, average per group."""
+    """M4 end to end for the long form: rank, join truth, average per group.
+
+    With a catalogue (pid) as ``fill``, products without a score rank behind
+    the scored ones in a random order of each evaluated order (R9)."""
     ks = _ks(ks)
+    if fill is not None:
+        # read three times by the fill
+        scores = hash_fill(cut_lineage(scores.select(key, "pid", "score"), "scores"), truth, fill, max(ks), seed, key)
     ranked = rank_scores(scores, max(ks), key)
     per = per_order_metrics_long(ranked, truth, ks, key, group_cols)
     return summarise(per, ks, group_cols, digits)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as T
+from . import expand
 from .indexing import dense_index
 
 
@@ -65,6 +66,32 @@ def user_instruction(names: DataFrame | None, df: DataFrame, key: str = "uuid_in
     return j.withColumn("instruction", F.concat(F.lit("User: "), F.col("user_name"))).drop("user_name")
 
 
+def dataset(orders: DataFrame, tags: DataFrame, mode: str, names: DataFrame | None = None,
+            n_tags: int = 5, max_len: int = 20, seed: int = 0) -> DataFrame:
+    """Instruction records in a seeded random order (``shuffle_rank``). Modes:
+
+    * ``loaded``: loads of orders with at least two, continuation records;
+    * ``concatenated``: loads and then the purchases in a random order, continuation records;
+    * ``expanded``: one purchase record per purchased product.
+
+    With ``names`` (uuid_ind, user_name) a user without a name is an error."""
+    key = ["order_id"]
+    if mode == "loaded":
+        seqs = expand.loaded_only_sequences(orders)
+    elif mode == "concatenated":
+        seqs = expand.concat_purchases(orders, seed)
+    elif mode == "expanded":
+        seqs, key = expand.expand_purchases(orders), ["order_id", "product"]
+    else:
+        raise ValueError(f"unknown mode {mode!r}")
+    lines = user_instruction(names, render_lines(seqs, tags, "seq", key, n_tags, max_len))
+    if names is not None:
+        missing = F.raise_error(F.concat(F.lit("no name for user "), F.col("uuid_ind").cast("string"))).cast("string")
+        lines = lines.withColumn("instruction", F.coalesce("instruction", missing))
+    record = purchase_record() if mode == "expanded" else continuation_record()
+    return shuffle_rank(lines.select(*key, "instruction", *record), key, seed)
+
+
 def product_prompts(catalogue: DataFrame, tags: DataFrame, n_tags: int = 5) -> DataFrame:
     """One tag-generation prompt per catalogue product."""
     j = catalogue.select("pid").join(tags.select("pid", "tags"), "pid")

@@ -170,11 +170,35 @@ def q_bm25_index_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return _round(back.terms, ["idf"])
 
 
+@register("bm25_index_reload")
+def q_bm25_index_reload(spark: SparkSession, sf: str) -> DataFrame:
+    """All four tables and the parameters read back, summed up in one row."""
+    path = scratch_path(spark, "bm25")
+    bm25.save_index(_doc_index(spark, sf), path)
+    i = bm25.load_index(spark, path)
+    p = i.postings.agg(F.count(F.lit(1)).alias("n_postings"), F.round(F.sum("w"), 3).alias("sum_w"))
+    t = i.terms.agg(F.sum("df").alias("sum_df"))
+    d = i.docs.agg(F.sum("dl").alias("sum_dl"))
+    s = i.stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"), "n_terms")
+    return p.crossJoin(t).crossJoin(d).crossJoin(s).select("*", F.lit(i.k1).alias("k1"), F.lit(i.b).alias("b"), F.lit(i.alpha).alias("alpha"))
+
+
+@register("bm25_reloaded_top_n")
+def q_bm25_reloaded_top_n(spark: SparkSession, sf: str) -> DataFrame:
+    """R5 + T2: the search of ``bm25_top_n`` on an index that was saved and read back."""
+    path = scratch_path(spark, "bm25")
+    bm25.save_index(_doc_index(spark, sf), path)
+    return _passage_top_n(spark, sf, bm25.load_index(spark, path))
+
+
 @register("bm25_top_n")
 def q_bm25_top_n(spark: SparkSession, sf: str) -> DataFrame:
     """The 5 best documents for every benchmark passage (lower-cased
     whitespace tokens as the query)."""
-    idx = _doc_index(spark, sf)
+    return _passage_top_n(spark, sf, _doc_index(spark, sf))
+
+
+def _passage_top_n(spark: SparkSession, sf: str, idx: bm25.BM25Index) -> DataFrame:
     bench = fx.read_table(spark, sf, "benchmark").select(
         F.col("item_id").alias("query_id"), F.explode(F.expr(r"filter(split(lower(text), '\\s+'), t -> t <> '')")).alias("term")
     )
@@ -207,6 +231,18 @@ def q_tag_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return TE.tag_metrics(n, TE.next_item_truth(n), fx.tags(spark, sf), fx.products(spark, sf), "union", alpha=TAG_ALPHA)
 
 
+@register("ranking_metrics_filled")
+def q_ranking_metrics_filled(spark: SparkSession, sf: str) -> DataFrame:
+    n = _next(spark, sf)
+    return M.ranking_metrics(scoring.baseline_score(n, "prefix"), TE.next_item_truth(n), fill=fx.products(spark, sf), seed=3)
+
+
+@register("tag_metrics_filled")
+def q_tag_metrics_filled(spark: SparkSession, sf: str) -> DataFrame:
+    n = _next(spark, sf)
+    return TE.tag_metrics(n, TE.next_item_truth(n), fx.tags(spark, sf), fx.products(spark, sf), "last", alpha=TAG_ALPHA, fill=True, seed=3)
+
+
 @register("metrics_report")
 def q_metrics_report(spark: SparkSession, sf: str) -> DataFrame:
     """One wide table, one row per model/split."""

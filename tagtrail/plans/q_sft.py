@@ -13,7 +13,7 @@ from .registry import register
 
 N_TAGS = 3
 MAX_LEN = 7
-SYSTEM = "Predict the next product tags based on browsing histories. Provide exactly 3 output tags, comma-separated, sorted by relevance. "
+SYSTEM = "Suggest three tags, best first and with commas between them, for the product that the shopper opens next. "
 CONFIGS = [
     {"temperature": 2.0, "top_p": 0.3},
     {"temperature": 1.0, "top_p": 0.9},
@@ -101,10 +101,21 @@ def q_sft_dataset(spark: SparkSession, sf: str) -> DataFrame:
     """train+val, loaded-only sequences, seeded shuffle, continuation records."""
     m = _merged(spark, sf)
     tv = m.where(F.col("split") == "train").unionByName(m.where(F.col("split") == "val"))
-    seqs = expand.loaded_only_sequences(tv)
-    r = sft.render_lines(seqs, fx.tags(spark, sf), "seq", ["order_id"], N_TAGS, MAX_LEN)
-    rec = r.select("order_id", F.lit("").alias("instruction"), *sft.continuation_record("lines"))
-    return sft.shuffle_rank(rec, ["order_id"], seed=11)
+    return sft.dataset(tv, fx.tags(spark, sf), "loaded", None, N_TAGS, MAX_LEN, seed=11)
+
+
+def _dataset(mode: str, seed: int):
+    def q(spark: SparkSession, sf: str) -> DataFrame:
+        """I9 with user names and the default lengths."""
+        m = _merged(spark, sf).where(F.col("split").isin("train", "val"))
+        names = m.select("uuid_ind").distinct().select("uuid_ind", F.concat(F.lit("customer "), F.col("uuid_ind").cast("string")).alias("user_name"))
+        return sft.dataset(m, fx.tags(spark, sf), mode, names, seed=seed)
+
+    return q
+
+
+for _mode, _seed in (("loaded", 12), ("expanded", 13), ("concatenated", 17)):
+    register(f"sft_dataset_{_mode}")(_dataset(_mode, _seed))
 
 
 @register("prompt_config_grid")

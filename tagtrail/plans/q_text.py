@@ -10,7 +10,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField,
 from .. import sinks
 from ..functions import text as T
 from ..operators import expand, metrics as M, reports, tagquery, bm25
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import fixtures as fx, json_maps as J
 from . import tag_eval as TE
 from .prepare import prepare
@@ -165,39 +165,36 @@ def q_epoch_vs_reference_metric(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---------------------------------------------------------- eval grid -----
-GRID_MAX_LEN = (2, 3)
-GRID_N_PID = (0, 1)
+GRID_MAX_LEN = (8, 9, 10)
+GRID_N_PID = (0, 1, 2, 3, 4, 5, 6)
 GRID_QUERY = ("sum", "union", "last")
 
 
 def grid_frame(spark: SparkSession) -> DataFrame:
-    rows = [(f"{q}_l{m}_p{p}", q, m, p) for q in GRID_QUERY for m in GRID_MAX_LEN for p in GRID_N_PID]
-    return spark.createDataFrame(rows, "config_id string, query_fn string, max_len int, n_pid int")
+    rows = [(f"l{m}_p{p}", m, p) for m in GRID_MAX_LEN for p in GRID_N_PID]
+    return spark.createDataFrame(rows, "cell string, max_len int, n_pid int")
 
 
 @register("eval_grid")
 def q_eval_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Every (query function x max tag length x pid-tag count x split)
-    evaluated in one job, ``config_id`` being part of every key. The grid is
-    a small broadcast table; each config gets its own BM25 index."""
-    grid = F.broadcast(grid_frame(spark))
+    evaluated in one job. The cells are a small literal table; one index with
+    the cell as its group serves all query functions."""
+    cells = F.broadcast(grid_frame(spark))
     n = expand.next_item_last(prepare(spark, sf).merged)
     preds = fx.predictions(spark, sf).join(fx.products(spark, sf), "pid", "left_semi")
     parsed = preds.select("pid", T.parse_tags("raw_predict").alias("_t"))
-    tags = parsed.crossJoin(grid).select(
-        "config_id", "query_fn", "pid",
-        F.concat(F.slice("_t", 1, F.col("max_len")), F.array_repeat(F.col("pid").cast("string"), F.col("n_pid"))).alias("tags"),
-    )
-    seqs = n.crossJoin(grid.select("config_id", "query_fn"))
-    outs = []
+    tags = parsed.crossJoin(cells).select(
+        "cell", "pid", F.concat(F.slice("_t", 1, F.col("max_len")), F.array_repeat(F.col("pid").cast("string"), F.col("n_pid"))).alias("tags"))
+    tags = cut_lineage(tags, "grid_tags")  # read by the index and by every query function
+    seqs = n.crossJoin(cells.select("cell"))
+    order = F.col("order_id").cast("string")
+    asked = None
     for qf in GRID_QUERY:
-        s_q = seqs.where(F.col("query_fn") == qf).drop("query_fn")
-        t_q = tags.where(F.col("query_fn") == qf).drop("query_fn")
-        q = tagquery.build_query(s_q, t_q, qf, group=["config_id"])
-        idx = bm25.build_index(t_q, "pid", "tags", k1=0.75, alpha=1.0, group=["config_id"])
-        outs.append(bm25.score(idx, q, "order_id", doc_alias="pid"))
-    scores = outs[0].unionByName(outs[1]).unionByName(outs[2])
-    scores = scores.withColumn("order_id", F.concat_ws("#", "config_id", F.col("order_id").cast("string")))
-    truth = seqs.select(F.concat_ws("#", "config_id", F.col("order_id").cast("string")).alias("order_id"),
-                        "config_id", "split", F.col("target").alias("pid"))
+        q = tagquery.build_query(seqs, tags, qf, group=["cell"]).withColumn("order_id", F.concat_ws("#", F.lit(qf), order))
+        asked = q if asked is None else asked.unionByName(q)
+    idx = bm25.build_index(tags, "pid", "tags", k1=0.75, alpha=1.0, group=["cell"])
+    scores = bm25.score(idx, asked, "order_id", doc_alias="pid").withColumn("order_id", F.concat_ws("#", "cell", "order_id"))
+    truth = seqs.select("cell", "split", order.alias("order_id"), F.col("target").alias("pid"), F.explode(F.array(*map(F.lit, GRID_QUERY))).alias("qf"))
+    truth = truth.select(F.concat_ws("#", "cell", "qf", "order_id").alias("order_id"), F.concat_ws("_", "qf", "cell").alias("config_id"), "split", "pid")
     return M.ranking_metrics(scores, truth, (5, 10, 20), "order_id", ["config_id", "split"])

@@ -44,11 +44,12 @@ def tag_scores(
 def tag_metrics(
     seqs: DataFrame, truth: DataFrame, tags: DataFrame, catalogue: DataFrame, query_fn: str = "union",
     algorithm: str = "bm25", ks: Sequence[int] = C.DEFAULT_KS, key: str = "order_id", seq_col: str = "prefix",
-    group_cols: Sequence[str] = ("split",), alpha: float = C.BM25_ALPHA,
+    group_cols: Sequence[str] = ("split",), alpha: float = C.BM25_ALPHA, fill: bool = False, seed: int = 0,
 ) -> DataFrame:
-    """Metrics for every split (``split`` stays a group key -- one job)."""
+    """Metrics for every split (``split`` stays a group key -- one job).
+    ``fill`` ranks the catalogue's unscored products behind the scored ones (R9)."""
     scores = tag_scores(seqs, tags, catalogue, query_fn, algorithm, key, seq_col, alpha=alpha)
-    return M.ranking_metrics(scores, truth, ks, key, group_cols)
+    return M.ranking_metrics(scores, truth, ks, key, group_cols, fill=catalogue if fill else None, seed=seed)
 
 
 def next_item_truth(nxt: DataFrame, key: str = "order_id") -> DataFrame:

@@ -67,7 +67,12 @@ cte("fx_ev", """SELECT event_id, event_type AS _etype, user_id AS uuid_ind, valu
        CAST((epoch_us(ts) - 1704067200000000) // 604800000000 AS VARCHAR) AS session_id
 FROM events""")
 
-cte("fx_loads_raw", """SELECT 'shop' AS web_id, 'load' AS event_type, event_id AS seq, "timestamp", session_id,
+OTHER_PAGES = (
+    "member.php newslist.php specialty.html authenticate.php contact_proposal.html forget.php inquiry.html sentok.php brand.html precursor.php new_ecpay_payment_3d.php shoppingcart.html index.html insearch.html "
+    "modify.html new_order_12.html orderview_ab1.html login_3.php registered.php setbonus_x.html getgift_a.html faq_2.html bulletin_4.html cheapview_5.php bastchoice.php inpage_1_2.html about.html sitemap.xml"
+)
+
+cte("fx_loads_raw", f"""SELECT 'shop' AS web_id, 'load' AS event_type, event_id AS seq, "timestamp", session_id,
   CASE WHEN event_id % 17 = 0 THEN url_now
        WHEN event_id % 3 = 0 THEN 'https://shop.example/inpage_' || CAST(_k % 5 AS VARCHAR) || '_' || CAST(_k % 7 AS VARCHAR) || '.html'
        WHEN event_id % 3 = 1 THEN 'https://shop.example/index_' || CAST(_k % 5 AS VARCHAR) || '.html'
@@ -75,7 +80,7 @@ cte("fx_loads_raw", """SELECT 'shop' AS web_id, 'load' AS event_type, event_id A
   url_now,
   CASE event_id % 3 WHEN 0 THEN 'desktop' WHEN 1 THEN 'mobile' ELSE 'tablet' END AS device_type,
   CAST(event_id % 5 AS INTEGER) AS landing_count, uuid_ind
-FROM (SELECT *, CASE WHEN event_id % 11 = 0 THEN 'https://mob.shop.example/member.php?x=1'
+FROM (SELECT *, CASE WHEN event_id % 11 = 0 THEN 'https://mob.shop.example/' || string_split('{OTHER_PAGES}', ' ')[(event_id // 11) % 28 + 1] || '?x=1'
                      WHEN event_id % 13 = 0 THEN 'https://other.example/cheap_' || CAST(_k AS VARCHAR) || '.html'
                      ELSE 'https://mob.shop.example/' || CASE WHEN _etype = 'click' THEN 'cheap' ELSE 'favorable' END
                           || '_' || CAST(_k AS VARCHAR) || '.html?ref=' || CAST(event_id AS VARCHAR) END AS url_now

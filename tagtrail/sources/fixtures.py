@@ -49,11 +49,18 @@ def loads_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loads_raw_from(read_table(spark, sf_dir, "events"))
 
 
+# one page of each family and two unknown pages
+OTHER_PAGES = (
+    "member.php newslist.php specialty.html authenticate.php contact_proposal.html forget.php inquiry.html sentok.php brand.html precursor.php new_ecpay_payment_3d.php shoppingcart.html index.html insearch.html "
+    "modify.html new_order_12.html orderview_ab1.html login_3.php registered.php setbonus_x.html getgift_a.html faq_2.html bulletin_4.html cheapview_5.php bastchoice.php inpage_1_2.html about.html sitemap.xml"
+)
+
+
 def loads_raw_from(events: DataFrame) -> DataFrame:
     """fx_loads_raw over any events DataFrame (batch or streaming)."""
     ev = _event_rows(events, ["view", "click"])
     url_now = F.expr(
-        """case when event_id % 11 = 0 then 'https://mob.shop.example/member.php?x=1'
+        f"""case when event_id % 11 = 0 then concat('https://mob.shop.example/', element_at(split('{OTHER_PAGES}', ' '), cast((event_id div 11) % 28 as int) + 1), '?x=1')
                 when event_id % 13 = 0 then concat('https://other.example/cheap_', cast(_k as string), '.html')
                 else concat('https://mob.shop.example/',
                             case when _etype = 'click' then 'cheap' else 'favorable' end,

@@ -216,3 +216,4 @@ O["bm25_index_reload"] = W(DOC_BM25 + """SELECT (SELECT count(*) FROM d_post) AS
     (SELECT CAST(sum(df) AS BIGINT) FROM d_terms) AS sum_df, (SELECT CAST(sum(dl) AS BIGINT) FROM d_docs) AS sum_dl,
     c.n_docs, round(c.avgdl, 6) AS avgdl, (SELECT count(*) FROM d_terms) AS n_terms,
     CAST(1.5 AS DOUBLE) AS k1, CAST(0.75 AS DOUBLE) AS b, CAST(4.0 AS DOUBLE) AS alpha FROM d_cs c""", "fx_tag_docs")
+O["dq_generation_coverage"] = W("SELECT p_partkey AS pid FROM part WHERE p_partkey NOT IN (SELECT pid FROM fx_predictions)", "fx_predictions")

@@ -145,3 +145,11 @@ O["sft_dataset_expanded"] = dataset_sql(
     f"(SELECT order_id, uuid_ind, p AS product, list_append(loaded_pids, p) AS seq FROM fx_merged, unnest(products) u(p) WHERE {TV})", ["order_id", "product"], 13, True)
 O["sft_dataset_concatenated"] = dataset_sql(
     f"(SELECT order_id, uuid_ind, list_concat(loaded_pids, CAST({shuffled(17)} AS BIGINT[])) AS seq FROM fx_merged WHERE {TV})", ["order_id"], 17, False)
+O["assign_user_names"] = W("""
+, _n AS (SELECT uuid_ind, count(*) AS n_orders FROM fx_merged GROUP BY 1)
+, _frequent AS (SELECT uuid_ind, n_orders, row_number() OVER (ORDER BY md5(uuid_ind || ':4'), uuid_ind) - 1 AS r FROM _n WHERE n_orders > 2)
+, _names AS (SELECT name, row_number() OVER (ORDER BY md5(name || ':4'), name) - 1 AS r FROM (SELECT DISTINCT trim(c_name) AS name FROM customer) x)
+, _sizes AS (SELECT (SELECT count(*) FROM _frequent) AS nf, (SELECT count(*) FROM _names) AS nn)
+, _twice AS (SELECT uuid_ind, n_orders, nf + CAST('0x' || md5(uuid_ind || ':5')[1:8] AS BIGINT) % greatest(nn - nf, 1) AS r FROM _n, _sizes WHERE n_orders = 2)
+SELECT u.uuid_ind, u.n_orders, m.name AS user_name FROM (SELECT * FROM _frequent UNION ALL SELECT * FROM _twice) u JOIN _names m ON m.r = u.r
+UNION ALL SELECT uuid_ind, n_orders, 'First time buyer' FROM _n WHERE n_orders = 1""", "fx_merged")

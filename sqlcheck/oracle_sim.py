@@ -11,14 +11,21 @@ SAMPLE = "(SELECT pid FROM fx_products ORDER BY md5(CAST(pid AS VARCHAR) || ':{s
 
 O["sample_products"] = W("SELECT pid FROM " + SAMPLE.format(seed=3, n=50), "fx_products")
 O["tag_count_vectors"] = W("SELECT pid, tag, count(*) AS n FROM (SELECT pid, unnest(tags) AS tag FROM fx_tags) x GROUP BY 1, 2", "fx_tags")
-O["tag_cosine"] = W(f"""
+
+
+def cosine_sql(chosen: str) -> str:
+    return W(f"""
 , c AS (SELECT pid, tag, count(*) AS n FROM (SELECT pid, unnest(tags) AS tag FROM fx_tags
-        WHERE pid IN {SAMPLE.format(seed=21, n=50)}) x GROUP BY 1, 2)
+        WHERE pid IN {chosen}) x GROUP BY 1, 2)
 , nr AS (SELECT pid, sqrt(sum(n * n)) AS norm FROM c GROUP BY 1)
 , d AS (SELECT a.pid AS pa, b.pid AS pb, sum(a.n * b.n) AS dot FROM c a JOIN c b ON a.tag = b.tag GROUP BY 1, 2)
 SELECT pa AS pid_a, pb AS pid_b, round(CASE WHEN pa = pb THEN 1.0 ELSE dot / (x.norm * y.norm) END, 6) AS cosine
 FROM d JOIN nr x ON x.pid = d.pa JOIN nr y ON y.pid = d.pb""", "fx_products", "fx_tags")
 
+
+O["tag_cosine"] = cosine_sql(SAMPLE.format(seed=21, n=50))
+O["tag_cosine_catalogue"] = cosine_sql("(SELECT pid FROM fx_products)")
+
 # the echo predictor gives the tags of a prompt's first line in reverse order, two of them below top_p 0.5;
 # what follows the marker is kept as it is, with its leading blank
 PROMPTS = """

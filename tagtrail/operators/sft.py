@@ -206,18 +206,20 @@ def assign_user_names(orders: DataFrame, names: DataFrame, seed: int = 0) -> Dat
     replacement); users with two orders a name drawn from the remaining ones
     (with replacement); one-order users 'First time buyer'. Too few names are an
     error, no user is left out. Ranks come from
-    seeded hashes, draws from a hash modulo the remaining count."""
+    the md5 of ``key:seed``, draws from that of ``key:seed+1`` modulo the remaining count."""
+    mark = lambda c, s: F.md5(F.concat(F.col(c).cast("string"), F.lit(f":{s}")))
     counts = orders.groupBy("uuid_ind").agg(F.count(F.lit(1)).alias("n_orders"))
-    frequent = dense_index(counts.where(F.col("n_orders") > 2).withColumn("_h", F.xxhash64("uuid_ind", F.lit(seed))),
+    frequent = dense_index(counts.where(F.col("n_orders") > 2).withColumn("_h", mark("uuid_ind", seed)),
                            ["_h", "uuid_ind"], "_r")
-    ranked_names = dense_index(names.select("name").distinct().withColumn("_h", F.xxhash64("name", F.lit(seed))), ["_h", "name"], "_r")
+    ranked_names = dense_index(names.select("name").distinct().withColumn("_h", mark("name", seed)), ["_h", "name"], "_r")
     n_freq = frequent.agg(F.count(F.lit(1)).alias("_nf"))
     n_names = ranked_names.agg(F.count(F.lit(1)).alias("_nn"))
     too_few = F.raise_error(F.lit("fewer names than users with two or more orders need")).cast("string")
     named = ranked_names.select("_r", F.coalesce("name", F.lit("")).alias("user_name"))
     a = frequent.join(named, "_r", "left").select("uuid_ind", "n_orders", F.coalesce("user_name", too_few).alias("user_name"))
     twice = counts.where(F.col("n_orders") == 2).crossJoin(F.broadcast(n_freq.crossJoin(n_names)))  # one-row counts
-    twice = twice.withColumn("_r", F.col("_nf") + F.pmod(F.xxhash64("uuid_ind", F.lit(seed + 1)), F.greatest(F.col("_nn") - F.col("_nf"), F.lit(1))))
+    drawn = F.conv(F.substring(mark("uuid_ind", seed + 1), 1, 8), 16, 10).cast("bigint")
+    twice = twice.withColumn("_r", F.col("_nf") + drawn % F.greatest(F.col("_nn") - F.col("_nf"), F.lit(1)))
     b = twice.join(named, "_r", "left").select("uuid_ind", "n_orders", F.coalesce("user_name", too_few).alias("user_name"))
     c = counts.where(F.col("n_orders") == 1).select("uuid_ind", "n_orders", F.lit(C.FIRST_TIME_BUYER).alias("user_name"))
     return a.unionByName(b).unionByName(c)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..operators import clean, orders as O
-from ..session import cut_lineage
+from ..session import cut_lineage, table_path
 from ..sources import fixtures as fx
 
 ORDER_COLS = ["order_id", "uuid_ind", "session_id", "timestamp", "seq", "products"]
@@ -35,6 +35,13 @@ def clean_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PREPARED: dict[tuple, Prepared] = {}
 
 
+def input_version(spark: SparkSession, sf_dir: str) -> tuple:
+    """Number, bytes and a digest of the names and times of the files that the preparation reads."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([table_path(sf_dir, t) for t in ("events", "part")])
+    digest = F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))
+    return tuple(files.agg(F.count(F.lit(1)), F.sum("length"), digest).first())
+
+
 def build(spark: SparkSession, sf_dir: str, domain: str = C.FIXTURE_DOMAIN, cat: DataFrame | None = None,
           split: bool = True) -> Prepared:
     """The preparation plan, not materialised."""
@@ -52,11 +59,11 @@ def prepare(spark: SparkSession, sf_dir: str, domain: str = C.FIXTURE_DOMAIN, sp
     merged orders are written once as Parquet tables in the shared
     checkpoint folder (as the reference persists its cleaned tables) and every
     later job of this application reads them instead of re-running the
-    cleaning, the window and the join."""
+    cleaning, the window and the join, as long as the input files stay the same."""
     if not materialize:
         p = build(spark, sf_dir, domain)
     else:
-        key = (spark.sparkContext.applicationId, sf_dir, domain)
+        key = (spark.sparkContext.applicationId, sf_dir, domain, input_version(spark, sf_dir))
         if key not in _PREPARED:
             cat = cut_lineage(fx.products(spark, sf_dir), "catalogue")
             b = build(spark, sf_dir, domain, cat, split=False)

@@ -268,6 +268,13 @@ def q_dq_tag_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return quality.missing_from(fx.products(spark, sf), fx.tags(spark, sf))
 
 
+@register("dq_generation_coverage")
+def q_dq_generation_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """D3 over every part: those without a generated text."""
+    parts = fx.read_table(spark, sf, "part").select(F.col("p_partkey").alias("pid"))
+    return quality.missing_from(parts, fx.predictions(spark, sf))
+
+
 @register("dq_score_truth")
 def q_dq_score_truth(spark: SparkSession, sf: str) -> DataFrame:
     """Scored orders missing from the truth, and scored ids outside the catalogue."""

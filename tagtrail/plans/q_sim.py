@@ -55,6 +55,13 @@ def q_tag_cosine(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.cosine(vectors.tag_counts(_sample_tags(spark, sf)))
 
 
+@register("tag_cosine_catalogue")
+def q_tag_cosine_catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    """V2 over the whole catalogue."""
+    catalogue = fx.tags(spark, sf).join(fx.products(spark, sf), "pid", "left_semi")
+    return vectors.cosine(vectors.tag_counts(catalogue))
+
+
 @register("tag_fuzzy_matrix")
 def q_tag_fuzzy_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.fuzzy_matrix(_sample_tags(spark, sf))

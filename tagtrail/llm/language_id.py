@@ -8,7 +8,8 @@ against ``MAX_MODEL_CELLS``) is broadcast and every whole text is scored in
 Arrow batches with numpy.
 
 Edge cases: a null text, an empty text or one without a letter gives ``und``
-with score 0; without a single labelled row every text gives ``und``; rows are
+with score 0; without a single labelled row every text gives ``und``; more
+languages than one model may hold are an error; rows are
 scored one by one, so repeated rows repeat their result; columns besides the
 text are never read by the scorer and pass through, whatever their names.
 """
@@ -22,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 PIECE = 1 << 18  # characters scored at once; longer texts are summed over pieces
@@ -78,9 +81,11 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np
 def training_sample(docs: DataFrame, max_docs_per_lang: int) -> DataFrame:
     """Labelled rows (text, lang): about ``max_docs_per_lang`` of each language at most, by a hash of the id."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = cut_lineage(rows.groupBy("lang").agg(F.count("*").alias("n")), "language-sizes")
+    if sizes.count() > MAX_MODEL_CELLS // BUCKETS:
+        raise ValueError(f"more than {MAX_MODEL_CELLS // BUCKETS} languages: too many for one broadcast model")
     share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1 << 20)) / float(1 << 20)
-    return rows.join(F.broadcast(sizes.limit(MAX_MODEL_CELLS // BUCKETS + 1)), "lang").where(share < F.lit(float(max_docs_per_lang)) / F.col("n")).select("text", "lang")
+    return rows.join(F.broadcast(sizes), "lang").where(share < F.lit(float(max_docs_per_lang)) / F.col("n")).select("text", "lang")
 
 
 def fit(docs: DataFrame, max_docs_per_lang: int = 3000) -> tuple[list[str], np.ndarray]:
@@ -107,9 +112,7 @@ def fit(docs: DataFrame, max_docs_per_lang: int = 3000) -> tuple[list[str], np.n
 
     parts = training_sample(docs, max_docs_per_lang).mapInPandas(count, "lang string, bucket int, n long")
     cells = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    model = cells.limit(MAX_MODEL_CELLS + 1).toPandas()  # at most (BUCKETS + 1) x languages rows
-    if len(model) > MAX_MODEL_CELLS:
-        raise ValueError(f"more than {MAX_MODEL_CELLS} model cells: too many languages for one broadcast")
+    model = cells.toPandas()  # at most (BUCKETS + 1) x languages rows
     langs = sorted(model["lang"].unique())
     counts = np.zeros((BUCKETS + 1, len(langs)))
     counts[model["bucket"], [langs.index(x) for x in model["lang"]]] = model["n"]

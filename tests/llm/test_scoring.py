@@ -87,3 +87,12 @@ def test_quality_odd_rows(spark):
     model = quality_rank.fit(df, labels)
     rows = quality_rank.rate(df, model, into="s").collect()
     assert len(rows) == len(ODD) and all(r.s == pytest.approx(0.3) for r in rows)
+
+
+def test_more_languages_than_a_model_holds_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_MODEL_CELLS", 2 * language_id.BUCKETS)
+    two = spark.createDataFrame([(i, "text of a", f"l{i % 2}") for i in range(8)], "doc_id long, text string, lang string")
+    assert language_id.fit(two)[0] == ["l0", "l1"]
+    three = spark.createDataFrame([(i, "text of a", f"l{i % 3}") for i in range(9)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="too many"):
+        language_id.fit(three)

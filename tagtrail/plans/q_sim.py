@@ -6,8 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fuzzy, predict, sft, vectors
+from ..operators import expand, fuzzy, predict, sft, vectors
+from ..session import cut_lineage
 from ..sources import fixtures as fx
+from . import tag_eval as TE
+from .prepare import prepare
 from .registry import register
 
 FUZZY_T = 90
@@ -40,6 +43,25 @@ def q_fuzzy_merge_report(spark: SparkSession, sf: str) -> DataFrame:
     return fuzzy.merge_report(_mapping(spark, sf))
 
 
+def _product_tags(spark, sf):
+    """(tags, mapping) of the product tags in mode ``sort``: words in any order and case are one tag."""
+    tags = fx.tags(spark, sf)
+    return tags, fuzzy.canonical_tags(tags.select(F.explode("tags").alias("tag")), FUZZY_T, "sort", seed=13)
+
+
+@register("fuzzy_canonical_sort")
+def q_fuzzy_canonical_sort(spark: SparkSession, sf: str) -> DataFrame:
+    return _product_tags(spark, sf)[1]
+
+
+@register("tag_metrics_fuzzy")
+def q_tag_metrics_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
+    """Tag lists with every tag replaced by its leader, then evaluated."""
+    n = expand.next_item_last(prepare(spark, sf).merged)
+    led = cut_lineage(fuzzy.canonicalise(*_product_tags(spark, sf)), "fuzzy_led")
+    return TE.tag_metrics(n, TE.next_item_truth(n), led, fx.products(spark, sf), "union", alpha=1.0)
+
+
 def _sample_tags(spark, sf):
     sample = sft.sample_rows(fx.products(spark, sf), "pid", SAMPLE_N, seed=21)
     return fx.tags(spark, sf).join(sample, "pid", "left_semi")

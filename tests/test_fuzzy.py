@@ -102,3 +102,12 @@ def test_lookup_takes_the_first_similar_leader(spark):
     queries = spark.createDataFrame([(t,) for t in ["Wool hat", "candlesticks", "green tea", "nothing"]] + [(None,)], "query string")
     got = {r["query"]: r.leader for r in fuzzy.lookup(queries, mapping, 90, "sort", 3, "?").collect()}
     assert got == {"Wool hat": "hat wool", "candlesticks": "candlestick", "green tea": "green tea", "nothing": "?"}
+
+
+def test_canonicalise_replaces_tags_by_leaders(spark):
+    mapping = fuzzy.canonical_tags(spark.createDataFrame([("Red Shoe",), ("shoe red",), ("blue hat",)], "tag string"), 90, "sort")
+    leader = {r.tag: r.leader for r in mapping.collect()}
+    assert leader["Red Shoe"] == leader["shoe red"] and leader["blue hat"] == "blue hat"
+    lists = spark.createDataFrame([(1, ["shoe red", "blue hat", "unseen", "Red Shoe"]), (2, ["blue hat"])], "pid long, tags array<string>")
+    got = {r.pid: r.tags for r in fuzzy.canonicalise(lists, mapping).collect()}
+    assert got == {1: [leader["shoe red"], "blue hat", "unseen", leader["Red Shoe"]], 2: ["blue hat"]}

@@ -74,3 +74,22 @@ def test_hot_session_is_split_in_the_array_form(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_hot_term_is_split(spark):
+    from tagtrail.operators import bm25
+
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        term = F.when(F.col("id") % 5 > 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("term")
+        postings = spark.range(0, 20000, 1, 8).select(term, F.col("id").alias("doc_id"), F.lit(1.0).alias("w"))
+        query = spark.createDataFrame([(o, "hot", 1) for o in range(3)] + [(9, "t5", 2)], "order_id long, term string, qty long")
+        out = bm25.score(bm25.BM25Index(postings, None, None, None, 1.5, 0.75, 4.0, []), query)
+        assert len(out.collect()) == 3 * 16000 + 1
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

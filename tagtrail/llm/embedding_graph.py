@@ -15,8 +15,12 @@
    slack of it, and all that it meets are verified in double precision.
 4. A pair is counted in the first shard that both share. A task returns a
    count and a local root per node, never pairs; star rounds join the roots.
-5. Recall is audited against brute force on ``AUDIT`` nodes; below
-   ``RECALL`` twice as many centroids are taken and the search is repeated.
+5. Recall is audited against brute force, in blocks, on the nodes that hold a
+   vec_id divisible by ``EVERY`` and on about ``AUDIT`` others. It is a mean over
+   nodes, so a large group weighs no more than its nodes; nodes outside the
+   largest groups have a mean of their own and the lower of the two counts.
+   Below ``RECALL`` the search is repeated with twice as many shards a node; if
+   that does not help, all pairs of a label are compared, block by block.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite
 components, and rows with a null label, link with nothing; vectors of
@@ -42,6 +46,9 @@ NEAREST = 2
 DEGREE, BEAM, STEP, ALPHA = 16, 32, 8, 1.2
 SLACK = 0.10  # cosine below the threshold over which a search still expands
 AUDIT, RECALL = 200, 0.97
+EVERY = 20  # nodes with a vec_id divisible by this are audited
+ROUNDS = 3  # searches, each over twice as many shards a node, before all pairs are compared
+ASKED = 2000  # audited nodes of one task
 BUCKET = 5000  # nodes assigned to centroids by one task
 
 
@@ -211,8 +218,33 @@ def assign(nodes: DataFrame, nearest: int) -> DataFrame:
     return placed.withColumn("shard", F.explode("shards"))
 
 
+LINKS = "u long, v long, links long, near long"
+
+
+def summed(ids: np.ndarray, copies: np.ndarray, left: np.ndarray, right: np.ndarray) -> pd.DataFrame:
+    """(u, v, links, near) of the pairs: linked node, local root, copies and number of the nodes it links with."""
+    root = np.arange(len(ids))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    links, near = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+    np.add.at(links, left, copies[right])
+    np.add.at(links, right, copies[left])
+    np.add.at(near, left, 1)
+    np.add.at(near, right, 1)
+    for i, j in zip(left, right):
+        if root[i] != root[j]:
+            root[find(i)] = find(j)
+    at = np.flatnonzero(near)
+    return pd.DataFrame({"u": ids[at], "v": ids[[find(i) for i in at]] if len(at) else ids[at], "links": links[at], "near": near[at]})
+
+
 def link_rows(nodes: DataFrame, threshold: float, nearest: int) -> DataFrame:
-    """Verified links as (u, v, links): node, local root, copies of the nodes it links with."""
+    """Verified links as (u, v, links, near): node, local root, copies and number of the nodes it links with."""
     placed = cut_lineage(assign(nodes, nearest), "graph-shards")
     cells = placed.groupBy("family", "shard").agg(F.ceil(F.count("*") / F.lit(float(SHARD_MAX))).cast("long").alias("blocks"))
     placed = placed.join(cells, ["family", "shard"]).withColumn("block", F.pmod(F.xxhash64("node", "shard"), F.col("blocks")))
@@ -238,7 +270,7 @@ def link_rows(nodes: DataFrame, threshold: float, nearest: int) -> DataFrame:
         asks = pdf["asks"].to_numpy(dtype=bool)
         same = bool(asks.all())
         of = np.arange(len(ids)) if same else np.flatnonzero(~asks)
-        empty = pd.DataFrame({"u": ids[:0], "v": ids[:0], "links": copies[:0]})
+        empty = pd.DataFrame({"u": ids[:0], "v": ids[:0], "links": copies[:0], "near": copies[:0]})
         if not len(of) or not asks.any():
             return empty
         y, names = x[of], ids[of]
@@ -262,49 +294,69 @@ def link_rows(nodes: DataFrame, threshold: float, nearest: int) -> DataFrame:
                 low = np.where(shared.any(axis=2), member[hit], np.iinfo(np.int64).max).min(axis=1)
                 hit = hit[low == shard]
                 first.append(np.minimum(i, hit) * len(ids) + np.maximum(i, hit))
-        root = np.arange(len(ids))
+        pairs = np.unique(np.concatenate(first)) if first else np.empty(0, np.int64)  # found from either end
+        return summed(ids, copies, pairs // len(ids), pairs % len(ids))
 
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
+    return asks.union(graph).groupBy("family", "shard", "a", "b").applyInPandas(search, LINKS)
 
-        links = np.zeros(len(ids), np.int64)
-        pairs = np.unique(np.concatenate(first)) if first else np.empty(0, np.int64)  # found from either end
-        left, right = pairs // len(ids), pairs % len(ids)
-        np.add.at(links, left, copies[right])
-        np.add.at(links, right, copies[left])
-        for i, j in zip(left, right):
-            if root[i] != root[j]:
-                root[find(i)] = find(j)
-        at = np.flatnonzero(links)
-        return pd.DataFrame({"u": ids[at], "v": ids[[find(i) for i in at]] if len(at) else ids[at], "links": links[at]})
 
-    return asks.union(graph).groupBy("family", "shard", "a", "b").applyInPandas(search, "u long, v long, links long")
+def all_links(nodes: DataFrame, threshold: float) -> DataFrame:
+    """The rows of ``link_rows`` from all pairs of a label: one task per pair of blocks, each pair in one task."""
+    sizes = nodes.groupBy("family").agg(F.ceil(F.count("*") / F.lit(float(SHARD_MAX))).cast("long").alias("blocks"))
+    base = nodes.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node", F.lit("all")), F.col("blocks")))
+    base = base.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    sides = base.select("family", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), (F.col("block") <= F.col("other")).alias("asks"), "node", "copies", "vec")
 
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node").reset_index(drop=True)
+        ids, copies, x = pdf["node"].to_numpy(), pdf["copies"].to_numpy(), unit(pdf["vec"])
+        asks = pdf["asks"].to_numpy(dtype=bool)
+        if asks.all() and pdf["a"].iat[0] == pdf["b"].iat[0]:
+            left, right = np.nonzero(np.triu(x @ x.T >= threshold, 1))
+        else:
+            mine, other = np.flatnonzero(asks), np.flatnonzero(~asks)
+            left, right = np.nonzero(x[mine] @ x[other].T >= threshold)
+            left, right = mine[left], other[right]
+        return summed(ids, copies, left, right)
 
-def audit(nodes: DataFrame, found: DataFrame, threshold: float, n: int = AUDIT) -> float:
-    """Share of the links of ``n`` nodes, found by brute force over all nodes, that the graph found."""
-    total = nodes.count()
-    share = F.pmod(F.xxhash64(F.col("node"), F.lit("audit")), F.lit(1 << 30)) / float(1 << 30)
-    asked = nodes.where(share < min(1.0, n / max(1, total))).select("family", "node", "vec").limit(4 * n).toPandas()
-    if not len(asked):
-        return 1.0
-    by_family = {f: (g["node"].to_numpy(), unit(g["vec"])) for f, g in asked.groupby("family")}
+    return sides.groupBy("family", "a", "b").applyInPandas(compare, LINKS)
 
-    def brute(batches):
-        for pdf in batches:
-            for f, g in pdf.groupby("family"):
-                if f in by_family:
-                    names, q = by_family[f]
-                    hit = (q @ unit(g["vec"]).T >= threshold) & (names[:, None] != g["node"].to_numpy()[None, :])
-                    yield pd.DataFrame({"node": names, "truth": hit @ g["copies"].to_numpy()})
 
-    truth = nodes.select("family", "node", "vec", "copies").mapInPandas(brute, "node long, truth long").groupBy("node").agg(F.sum("truth").alias("truth"))
-    got = found.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
-    r = truth.join(got, "node", "left").agg(F.sum("truth").alias("t"), F.sum(F.least(F.coalesce("links", F.lit(0)), "truth")).alias("g")).first()
-    return 1.0 if not r.t else float(r.g) / float(r.t)
+def truths(nodes: DataFrame, threshold: float, n: int = AUDIT) -> DataFrame:
+    """(family, node, truth) of the audited nodes: the other nodes each one links with, by brute force."""
+    total = nodes.count()
+    share = F.pmod(F.xxhash64(F.col("node"), F.lit("audit")), F.lit(1 << 30)) / float(1 << 30)
+    asked = nodes.where(F.col("asked") | (share < min(1.0, n / max(1, total)))).select("family", "node", "vec")
+    blocks = asked.groupBy("family").agg(F.ceil(F.count("*") / F.lit(float(ASKED))).cast("long").alias("blocks"))
+    asked = asked.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node", F.lit("ask")), F.col("blocks"))).drop("blocks")
+    parts = nodes.groupBy("family").agg(F.ceil(F.count("*") / F.lit(float(BUCKET))).cast("long").alias("parts"))
+    asked = asked.join(parts, "family").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    against = nodes.select("family", "node", "vec").join(parts, "family").withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts"))).drop("parts")
+    against = against.join(blocks, "family").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+
+    def brute(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        truth = np.zeros(len(a), np.int64)
+        if len(a) and len(b):
+            hit = (unit(a["vec"]) @ unit(b["vec"]).T >= threshold) & (a["node"].to_numpy()[:, None] != b["node"].to_numpy()[None, :])
+            truth = hit.sum(axis=1)
+        return pd.DataFrame({"family": a["family"], "node": a["node"], "truth": truth})
+
+    names = ["family", "block", "part", "node", "vec"]
+    met = asked.select(*names, F.lit(True).alias("asks")).union(against.select(*names, F.lit(False).alias("asks")))
+    met = met.groupBy("family", "block", "part").applyInPandas(brute, "family long, node long, truth long")
+    return met.groupBy("family", "node").agg(F.sum("truth").alias("truth"))
+
+
+def audit(truth: DataFrame, found: DataFrame) -> float:
+    """Mean share of an audited node's links that was found, over nodes with links; the mean
+    over the nodes outside the largest groups (at most half the links of their label's top) if that is lower."""
+    got = found.groupBy(F.col("u").alias("node")).agg(F.sum("near").alias("near"))
+    top = truth.groupBy("family").agg(F.max("truth").alias("top"))
+    each = truth.where("truth > 0").join(got, "node", "left").join(top, "family")
+    each = each.select((F.least(F.coalesce("near", F.lit(0)), "truth") / F.col("truth")).alias("share"), (2 * F.col("truth") <= F.col("top")).alias("outside"))
+    r = each.agg(F.avg("share").alias("all"), F.avg(F.when(F.col("outside"), F.col("share"))).alias("outside")).first()
+    return min(1.0 if v is None else float(v) for v in r)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -312,15 +364,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("vec"), "label")
     rows = rows.withColumn("node", F.when(_usable("vec"), F.xxhash64("label", "vec")))
     family = F.xxhash64("label", F.size("vec"))
-    nodes = rows.where("node IS NOT NULL").withColumn("family", family).groupBy("node").agg(F.first("family").alias("family"), F.first("vec").alias("vec"), F.count("*").alias("copies"), F.min("vec_id").alias("vec_id"))
+    nodes = rows.where("node IS NOT NULL").withColumn("family", family).groupBy("node").agg(F.first("family").alias("family"), F.first("vec").alias("vec"), F.count("*").alias("copies"), F.min("vec_id").alias("vec_id"), F.coalesce(F.max(F.col("vec_id") % EVERY == 0), F.lit(False)).alias("asked"))
     nodes = cut_lineage(nodes, "graph-nodes")
-    nearest = NEAREST
-    for _ in range(3):
-        links = cut_lineage(link_rows(nodes.drop("vec_id"), threshold, nearest), "graph-links")
-        recall = audit(nodes, links, threshold)
+    truth = cut_lineage(truths(nodes, threshold), "graph-truths")
+    plain = nodes.drop("vec_id", "asked")
+    for k in range(ROUNDS + 1):
+        rows_of_links = link_rows(plain, threshold, NEAREST << k) if k < ROUNDS else all_links(plain, threshold)
+        links = cut_lineage(rows_of_links, "graph-links")
+        recall = audit(truth, links)
         if recall >= RECALL:
             break
-        nearest *= 2
     parts = connected_components(links.select("u", "v"))
     per_node = links.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     named = nodes.select("node", "vec_id", "copies").join(parts, "node", "left").join(per_node, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -165,5 +165,38 @@ def test_embedding_graph_equals_brute_force(spark, monkeypatch, shard_max):
     assert {r.audited_recall for r in got} == {1.0}
 
 
+def hot_and_pairs():
+    """(vec_id, embedding, label) rows: a third is one group of near copies, the rest are pairs; and the true links."""
+    rng = np.random.default_rng(8)
+    hot = rng.normal(size=16)
+    vecs = [hot + rng.normal(size=16) * 0.02 for _ in range(100)]
+    for _ in range(100):
+        v = rng.normal(size=16)
+        vecs += [v, v + rng.normal(size=16) * 0.02]
+    rows = [(i, rows_of(v), 1) for i, v in enumerate(vecs)]
+    x = embedding_graph.unit([np.array(r[1], dtype="f4") for r in rows])
+    return rows, (x @ x.T >= 0.93).sum(axis=1) - 1
+
+
+def test_embedding_audit_sees_links_lost_outside_a_hot_group(spark, monkeypatch):
+    rows, want = hot_and_pairs()
+    assert want.max() >= 99 and (want < 20).sum() >= 200
+    whole = embedding_graph.link_rows
+    monkeypatch.setattr(embedding_graph, "link_rows", lambda *a: whole(*a).where("links > 20"))
+    got = embedding_graph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(want))
+    assert {r.audited_recall for r in got} == {1.0}
+
+
+def test_embedding_pairs_of_all_blocks(spark, monkeypatch):
+    rows, want = hot_and_pairs()
+    monkeypatch.setattr(embedding_graph, "ROUNDS", 0)
+    monkeypatch.setattr(embedding_graph, "SHARD_MAX", 60)
+    monkeypatch.setattr(embedding_graph, "BUCKET", 70)
+    monkeypatch.setattr(embedding_graph, "ASKED", 10)
+    got = embedding_graph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(want))
+
+
 def rows_of(v):
     return [float(x) for x in v]

@@ -129,6 +129,36 @@ def test_suffix_dedup_equals_brute_force(spark, texts, monkeypatch, block):
     assert suffix_dedup.duplicate_spans(df.limit(0)).count() == 0
 
 
+def test_suffix_dedup_bounds_the_surroundings_of_a_hot_anchor(spark, monkeypatch):
+    hot = 12
+    monkeypatch.setattr(suffix_dedup, "HOT", hot, raising=False)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 2000)
+    monkeypatch.setattr(suffix_dedup, "PART", 1 << 13)
+    whole, key, decode, unzip = suffix_dedup.smallest_ids, suffix_dedup.KEY, suffix_dedup.front_decode, suffix_dedup.zstandard.decompress
+
+    def bounded(span):
+        answer = whole(span)
+
+        def checked(pdf):
+            seen = {}
+            for data, n in zip(pdf["data"], pdf["n"]):
+                raw = unzip(data)
+                for t, r in zip(decode(raw[9 * n :], n), raw[8 * n : 9 * n]):
+                    seen.setdefault(t[r : r + key], set()).add(t)
+            assert max(map(len, seen.values()), default=0) <= hot, "too many surroundings of one anchor string in a task"
+            return answer(pdf)
+
+        return checked
+
+    monkeypatch.setattr(suffix_dedup, "smallest_ids", bounded)
+    rng = random.Random(6)
+    passage = " ".join(words(rng, 30))
+    rows = [(i % 90, " ".join(words(rng, 20)) + " " + passage + " " + " ".join(words(rng, 20))) for i in range(100)]
+    rows += [(200 + i, rows[i % 5][1]) for i in range(20)] + [(None, rows[7][1]), (400, None), (3, passage), (401, passage * 3)]
+    got = suffix_dedup.duplicate_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).drop("starts", "ends").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_spans(rows)
+
+
 def test_loser_tree_marks_strings_of_two_runs():
     rng = random.Random(9)
     runs = [sorted({bytes(rng.choice(b"ab\0") for _ in range(16)) if rng.random() < 0.5 else bytes(rng.choice(b"ab") for _ in range(4)) + b"c" * 12 for _ in range(60)}) for _ in range(7)] + [[]]

@@ -13,7 +13,9 @@
    blocks of its shard in tasks of their own, over the united lists; within
    reach of the threshold the search expands over every neighbour inside a
    slack of it, and all that it meets are verified in double precision.
-4. A pair is counted in the first shard that both share. A task returns a
+4. A pair is counted in the first shard that both share; one that shares more
+   shards is verified there directly, so that nothing a later search finds is
+   missing. A task returns a
    count and a local root per node, never pairs; star rounds join the roots.
 5. Recall is audited against brute force, in blocks, on the nodes that hold a
    vec_id divisible by ``EVERY`` and on about ``AUDIT`` others. It is a mean over
@@ -285,14 +287,19 @@ def link_rows(nodes: DataFrame, threshold: float, nearest: int) -> DataFrame:
         member = np.full((len(ids), width), -1)
         for i, s in enumerate(pdf["shards"]):
             member[i, : len(s)] = s
+        direct = np.zeros((len(ids), len(of)), dtype=bool)
+        direct[asks] = x[asks] @ y.T >= threshold
         for i in np.flatnonzero(asks):
             # the medoid, and in its own block the node's own place
             hit = of[in_range(x[i], y, lists, np.unique([centre, i]) if same else np.array([centre]), threshold)]
+            met = np.zeros(len(ids), dtype=bool)
+            met[hit] = True
+            hit = np.union1d(hit, of[direct[i]])
             hit = hit[hit != i]
             if len(hit):  # a pair counts where both first meet
                 shared = (member[hit][:, :, None] == member[i][None, None, :]) & (member[hit][:, :, None] >= 0)
                 low = np.where(shared.any(axis=2), member[hit], np.iinfo(np.int64).max).min(axis=1)
-                hit = hit[low == shard]
+                hit = hit[(low == shard) & (met[hit] | (shared.any(axis=2).sum(axis=1) > 1))]
                 first.append(np.minimum(i, hit) * len(ids) + np.maximum(i, hit))
         pairs = np.unique(np.concatenate(first)) if first else np.empty(0, np.int64)  # found from either end
         return summed(ids, copies, pairs // len(ids), pairs % len(ids))

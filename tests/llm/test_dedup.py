@@ -228,5 +228,15 @@ def test_embedding_pairs_of_all_blocks(spark, monkeypatch):
     assert {r.vec_id: r.n_links for r in got} == dict(enumerate(want))
 
 
+def test_embedding_pair_of_two_shared_shards_needs_no_search(spark, monkeypatch):
+    monkeypatch.setattr(embedding_graph, "SHARD", 150)  # two shards, every node is in both
+    monkeypatch.setattr(embedding_graph, "SHARD_MAX", 200)
+    monkeypatch.setattr(embedding_graph, "in_range", lambda q, x, lists, start, threshold: np.empty(0, np.int64))
+    rows, want = hot_and_pairs()
+    nodes = spark.createDataFrame([(i, v, 1, 5) for i, v, _ in rows], "node long, vec array<float>, copies long, family long")
+    got = embedding_graph.link_rows(nodes, 0.93, 2).groupBy("u").sum("links").collect()
+    assert dict(map(tuple, got)) == {i: n for i, n in enumerate(want) if n}
+
+
 def rows_of(v):
     return [float(x) for x in v]

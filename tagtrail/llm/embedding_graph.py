@@ -24,7 +24,8 @@
    Below ``RECALL`` the search is repeated with twice as many shards a node; if
    that does not help, all pairs of a label are compared, block by block.
 
-Edge cases: vectors that are null, empty, zero or hold null or non-finite
+Edge cases: components of float are kept as they are, all others become double;
+vectors that are null, empty, zero or hold null or non-finite
 components, and rows with a null label, link with nothing; vectors of
 different length never link; identical vectors link (cosine 1); rows repeating
 a vec_id are vectors of their own and share its id in the result; a null vec_id
@@ -216,7 +217,8 @@ def assign(nodes: DataFrame, nearest: int) -> DataFrame:
             shards = np.sort(near, axis=1).tolist()
         return a[["family", "node", "copies", "vec"]].assign(shards=shards)
 
-    placed = left.groupBy("family", "bucket").cogroup(right.groupBy("family", "bucket")).applyInPandas(place, "family long, node long, copies long, vec array<float>, shards array<int>")
+    vec = nodes.schema["vec"].dataType.simpleString()
+    placed = left.groupBy("family", "bucket").cogroup(right.groupBy("family", "bucket")).applyInPandas(place, f"family long, node long, copies long, vec {vec}, shards array<int>")
     return placed.withColumn("shard", F.explode("shards"))
 
 
@@ -368,7 +370,8 @@ def audit(truth: DataFrame, found: DataFrame) -> float:
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept, audited_recall."""
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("vec"), "label")
+    own = vectors.schema["embedding"].dataType.simpleString()
+    rows = vectors.select("vec_id", F.col("embedding").cast(own if own == "array<float>" else "array<double>").alias("vec"), "label")
     rows = rows.withColumn("node", F.when(_usable("vec"), F.xxhash64("label", "vec")))
     family = F.xxhash64("label", F.size("vec"))
     nodes = rows.where("node IS NOT NULL").withColumn("family", family).groupBy("node").agg(F.first("family").alias("family"), F.first("vec").alias("vec"), F.count("*").alias("copies"), F.min("vec_id").alias("vec_id"), F.coalesce(F.max(F.col("vec_id") % EVERY == 0), F.lit(False)).alias("asked"))

@@ -238,5 +238,12 @@ def test_embedding_pair_of_two_shared_shards_needs_no_search(spark, monkeypatch)
     assert dict(map(tuple, got)) == {i: n for i, n in enumerate(want) if n}
 
 
+def test_embedding_doubles_keep_their_range(spark):
+    rows = [(1, [1e200, 2e200], 1), (2, [1e-200, 2e-200], 1), (3, [2e200, 1e200], 1), (4, [1.0, 2.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_graph.near_duplicates(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (2, 1)}
+
+
 def rows_of(v):
     return [float(x) for x in v]

@@ -114,13 +114,12 @@ def bounded_pairs(sizes: np.ndarray, bits: list[bytes], share: Fraction):
     for w in np.unique(widths):
         a = np.flatnonzero(widths == w)
         x = np.unpackbits(np.frombuffer(b"".join(bits[i] for i in a), np.uint8).reshape(len(a), w), axis=1)
-        for same, b in ((True, a), (False, np.flatnonzero(widths == 2 * w))):  # a partner is at most one width wider
-            if not len(b):
-                continue
+        for wide in np.unique(widths[(widths >= w) & (p * widths < 2 * q * w)]):  # sizes differ by q / p at most, widths by less than twice that
+            b, same = np.flatnonzero(widths == wide), wide == w
             y = x
             if not same:
-                y = np.unpackbits(np.frombuffer(b"".join(bits[i] for i in b), np.uint8).reshape(len(b), 2 * w), axis=1)
-                y = y[:, : 8 * w] | y[:, 8 * w :]
+                y = np.unpackbits(np.frombuffer(b"".join(bits[i] for i in b), np.uint8).reshape(len(b), wide), axis=1)
+                y = y.reshape(len(b), wide // w, 8 * w).max(axis=1)
             both = x.astype(np.float32) @ y.astype(np.float32).T
             best = np.minimum(sizes[a][:, None] - (x.sum(axis=1)[:, None] - both), sizes[b][None, :] - (y.sum(axis=1)[None, :] - both))
             i, j = np.nonzero((p + q) * best >= p * (sizes[a][:, None] + sizes[b][None, :]))

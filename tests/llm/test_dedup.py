@@ -85,6 +85,21 @@ def test_jaccard_hot_shingle_is_not_lost(spark, monkeypatch):
     assert {r.component_id for r in got} == {0} and {r.n_links for r in got} == {29}
 
 
+@pytest.mark.parametrize("share", [Fraction(1, 5), Fraction(2, 5), Fraction(1, 2), Fraction(85, 100)])
+def test_bitmaps_keep_every_pair_of_the_share(share):
+    rng = np.random.default_rng(5)
+    pool = rng.integers(1, 1 << 63, 700, dtype=np.uint64)
+    sets = [np.sort(pool[:n]) for n in (1, 20, 60, 65, 120, 128, 129, 300, 512, 513, 700)] + [np.sort(pool[100:350])]
+    got = set()
+    for i, j in jaccard_join.bounded_pairs(np.array([len(s) for s in sets]), [jaccard_join.bitmap(s) for s in sets], share):
+        got |= {frozenset(x) for x in zip(i.tolist(), j.tolist())}
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both >= share * (len(sets[i]) + len(sets[j]) - both):
+                assert frozenset((i, j)) in got
+
+
 def test_keep_one(spark, texts):
     rows = [(i, t) for i, t in enumerate(texts)] + [(40, texts[40]), (40, texts[40]), (None, texts[40])]
     df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, component string")

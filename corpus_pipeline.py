@@ -21,8 +21,11 @@ MIN_LANGUAGE_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose best language is no likelier than the others together, go."""
+    """Documents without a letter, or whose best language is no likelier than the others together, go;
+    where no row has both a lang and a text there is no model, and every document with a letter stays."""
     model = language_id.fit(docs)
+    if not model[0]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     scored = language_id.identify(docs, model, into="__language")
     return scored.where((F.col("__language.lang_pred") != "und") & (F.col("__language.score") >= MIN_LANGUAGE_SCORE)).drop("__language")
 

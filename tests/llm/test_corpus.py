@@ -167,3 +167,12 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark):
     free = {r.doc_id for r in corpus_pipeline.STAGES[2][1](spark, docs, SF).collect()}
     assert free == {r.doc_id for r in docs.select("doc_id").collect()} - hits
     assert corpus_pipeline.run(spark, SF).count() >= 1
+
+
+def test_language_stage_without_labels_keeps_documents_with_a_letter(spark):
+    import corpus_pipeline
+
+    rows = [(1, "Some words", None), (2, "É", None), (3, "12 !!", None), (4, "", None), (5, None, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = corpus_pipeline.language(spark, df, SF)
+    assert out.columns == df.columns and {r.doc_id for r in out.collect()} == {1, 2}

@@ -59,6 +59,34 @@ SELECT doc_id, domain, lang, source, n_tokens, CAST(whole + CASE WHEN upto <= pa
 UNION ALL SELECT doc_id, domain, lang, source, n_tokens, 0 FROM d WHERE n_tokens = 0"""
 
 
+ORACLE["op11_url_filter"] = r"""
+WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^[\s\S]*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '^[\s\S]*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+r(verdict, host, path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+f AS (SELECT DISTINCT p.host, p.path, r.host || r.path AS rule, r.verdict FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)),
+b AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM f GROUP BY host, path)
+SELECT page_id, p.host, p.path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN b USING (host, path)"""
+
+ORACLE["op13_collocations"] = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase FROM (
+  SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) x(k) WHERE len(w) >= k) y),
+t AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, w, unnest(range(1, k)) AS cut_at FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.phrase, c.k, a, cut_at, x.f AS l, y.f AS r, CAST((CAST(2000000 AS HUGEINT) * a) // (x.f + y.f) AS BIGINT) AS score FROM c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(c.w, 1, cut_at), ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(c.w, cut_at + 1, c.k), ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut_at) = 1),
+o AS (SELECT lang, f AS f2, unnest(list_concat(
+  [array_to_string(list_slice(w, i, i + 1), ' ') for i in range(1, k)], CASE WHEN k = 4 THEN [array_to_string(list_slice(w, i, i + 2), ' ') for i in range(1, 3)] ELSE [] END)) AS phrase FROM f WHERE k > 2),
+m AS (SELECT lang, phrase, max(f2) AS f2 FROM o GROUP BY lang, phrase),
+z AS (SELECT b.* FROM b LEFT JOIN m USING (lang, phrase) WHERE f2 IS NULL OR 100 * f2 < 80 * a),
+q AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM z QUALIFY rank <= 2000)
+SELECT lang, rank, phrase, a, l, r, n, score FROM q JOIN t USING (lang)"""
+
+
 def _components(pairs: str, nodes: str) -> str:
     """CTE comp(id, component_id): smallest id reachable over pairs (a, b)."""
     return f"""both_ways AS (SELECT a, b FROM {pairs} UNION SELECT b, a FROM {pairs}),

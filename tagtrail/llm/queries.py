@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_graph, jaccard_join, language_id, mixing, quality_rank, quote_threads, suffix_dedup, token_counts, training_shards
+from . import collocations, decontaminate, embedding_graph, jaccard_join, language_id, mixing, quality_rank, quote_threads, suffix_dedup, token_counts, training_shards, url_filter, whitening
 from .common import held_out, learnable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,9 +59,24 @@ def op10_training_shards(spark: SparkSession, sf: str) -> DataFrame:
     return training_shards.materialise(table(spark, sf, "documents"))
 
 
+def op11_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf, "pages"), url_filter.rule_table(spark, URL_RULES))
+
+
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
+# verdict, host, path
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
 # weights of the tree's children; names that are missing weigh 1
 MIX_WEIGHTS = {"domain": {"domain0": 4, "domain1": 3, "domain2": 2}, "lang": {"en": 5, "de": 3, "fr": 2}}
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_token_counts, op2_language_id, op3_quality_rank, op4_quote_threads, op5_suffix_dedup, op6_source_mix, op7_embedding_graph, op8_jaccard_join, op9_decontaminate, op10_training_shards)
+    f.__name__: f for f in (op1_token_counts, op2_language_id, op3_quality_rank, op4_quote_threads, op5_suffix_dedup, op6_source_mix, op7_embedding_graph, op8_jaccard_join, op9_decontaminate, op10_training_shards, op11_url_filter, op12_whitening, op13_collocations)
 }

@@ -16,8 +16,8 @@ words) are found in three steps:
 
 Marks are a bitmap of ``MARK_BITS`` hashed phrases, always 8 MB; hash collisions
 can only add phrases to what is counted. Counting itself is exact: inside a
-chunk words get local numbers and phrases pairs of numbers; partial counts leave
-a task as (lang, phrase, n) and are summed by the phrase itself.
+chunk words get local numbers, a phrase is the tuple of its numbers, and partial
+counts leave a task as (lang, phrase, n) and are summed by the phrase itself.
 
 Hot keys: a frequent phrase or language is reduced in the tasks before the
 shuffle; the counts of single words, which stand at one end of many phrases, are
@@ -34,11 +34,13 @@ columns besides doc_id, text and lang are ignored.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,6 +51,7 @@ SAMPLE = 8
 MARK_BITS = 1 << 26
 CHUNK_WORDS = 1 << 20
 RUN_BYTES = 1 << 22
+READ_ROWS = 256
 OUT_ROWS = 1 << 17
 SALTS = 32
 STOP = b"\xff"  # no UTF-8 text holds this byte
@@ -63,12 +66,16 @@ def mixed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hash(lang: str, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass")))
+def lang_seed(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
+
+
+def cell(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(MARK_BITS)).astype(np.int64)
 
 
 def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = (h % np.uint64(MARK_BITS)).astype(np.int64)
+    at = cell(h)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -86,136 +93,175 @@ def runs(text: bytes) -> Iterator[list[bytes]]:
 
 
 class Chunk:
-    """Words of several texts as numbers: 0 ends a piece; ``carry`` marks words repeated from the run before."""
+    """Words of several texts as numbers, one number per (lang, word): 0 ends a piece; words repeated from the run
+    before are ``carried``."""
 
     def __init__(self):
-        new = count(1)
-        self.vocab: dict[bytes, int] = {STOP: 0}
-        self.number = lambda w: self.vocab[w] if w in self.vocab else self.vocab.setdefault(w, next(new))
-        self.ids, self.langs, self.carry, self.size = [], [], [], 0
-
-    def add(self, words: list[bytes], lang: int, carried: int) -> None:
-        ids = np.fromiter(map(self.number, [*words, STOP]), np.int64, len(words) + 1)
-        old = np.zeros(len(ids), bool)
-        old[:carried] = True
+        self.numbers = count(1)
+        self.vocab: dict[str, dict[bytes, int]] = {}
+        self.ids, self.carried, self.size = [], [], 0
+
+    def add(self, words: list[bytes], lang: str, carried: int) -> None:
+        if lang not in self.vocab:
+            self.vocab[lang] = defaultdict(self.numbers.__next__, {STOP: 0})
+        ids = np.zeros(len(words) + 1, np.int64)
+        ids[:-1] = np.fromiter(map(self.vocab[lang].__getitem__, words), np.int64, len(words))
         self.ids.append(ids)
-        self.langs.append(np.full(len(ids), lang))
-        self.carry.append(old)
+        if carried:
+            self.carried.append(np.arange(self.size, self.size + carried))
         self.size += len(ids)
 
-
-def chunks(batches: Iterator[pa.RecordBatch], max_words: int) -> Iterator[tuple[Chunk, list[str]]]:
-    names: dict[str, int] = {}
+    def finish(self) -> None:
+        """ids, new (not carried), words, word_lang and word_hash by number."""
+        self.ids = np.concatenate(self.ids)
+        self.new = np.ones(self.size, bool)
+        self.new[np.concatenate(self.carried) if self.carried else []] = False
+        self.names = list(self.vocab)
+        size = next(self.numbers)
+        self.words, self.word_lang, self.word_hash = np.full(size, STOP, object), np.zeros(size, np.int32), np.zeros(size, np.uint64)
+        for k, lang in enumerate(self.names):
+            seed, known = lang_seed(lang), self.vocab[lang]
+            del known[STOP]
+            at = np.fromiter(known.values(), np.int64, len(known))
+            self.words[at] = list(known)
+            self.word_lang[at] = k
+            self.word_hash[at] = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in known), np.uint64, len(known))
+        self.vocab = {}
+        self.words = pa.array(self.words, pa.binary())
+
+
+def chunks(batches: Iterator[pa.RecordBatch], max_words: int) -> Iterator[Chunk]:
     chunk = Chunk()
     for batch in batches:
-        for text, lang in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
-            tail: list[bytes] = []
-            for words in runs(text):
-                chunk.add(tail + words, names.setdefault(lang, len(names)), len(tail))
-                tail = (tail + words)[1 - max_words :] if max_words > 1 else []
-                if chunk.size >= CHUNK_WORDS:
-                    yield chunk, list(names)
-                    chunk = Chunk()
+        for at in range(0, batch.num_rows, READ_ROWS):
+            part = batch.slice(at, READ_ROWS)
+            for text, lang in zip(part.column(0).cast(pa.binary()).to_pylist(), part.column(1).to_pylist()):
+                tail: list[bytes] = []
+                for words in runs(text):
+                    chunk.add(tail + words, lang, len(tail))
+                    tail = (tail + words)[1 - max_words :] if max_words > 1 else []
+                    if chunk.size >= CHUNK_WORDS:
+                        chunk.finish()
+                        yield chunk
+                        chunk = Chunk()
     if chunk.size:
-        yield chunk, list(names)
-
-
-def levels(chunk: Chunk, names: list[str], max_words: int, known, keep):
-    """Yield (length, first positions, counts, language numbers, word lists) of the chunk's phrases.
-
-    ``known(hashes, counts)`` says which phrases may be part of longer ones;
-    ``keep(length, parts, hashes)`` says which of the possible ones leave."""
-    ids, langs, old = np.concatenate(chunk.ids), np.concatenate(chunk.langs), np.concatenate(chunk.carry)
-    total = len(ids)
-    vocab = np.array(list(chunk.vocab), dtype=object)
-    place = np.flatnonzero(ids)
-    code = langs[place] * len(vocab) + ids[place]
-    hashes_of_word = None
-    inside = None  # per position: may the phrase that starts here be extended
-    hash_at = None
+        chunk.finish()
+        yield chunk
+
+
+def windows(chunk: Chunk, max_words: int, known) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Yield (length, positions, their hashes, first layer of marks) of the phrases whose shorter parts are known.
+
+    ``known(hashes)`` gives one row of booleans per layer of marks; a position takes part if its parts are known to
+    the last layer, and ``first`` says whether the first layer knew them too."""
+    total = chunk.size
+    of_word = chunk.word_hash[chunk.ids]
+    at = np.flatnonzero(chunk.ids)
+    h, parts = of_word[at], None
     for length in range(1, max_words + 1):
-        if length > 1:
-            # both shorter phrases must be known
-            place = place[inside[place]]
-            follows = (place + 1 < total) & (inside[np.minimum(place + 1, total - 1)])
-            place = place[follows]
-            code = number[place] * size + word_number[place + length - 1]
-        if not len(place):
+        yield length, at, h, np.zeros(len(at), bool) if parts is None else parts[0]
+        if length == max_words or not len(at):
             return
-        uniq, first, back = np.unique(code, return_index=True, return_inverse=True)
-        n = np.bincount(back, weights=~old[place + length - 1], minlength=len(uniq)).astype(np.int64)
-        at = place[first]
-        if length == 1:
-            hashes_of_word = np.fromiter((word_hash(names[x], w) for x, w in zip(langs[at], vocab[ids[at]])), np.uint64, len(at))
-            word_number = np.full(total, -1)
-            word_number[place] = back
-            size = len(uniq)
-            h = hashes_of_word
-        else:
-            h = mixed(hash_at[at], hashes_of_word[word_number[at + length - 1]])
-        ok = known(h, n)
-        hash_before = hash_at
-        number = np.full(total, -1)
-        number[place] = back
-        inside = np.zeros(total, bool)
-        inside[place] = ok[back]
-        hash_at = np.zeros(total, np.uint64)
-        hash_at[place] = h[back]
-        out = np.flatnonzero((n > 0) & keep(length, None if length == 1 else (hash_before[at], hash_before[at + 1]), n))
-        yield length, at[out], n[out], langs[at[out]], [vocab[ids[i : i + length]] for i in at[out]]
-
-
-def partial_counts(docs: DataFrame, max_words: int, marks=None, before=None) -> DataFrame:
-    """(lang, phrase, n) per chunk. Without marks: what a task of the sample sees twice. With marks: proposals and
-    border that the marks ``before`` did not bring in; the phrase '' holds the words of a language."""
+        now = known(h) if parts is None else known(h) & parts  # a phrase is known only if its parts are
+        inside = np.zeros((len(now), total + 1), bool)
+        inside[:, at] = now
+        both = inside[:, at] & inside[:, at + 1]
+        keep = both[-1]
+        at, h, parts = at[keep], h[keep], both[:, keep]
+        h = mixed(h, of_word[at + length])
+
+
+def counted(chunk: Chunk, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word numbers, one row per distinct phrase; counts) of the phrases that start at ``at``; exact."""
+    at = at[chunk.new[at + length - 1]]
+    base = len(chunk.words)
+    code, heads = chunk.ids[at], []
+    for k in range(1, length):
+        if (int(code.max(initial=0)) + 1) * base >= 1 << 62:
+            head, code = np.unique(code, return_inverse=True)
+            heads.append((k, head))
+        code = code * base + chunk.ids[at + k]
+    code, n = np.unique(code, return_counts=True)
+    columns = np.empty((len(code), length), np.int64)
+    for k in range(length - 1, -1, -1):
+        columns[:, k] = code % base if k else code
+        code = code // base
+        if heads and heads[-1][0] == k:
+            code = heads.pop()[1][code]
+    return columns, n
+
+
+def proposals(docs: DataFrame, max_words: int) -> DataFrame:
+    """(cell, n): hashed phrases, shorter than the longest, that a chunk of the sample holds twice or more."""
+
+    def emit(batches):
+        for chunk in chunks(batches, max_words):
+            twice = []
+
+            def known(h, twice=twice):
+                one, back, n = np.unique(h, return_inverse=True, return_counts=True)
+                twice.append((one[n > 1], n[n > 1]))
+                return (n > 1)[back][None]
+
+            for _ in windows(chunk, max_words, known):
+                pass
+            for h, n in twice:
+                yield pa.RecordBatch.from_arrays([pa.array(cell(h)), pa.array(n)], names=["cell", "n"])
+
+    return docs.select("text", "lang").mapInArrow(emit, "cell long, n long")
+
+
+def exact_counts(docs: DataFrame, max_words: int, marks, past=None) -> DataFrame:
+    """(lang, phrase, n) per chunk, of the phrases whose parts are marked and were not in the marks ``past``. Without
+    ``past`` also of all single words, and the phrase '' with the number of words of a language."""
 
     def emit(batches):
-        bits = None if marks is None else np.frombuffer(marks.value, np.uint8)
-        past = None if before is None else np.frombuffer(before.value, np.uint8)
-
-        def known(h, n):
-            return n > 1 if bits is None else marked(bits, h)
-
-        def keep(length, parts, n):
-            if bits is None:
-                return n > 1
-            if past is None:
-                return np.ones(len(n), bool)
-            if length == 1:
-                return np.zeros(len(n), bool)
-            return ~(marked(past, parts[0]) & marked(past, parts[1]))
-
-        for chunk, names in chunks(batches, max_words):
-            for length, _, n, langs, words in levels(chunk, names, max_words, known, keep):
-                label = np.array(names, dtype=object)[langs]
-                for at in range(0, len(n), OUT_ROWS):
-                    phrase = pa.array([b" ".join(w) for w in words[at : at + OUT_ROWS]], pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(label[at : at + OUT_ROWS], pa.string()), phrase, pa.array(n[at : at + OUT_ROWS])], names=["lang", "phrase", "n"])
-                if length == 1 and bits is not None and past is None:
-                    sums = np.bincount(langs, weights=n, minlength=len(names)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([""] * len(names), pa.string()), pa.array(sums)], names=["lang", "phrase", "n"])
+        layers = [np.frombuffer(m.value, np.uint8) for m in (past, marks) if m is not None]
+
+        def known(h):
+            return np.stack([marked(bits, h) for bits in layers])
+
+        for chunk in chunks(batches, max_words):
+            for length, at, _, seen in windows(chunk, max_words, known):
+                if past is not None:
+                    at = at[~seen] if length > 1 else at[:0]
+                columns, n = counted(chunk, at, length)
+                lang = pa.DictionaryArray.from_arrays(chunk.word_lang[columns[:, 0]], chunk.names).cast(pa.string())
+                for low in range(0, len(n), OUT_ROWS):
+                    part = slice(low, low + OUT_ROWS)
+                    phrase = pc.binary_join_element_wise(*(chunk.words.take(pa.array(c)) for c in columns[part].T), b" ")
+                    yield pa.RecordBatch.from_arrays([lang[part], phrase.cast(pa.string()), pa.array(n[part])], names=["lang", "phrase", "n"])
+                if length == 1 and past is None:
+                    total = np.bincount(chunk.word_lang[columns[:, 0]], weights=n, minlength=len(chunk.names)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(chunk.names, pa.string()), pa.array([""] * len(total), pa.string()), pa.array(total)], names=["lang", "phrase", "n"])
 
     return docs.select("text", "lang").mapInArrow(emit, "lang string, phrase string, n long")
 
 
-def mark(phrases: DataFrame) -> np.ndarray:
-    """Bitmap of the phrases' hashes; MARK_BITS / 64 rows at most reach the driver."""
+def phrase_cells(phrases: DataFrame, max_words: int) -> DataFrame:
+    """(cell) of the phrases of 1 to ``max_words`` - 1 words."""
 
     def cells(batches):
         for batch in batches:
             out = []
             for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                h, *rest = (np.array([word_hash(lang, w)], np.uint64) for w in phrase.split(b" "))
-                for w in rest:
-                    h = mixed(h, w)
-                out.append(int(h[0] % np.uint64(MARK_BITS)))
-            yield pa.RecordBatch.from_pydict({"cell": pa.array(out, pa.int64())})
-
-    found = phrases.select("lang", "phrase").mapInArrow(cells, "cell long")
-    words = found.groupBy(F.expr("cell div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(cell % 64 as int)))").alias("bits"))
-    table = words.toArrow()
+                words = phrase.split(b" ")
+                if phrase and len(words) < max_words:
+                    h, *rest = (np.array([xxhash.xxh64_intdigest(w, lang_seed(lang))], np.uint64) for w in words)
+                    for w in rest:
+                        h = mixed(h, w)
+                    out.append(int(cell(h)[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["cell"])
+
+    return phrases.select("lang", "phrase").mapInArrow(cells, "cell long")
+
+
+def bitmap(cells: DataFrame) -> np.ndarray:
+    """The cells as a bitmap; MARK_BITS / 64 rows at most reach the driver."""
+    words = cells.groupBy(F.expr("cell div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(cell % 64 as int)))").alias("bits"))
+    found = words.toArrow()
     out = np.zeros(MARK_BITS // 64, np.int64)
-    out[table["word"].to_numpy()] = table["bits"].to_numpy()
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
     return out.view(np.uint8)
 
 
@@ -225,14 +271,15 @@ def frequent_phrases(docs: DataFrame, max_words: int = 4, min_count: int = 30) -
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
     share = min_count / SAMPLE
     least = max(2, int(share - 1.5 * share**0.5))
-    sample = partial_counts(rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0), max_words)
-    marks, past, found = mark(sample.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)), None, None
+    sample = proposals(rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0), max_words)
+    marks, past, found = bitmap(sample.groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= least)), None, None
     while True:
         new = context.broadcast(marks.tobytes())
-        counted = partial_counts(rows, max_words, new, past).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-        counted = cut_lineage(counted.where((F.col("n") >= min_count) | (F.col("phrase") == "")), "phrase-counts")
-        found = counted if found is None else found.unionByName(counted)
-        more = mark(counted.where("phrase <> ''"))
+        partial = exact_counts(rows, max_words, new, past)
+        sums = partial.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= min_count) | (F.col("phrase") == ""))
+        sums = cut_lineage(sums, "phrase-counts")
+        found = sums if found is None else found.unionByName(sums)
+        more = bitmap(phrase_cells(sums, max_words))
         if past is not None:
             past.destroy()
         past = new

@@ -19,8 +19,8 @@ can only add phrases to what is counted. Counting itself is exact: inside a
 chunk words get local numbers, a phrase is the tuple of its numbers, and partial
 counts leave a task as (lang, phrase, n) and are summed by the phrase itself.
 
-Hot keys: a frequent phrase or language is reduced in the tasks before the
-shuffle; the counts of single words, which stand at one end of many phrases, are
+Hot keys: a frequent phrase is reduced in its task before the shuffle and leaves
+it once; the counts of single words, which stand at one end of many phrases, are
 copied over ``SALTS`` keys where phrases look them up; each language's best rows
 are taken in hashed parts first, so no task ranks a language as a whole. Long
 texts are cut between words into runs that overlap by ``max_words - 1`` words.
@@ -34,7 +34,7 @@ columns besides doc_id, text and lang are ignored.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import count
 
@@ -55,7 +55,9 @@ READ_ROWS = 256
 OUT_ROWS = 1 << 17
 SALTS = 32
 STOP = b"\xff"  # no UTF-8 text holds this byte
-BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", STOP * 10 + b" ")
+PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + STOP * 10 + b" ")
+HOT = 16  # phrases of so many occurrences in a chunk leave a task once, not once a chunk
+HELD = 1 << 15
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,7 +83,7 @@ def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def runs(text: bytes) -> Iterator[list[bytes]]:
     """Words of a text, A-Z lower-cased, with ``STOP`` between its pieces; long texts in runs cut at spaces."""
-    flat = text.lower().translate(BREAKS)
+    flat = text.translate(PLAIN)
     at = 0
     while at < len(flat):
         end = len(flat)
@@ -158,11 +160,12 @@ def windows(chunk: Chunk, max_words: int, known) -> Iterator[tuple[int, np.ndarr
     of_word = chunk.word_hash[chunk.ids]
     at = np.flatnonzero(chunk.ids)
     h, parts = of_word[at], None
+    known_word = known(chunk.word_hash)
     for length in range(1, max_words + 1):
         yield length, at, h, np.zeros(len(at), bool) if parts is None else parts[0]
         if length == max_words or not len(at):
             return
-        now = known(h) if parts is None else known(h) & parts  # a phrase is known only if its parts are
+        now = known_word[:, chunk.ids[at]] if parts is None else known(h) & parts  # a phrase is known only if its parts are
         inside = np.zeros((len(now), total + 1), bool)
         inside[:, at] = now
         both = inside[:, at] & inside[:, at + 1]
@@ -196,12 +199,16 @@ def proposals(docs: DataFrame, max_words: int) -> DataFrame:
 
     def emit(batches):
         for chunk in chunks(batches, max_words):
-            twice = []
+            n = np.bincount(chunk.ids, minlength=len(chunk.words))
+            n[0] = 0
+            twice = [(chunk.word_hash[n > 1], n[n > 1])]
 
-            def known(h, twice=twice):
-                one, back, n = np.unique(h, return_inverse=True, return_counts=True)
-                twice.append((one[n > 1], n[n > 1]))
-                return (n > 1)[back][None]
+            def known(h, n=n, twice=twice):
+                if h is chunk.word_hash:
+                    return (n > 1)[None]
+                one, back, m = np.unique(h, return_inverse=True, return_counts=True)
+                twice.append((one[m > 1], m[m > 1]))
+                return (m > 1)[back][None]
 
             for _ in windows(chunk, max_words, known):
                 pass
@@ -221,19 +228,34 @@ def exact_counts(docs: DataFrame, max_words: int, marks, past=None) -> DataFrame
         def known(h):
             return np.stack([marked(bits, h) for bits in layers])
 
+        held: Counter[tuple[str, bytes]] = Counter()
+
+        def release():
+            keys = list(held)
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()).cast(pa.string()), pa.array([held[k] for k in keys], pa.int64())], names=["lang", "phrase", "n"])
+            held.clear()
+
         for chunk in chunks(batches, max_words):
+            if len(held) > HELD:
+                yield from release()
             for length, at, _, seen in windows(chunk, max_words, known):
                 if past is not None:
                     at = at[~seen] if length > 1 else at[:0]
                 columns, n = counted(chunk, at, length)
+                often = n >= HOT
+                for row, m in zip(columns[often].tolist(), n[often].tolist()):
+                    held[chunk.names[chunk.word_lang[row[0]]], b" ".join(chunk.words[i].as_py() for i in row)] += m
+                if length == 1 and past is None:
+                    for k, m in enumerate(np.bincount(chunk.word_lang[columns[:, 0]], weights=n, minlength=len(chunk.names)).astype(np.int64).tolist()):
+                        held[chunk.names[k], b""] += m
+                columns, n = columns[~often], n[~often]
                 lang = pa.DictionaryArray.from_arrays(chunk.word_lang[columns[:, 0]], chunk.names).cast(pa.string())
                 for low in range(0, len(n), OUT_ROWS):
                     part = slice(low, low + OUT_ROWS)
                     phrase = pc.binary_join_element_wise(*(chunk.words.take(pa.array(c)) for c in columns[part].T), b" ")
                     yield pa.RecordBatch.from_arrays([lang[part], phrase.cast(pa.string()), pa.array(n[part])], names=["lang", "phrase", "n"])
-                if length == 1 and past is None:
-                    total = np.bincount(chunk.word_lang[columns[:, 0]], weights=n, minlength=len(chunk.names)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(chunk.names, pa.string()), pa.array([""] * len(total), pa.string()), pa.array(total)], names=["lang", "phrase", "n"])
+        yield from release()
 
     return docs.select("text", "lang").mapInArrow(emit, "lang string, phrase string, n long")
 
@@ -276,7 +298,8 @@ def frequent_phrases(docs: DataFrame, max_words: int = 4, min_count: int = 30) -
     while True:
         new = context.broadcast(marks.tobytes())
         partial = exact_counts(rows, max_words, new, past)
-        sums = partial.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= min_count) | (F.col("phrase") == ""))
+        # chunks are combined already: a second hash table before the shuffle would only cost
+        sums = partial.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= min_count) | (F.col("phrase") == ""))
         sums = cut_lineage(sums, "phrase-counts")
         found = sums if found is None else found.unionByName(sums)
         more = bitmap(phrase_cells(sums, max_words))

@@ -36,33 +36,55 @@ def position_loads(loads: DataFrame) -> DataFrame:
     return rows.withColumn("pos", pos.cast("int")).where("_own = 1").select(*loads.columns, "pos")
 
 
-def preceding_loads_long(orders: DataFrame, positioned_loads: DataFrame) -> DataFrame:
-    """J1 (long form): one row per (order, load of the same session logged at
-    or before the order). Because the preceding loads are a prefix of the
-    session, the load's session position is also its position in the order's
-    list. Equi-join on the session plus a range predicate; AQE splits a hot
-    session across tasks."""
-    o = orders.select("order_id", *SESSION_KEYS, F.col("timestamp").alias("o_ts"))
-    l = positioned_loads.select(*SESSION_KEYS, *LOAD_FIELDS)
-    j = o.join(l, SESSION_KEYS).where(F.col("timestamp") <= F.col("o_ts"))
-    return j.select("order_id", *SESSION_KEYS, *LOAD_FIELDS)
+def asof_loads(orders: DataFrame, loads: DataFrame) -> DataFrame:
+    """Orders plus ``n_loads``: how many loads of the order's session were logged at or before it.
+
+    One as-of pass over the union of loads and orders: a running count inside
+    time slices, the slices before coming as a carry row, so neither a join nor
+    a task over a whole hot session is needed. Rows without a session or a
+    timestamp precede nothing and follow nothing; orders without a preceding
+    load are dropped."""
+    timed = F.col("timestamp").isNotNull()
+    for key in SESSION_KEYS:
+        timed = timed & F.col(key).isNotNull()
+    at = [*SESSION_KEYS, "timestamp"]
+    seen = loads.where(timed).select(*at, F.lit(0).alias("_kind"), F.lit(1).cast("bigint").alias("_seen"))
+    asks = orders.where(timed).select(*at, F.lit(1).alias("_kind"), F.lit(0).cast("bigint").alias("_seen"), F.struct(*orders.columns).alias("_order"))
+    rows = with_slice(seen.unionByName(asks, allowMissingColumns=True))
+    counts = rows.groupBy(*SESSION_KEYS, "_slice").agg(F.sum("_seen").alias("_n"))
+    upto = earlier_slices().rowsBetween(Window.unboundedPreceding, -1)
+    carry = counts.select(*SESSION_KEYS, "_slice", F.lit(0).alias("_kind"), F.sum("_n").over(upto).alias("_seen")).where("_seen > 0")
+    inside = Window.partitionBy(*SESSION_KEYS, "_slice").orderBy("_own", "timestamp", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    counted = with_carry(rows, carry).withColumn("n_loads", F.sum("_seen").over(inside)).where("_kind = 1 AND n_loads > 0")
+    return counted.select("_order.*", F.col("n_loads").cast("int").alias("n_loads"))
+
+
+def session_loads(loads: DataFrame, orders: DataFrame) -> DataFrame:
+    """(session, session_loads): the timed loads, in order, of every session that has an order, stored once."""
+    wanted = orders.select(*SESSION_KEYS).distinct()
+    timed = loads.where("timestamp IS NOT NULL").join(wanted, SESSION_KEYS, "left_semi")
+    return timed.groupBy(*SESSION_KEYS).agg(F.array_sort(F.collect_list(F.struct(*LOAD_FIELDS))).alias("session_loads"))
+
+
+def cut_prefixes(orders: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Orders with ``n_loads`` plus the first ``n_loads`` loads of their session and ``loaded_pids``."""
+    out = orders.join(sessions, SESSION_KEYS).withColumn("loads", F.slice("session_loads", 1, F.col("n_loads")))
+    return out.select(*[c for c in orders.columns if c != "n_loads"], "loads", F.col("loads.item_id").alias("loaded_pids"))
 
 
 def attach_preceding_loads(orders: DataFrame, positioned_loads: DataFrame) -> DataFrame:
     """J1 (array form): orders plus ``loads`` ARRAY<STRUCT> ordered by
     position and ``loaded_pids``; orders with no preceding load are dropped.
 
-    The aggregate groups by the order alone: it has a shuffle of its own, so
-    AQE may split a hot session in the join before it."""
-    o = orders.select(*orders.columns, F.col("timestamp").alias("_o_ts"))
-    l = positioned_loads.select(*SESSION_KEYS, *[F.col(c).alias("_l_" + c) for c in LOAD_FIELDS])
-    j = o.join(l, SESSION_KEYS).where(F.col("_l_timestamp") <= F.col("_o_ts"))
-    other = [c for c in orders.columns if c != "order_id"]
-    agg = j.groupBy("order_id").agg(
-        *[F.any_value(c).alias(c) for c in other],
-        F.array_sort(F.collect_list(F.struct(*[F.col("_l_" + c).alias(c) for c in LOAD_FIELDS]))).alias("loads"),
-    )
-    return agg.select(*orders.columns, "loads", F.col("loads.item_id").alias("loaded_pids"))
+    An order carries the length of its prefix; the loads of a session are
+    collected once and cut, not paired with every order."""
+    return cut_prefixes(asof_loads(orders, positioned_loads), session_loads(positioned_loads, orders))
+
+
+def preceding_loads_long(orders: DataFrame, positioned_loads: DataFrame) -> DataFrame:
+    """J1 (long form): one row per (order, load of the same session logged at or before the order)."""
+    rows = attach_preceding_loads(orders.select("order_id", *SESSION_KEYS, "timestamp"), positioned_loads)
+    return rows.select("order_id", *SESSION_KEYS, F.explode("loads").alias("load")).select("order_id", *SESSION_KEYS, "load.*")
 
 
 def restrict_products(orders: DataFrame, catalogue: DataFrame) -> DataFrame:

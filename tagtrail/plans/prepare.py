@@ -59,7 +59,7 @@ def prepare(spark: SparkSession, sf_dir: str, domain: str = C.FIXTURE_DOMAIN, sp
     merged orders are written once as Parquet tables in the shared
     checkpoint folder (as the reference persists its cleaned tables) and every
     later job of this application reads them instead of re-running the
-    cleaning, the window and the join, as long as the input files stay the same."""
+    cleaning and the windows, as long as the input files stay the same."""
     if not materialize:
         p = build(spark, sf_dir, domain)
     else:
@@ -70,10 +70,12 @@ def prepare(spark: SparkSession, sf_dir: str, domain: str = C.FIXTURE_DOMAIN, sp
             # written before the positions, which read the loads twice
             kept = cut_lineage(O.restrict_loads_to_catalogue(clean_loads(spark, sf_dir, domain), cat), "cleaned_loads")
             loads = cut_lineage(O.position_loads(kept), "prepared_loads")
-            # orders are written before the split: the split bounds are a
-            # one-row aggregate over this small table, not a second run of
-            # the cleaning and the join
-            merged = O.time_split(cut_lineage(O.attach_preceding_loads(b.purchases, loads), "prepared_orders"))
+            # orders are written with the length of their prefix, sessions with
+            # their loads; the prefixes are cut where they are read. The split
+            # bounds are a one-row aggregate over the written orders
+            asked = cut_lineage(O.asof_loads(b.purchases, loads), "prepared_orders")
+            sessions = cut_lineage(O.session_loads(loads, asked), "prepared_sessions")
+            merged = O.cut_prefixes(O.time_split(asked), sessions).select(*ORDER_COLS, "loads", "loaded_pids", "split")
             _PREPARED[key] = Prepared(loads, b.purchases, merged, cat)
         p = _PREPARED[key]
     if split:

@@ -58,22 +58,34 @@ def test_array_form_equals_long_form(spark):
     assert arrays == long and len(arrays) > 20 and 99 not in arrays
 
 
-def test_hot_session_is_split_in_the_array_form(spark):
-    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
-    old = {k: spark.conf.get(k, None) for k in conf}
-    try:
-        for k, v in conf.items():
-            spark.conf.set(k, v)
-        loads = spark.range(0, 20000, 1, 8).select(
-            F.when(F.col("id") % 5 > 0, 1).otherwise(F.col("id")).alias("uuid_ind"), (F.col("id") * 0 + 7).alias("session_id"), (F.col("id") * HOUR).alias("timestamp"), F.col("id").alias("seq"),
-            F.concat(F.lit("/cheap_"), F.col("id").cast("string")).alias("url_path"), F.col("id").alias("item_id"), F.lit("cheap").alias("item_type"), F.lit(1).alias("main_cat"), F.lit(2).alias("sub_cat"), F.col("id").cast("int").alias("pos"))
-        orders = spark.createDataFrame([(o, 1, 7, 500 * o * HOUR, o, [o]) for o in range(20)], "order_id long, uuid_ind long, session_id long, timestamp long, seq long, products array<long>")
-        out = O.attach_preceding_loads(orders, loads)
-        assert {r.order_id: len(r.loads) for r in out.collect()} == {o: 500 * o + 1 - sum(i % 5 == 0 and i != 1 for i in range(500 * o + 1)) for o in range(1, 20)}
-        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+def test_hot_session_without_a_pair_of_order_and_load(spark):
+    """100,000 loads and 10,000 orders of one session: no join between them, no task with more than a few slices."""
+    loads = spark.range(0, 100_000, 1, 8).select(
+        (F.col("id") % 1 + 1).alias("uuid_ind"), (F.col("id") % 1 + 7).alias("session_id"), (F.col("id") * HOUR / 50).cast("long").alias("timestamp"), F.col("id").alias("seq"),
+        F.concat(F.lit("/cheap_"), F.col("id").cast("string")).alias("url_path"), F.col("id").alias("item_id"), F.lit("cheap").alias("item_type"), F.lit(1).alias("main_cat"), F.lit(2).alias("sub_cat"), (F.col("id") + 1).cast("int").alias("pos"))
+    orders = spark.range(0, 10_000, 1, 4).select("id", (F.col("id") % 1 + 1).alias("uuid_ind"), (F.col("id") % 1 + 7).alias("session_id"), ((F.col("id") * 10 - 5) * HOUR / 50).cast("long").alias("timestamp")).withColumnRenamed("id", "order_id")
+    out = O.asof_loads(orders, loads)
+    assert {r.order_id: r.n_loads for r in out.collect()} == {o: 10 * o - 5 + 1 for o in range(1, 10_000)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "_slice" in plan
+    assert out.limit(5).count() == 5 and O.asof_loads(orders.limit(0), loads).count() == 0 and O.asof_loads(orders, loads.limit(0)).count() == 0
+    some = O.attach_preceding_loads(orders.where("order_id % 2500 = 1"), loads)
+    assert {r.order_id: [x.seq for x in r.loads] for r in some.collect()} == {o: list(range(10 * o - 4)) for o in range(1, 10_000, 2500)}
+    text = some._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and "Cartesian" not in text and "timestamp <=" not in text
+
+
+def test_asof_ties_nulls_and_clashing_columns(spark):
+    loads = _loads(spark)
+    orders = spark.createDataFrame([(o, None if o == 4 else 1, 7, None if o == 3 else (o % 9 - 2) * HOUR, "x", 9) for o in range(30)], "order_id long, uuid_ind long, session_id long, timestamp long, n string, _n long")
+    want = {}
+    rows = loads.where("uuid_ind = 1 AND timestamp IS NOT NULL").collect()
+    for o in orders.collect():
+        k = sum(r.timestamp <= o.timestamp for r in rows) if o.timestamp is not None and o.uuid_ind else 0
+        if k:
+            want[o.order_id] = k
+    got = O.asof_loads(orders, loads)
+    assert got.columns == [*orders.columns, "n_loads"] and {r.order_id: r.n_loads for r in got.collect()} == want
 
 
 def test_hot_term_is_split(spark):

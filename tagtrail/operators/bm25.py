@@ -12,13 +12,18 @@ join, which also bounds the size of the hottest posting lists.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..session import cut_lineage
 
+BLOCKS = 16  # blocks of a long posting list
+BLOCK_POSTINGS = 256  # a list up to this length is one block
+SLACK = 1e-6  # thresholds are lowered by it: sums in another order must not lose a tie
 SCORE_DIGITS = 9  # scores are rounded so float summation order cannot reorder ties
 
 
@@ -42,13 +47,19 @@ def _stats_join(df: DataFrame, stats: DataFrame, g: list[str]) -> DataFrame:
 
 def build_index(corpus: DataFrame, doc_col: str = "doc_id", tokens_col: str = "tokens",
                 k1: float = C.BM25_K1, b: float = C.BM25_B, alpha: float = C.BM25_ALPHA,
-                group: list[str] | None = None) -> BM25Index:
+                group: list[str] | None = None, only: DataFrame | None = None) -> BM25Index:
     """R1 + R2 + R3. ``group`` builds one independent index per group value
-    (e.g. per configuration of an evaluation grid) in the same job."""
+    (e.g. per configuration of an evaluation grid) in the same job. ``only``
+    (term) keeps the postings of a query's terms: weights are those of the whole
+    index, the other terms are dropped before anything is counted or shuffled
+    (``n_terms`` and ``avg_idf`` then speak of these terms alone)."""
     g = list(group or [])
     docs = corpus.select(*g, F.col(doc_col).alias("doc_id"), F.size(tokens_col).alias("dl"))
+    spread = corpus.select(*g, F.col(doc_col).alias("doc_id"), F.explode(tokens_col).alias("term"))
+    if only is not None:
+        spread = spread.join(only.select("term").distinct(), "term", "left_semi")
     tf = (
-        corpus.select(*g, F.col(doc_col).alias("doc_id"), F.explode(tokens_col).alias("term"))
+        spread
         .groupBy(*g, "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
     )
     corpus_stats = docs.groupBy(*g).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
@@ -83,27 +94,87 @@ def score(index: BM25Index, query: DataFrame, key: str = "order_id", doc_alias:
 
 def top_n(scores: DataFrame, n: int = 5, key: str = "query_id", doc_col: str = "doc_id") -> DataFrame:
     """Best n documents per query (score desc, then doc id)."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col(doc_col))
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def save_index(index: BM25Index, path: str) -> None:
-    """Persist the four tables and the parameters as Parquet; postings clustered by term."""
-    index.postings.repartition("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path + "/postings")
+def posting_blocks(index: BM25Index, block: int = BLOCK_POSTINGS) -> DataFrame:
+    """Postings in blocks of falling weight: term, doc_id, w, block (0 holds the heaviest), bound (largest weight of the
+    block), top (of the term). A term's blocks are cut by ranges of weight that hold about ``block`` postings each,
+    taken from its exact percentiles' histogram, so no task orders a whole posting list."""
+    cuts = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("top"), F.percentile_approx("w", F.array(*[F.lit(p / BLOCKS) for p in range(1, BLOCKS)]), F.lit(1000)).alias("cuts"))
+    cuts = cuts.withColumn("cuts", F.when(F.col("n") > block, F.col("cuts")).otherwise(F.array().cast("array<double>")))
+    rows = index.postings.select("term", "doc_id", "w").join(cuts.drop("n"), "term")
+    above = F.size(F.filter("cuts", lambda c: c > F.col("w")))  # cuts heavier than the posting: its block
+    rows = rows.withColumn("block", above)
+    bounds = rows.groupBy("term", "block").agg(F.max("w").alias("bound"))
+    return rows.join(bounds, ["term", "block"]).select("term", "doc_id", "w", "block", "bound", "top")
+
+
+def search(index: BM25Index, query: DataFrame, n: int = 5, key: str = "query_id", block: int = BLOCK_POSTINGS) -> DataFrame:
+    """T2 without scoring every match: the best ``n`` documents per query, equal to ``top_n(score(...))``.
+
+    1. The heaviest block of every query term gives partial scores; the n-th of
+       a query is a threshold that its n-th document reaches.
+    2. A block is skipped where its bound and the tops of all other terms stay
+       below the threshold; terms whose tops together stay below it are skipped
+       whole. A document in skipped blocks only cannot be among the best.
+    3. The documents that are left are looked up by (term, document) and scored.
+
+    Weights are not negative (alpha >= 0); otherwise everything is scored."""
+    if index.alpha < 0 or index.group:
+        return top_n(score(index, query, key), n, key)
+    small = cut_lineage(query.select(key, "term", "qty"), "bm25-query")
+    wanted = index.postings.join(small.select("term").distinct(), "term", "left_semi")
+    blocks = cut_lineage(posting_blocks(BM25Index(wanted, *(None,) * 3, index.k1, index.b, index.alpha, []), block), "bm25-blocks")
+    tops = blocks.groupBy("term").agg(F.max("top").alias("top"))
+    terms = small.join(tops, "term").withColumn("most", F.col("qty") * F.col("top"))
+    seeds = small.join(blocks.where("block = 0"), "term").groupBy(key, "doc_id").agg(F.sum(F.col("qty") * F.col("w")).alias("part"))
+    floor = top_n(seeds.withColumnRenamed("part", "score"), n, key).where(F.col("rank") == n).select(key, (F.col("score") - SLACK).alias("floor"))
+    by_top = Window.partitionBy(key).orderBy("most", "term")
+    sized = terms.join(floor, key, "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    sized = sized.withColumn("upto", F.sum("most").over(by_top)).withColumn("rest", F.sum("most").over(Window.partitionBy(key)) - F.col("most"))
+    sized = cut_lineage(sized, "bm25-terms")
+    reach = sized.where("upto >= floor").join(blocks, "term").where("qty * bound + rest >= floor")
+    docs = cut_lineage(reach.select(key, "doc_id").distinct(), "bm25-candidates")
+    asked = docs.join(small, key)
+    scored = asked.join(blocks.select("term", "doc_id", "w"), ["term", "doc_id"])
+    scores = scored.groupBy(key, "doc_id").agg(F.round(F.sum(F.col("qty") * F.col("w")), SCORE_DIGITS).alias("score"))
+    return top_n(scores, n, key)
+
+
+def save_index(index: BM25Index, path: str, buckets: int | None = None) -> None:
+    """Persist the four tables and the parameters as Parquet; the postings in buckets by term, sorted, so that
+    reading them back by term needs no shuffle."""
+    spark = index.postings.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    _forget(spark, path)
+    dealt = index.postings.repartition(buckets, "term")
+    dealt.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").option("path", path + "/postings").saveAsTable(_bucket_name(path))
     index.terms.write.mode("overwrite").parquet(path + "/terms")
     index.docs.write.mode("overwrite").parquet(path + "/docs")
     index.stats.write.mode("overwrite").parquet(path + "/stats")
-    params = [(float(index.k1), float(index.b), float(index.alpha), index.group)]
-    index.stats.sparkSession.createDataFrame(params, "k1 double, b double, alpha double, group array<string>").write.mode("overwrite").parquet(path + "/params")
+    params = [(float(index.k1), float(index.b), float(index.alpha), index.group, buckets)]
+    spark.createDataFrame(params, "k1 double, b double, alpha double, group array<string>, buckets int").write.mode("overwrite").parquet(path + "/params")
+
+
+def _bucket_name(path: str) -> str:
+    return "bm25_postings_" + hashlib.md5(path.encode()).hexdigest()
+
+
+def _forget(spark, path: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {_bucket_name(path)}")  # an external table: its files stay
 
 
 def load_index(spark, path: str) -> BM25Index:
     """The index saved at ``path``, with the parameters its weights were made with."""
     r = spark.read
     p = r.parquet(path + "/params").first()  # one row
-    return BM25Index(r.parquet(path + "/postings"), r.parquet(path + "/terms"), r.parquet(path + "/docs"),
+    _forget(spark, path)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in r.parquet(path + "/postings").schema)
+    where = f"USING parquet CLUSTERED BY (term) SORTED BY (term) INTO {p.buckets} BUCKETS LOCATION '{path}/postings'"
+    spark.sql(f"CREATE TABLE {_bucket_name(path)} ({columns}) {where}")  # the session's catalogue learns the buckets
+    return BM25Index(spark.table(_bucket_name(path)), r.parquet(path + "/terms"), r.parquet(path + "/docs"),
                      r.parquet(path + "/stats"), p.k1, p.b, p.alpha, list(p.group))
 
 

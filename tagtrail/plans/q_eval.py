@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import bm25, expand, metrics as M, quality, scoring, tagquery
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import fixtures as fx
 from . import tag_eval as TE
 from .prepare import prepare
@@ -195,16 +195,20 @@ def q_bm25_reloaded_top_n(spark: SparkSession, sf: str) -> DataFrame:
 def q_bm25_top_n(spark: SparkSession, sf: str) -> DataFrame:
     """The 5 best documents for every benchmark passage (lower-cased
     whitespace tokens as the query)."""
-    return _passage_top_n(spark, sf, _doc_index(spark, sf))
+    q = _passage_terms(spark, sf)
+    idx = bm25.build_index(fx.tag_docs(spark, sf), "doc_id", "tokens", alpha=DOC_ALPHA, only=q)
+    return _round(bm25.search(idx, q), ["score"])
 
 
-def _passage_top_n(spark: SparkSession, sf: str, idx: bm25.BM25Index) -> DataFrame:
+def _passage_terms(spark: SparkSession, sf: str) -> DataFrame:
     bench = fx.read_table(spark, sf, "benchmark").select(
         F.col("item_id").alias("query_id"), F.explode(F.expr(r"filter(split(lower(text), '\\s+'), t -> t <> '')")).alias("term")
     )
-    q = bench.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qty"))
-    top = bm25.top_n(bm25.score(idx, q, "query_id"), 5, "query_id")
-    return _round(top, ["score"])
+    return bench.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qty"))
+
+
+def _passage_top_n(spark: SparkSession, sf: str, idx: bm25.BM25Index) -> DataFrame:
+    return _round(bm25.top_n(bm25.score(idx, _passage_terms(spark, sf), "query_id"), 5, "query_id"), ["score"])
 
 
 @register("iou_score")
@@ -246,13 +250,15 @@ def q_tag_metrics_filled(spark: SparkSession, sf: str) -> DataFrame:
 @register("metrics_report")
 def q_metrics_report(spark: SparkSession, sf: str) -> DataFrame:
     """One wide table, one row per model/split."""
-    n = _next(spark, sf)
+    n = cut_lineage(_next(spark, sf), "next-items")
     truth = TE.next_item_truth(n)
-    tags, cat = fx.tags(spark, sf), fx.products(spark, sf)
+    tags, cat = fx.tags(spark, sf), cut_lineage(fx.products(spark, sf), "catalogue")
+    tags = cut_lineage(TE.restrict_tag_corpus(tags, cat), "catalogue-tags")
+    index = TE.tag_index(tags, cat, alpha=TAG_ALPHA)
     parts = [
         ("baseline", M.ranking_metrics(scoring.baseline_score(n, "prefix"), truth)),
-        ("bm25_union", TE.tag_metrics(n, truth, tags, cat, "union", alpha=TAG_ALPHA)),
-        ("bm25_sum", TE.tag_metrics(n, truth, tags, cat, "sum", alpha=TAG_ALPHA)),
+        ("bm25_union", TE.tag_metrics(n, truth, tags, cat, "union", alpha=TAG_ALPHA, index=index)),
+        ("bm25_sum", TE.tag_metrics(n, truth, tags, cat, "sum", alpha=TAG_ALPHA, index=index)),
         ("iou_union", TE.tag_metrics(n, truth, tags, cat, "union", "iou")),
     ]
     out = None

@@ -54,14 +54,15 @@ def build_index(corpus: DataFrame, doc_col: str = "doc_id", tokens_col: str = "t
     index, the other terms are dropped before anything is counted or shuffled
     (``n_terms`` and ``avg_idf`` then speak of these terms alone)."""
     g = list(group or [])
-    docs = corpus.select(*g, F.col(doc_col).alias("doc_id"), F.size(tokens_col).alias("dl"))
-    spread = corpus.select(*g, F.col(doc_col).alias("doc_id"), F.explode(tokens_col).alias("term"))
+    # one pass over the texts: a row per token, and one without a term per document that carries its length
+    tokens = F.concat(F.coalesce(F.col(tokens_col), F.array()), F.array(F.lit(None).cast("string")))
+    spread = corpus.select(*g, F.col(doc_col).alias("doc_id"), F.size(tokens_col).alias("dl"), F.explode(tokens).alias("term"))
     if only is not None:
-        spread = spread.join(only.select("term").distinct(), "term", "left_semi")
-    tf = (
-        spread
-        .groupBy(*g, "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    )
+        spread = spread.join(only.select("term", F.lit(True).alias("_in")).distinct(), "term", "left").where("_in OR term IS NULL")
+    counts = spread.groupBy(*g, "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.any_value("dl").alias("dl"))
+    counts = cut_lineage(counts, "bm25-counts")
+    tf = counts.where("term IS NOT NULL").select(*g, "term", "doc_id", "tf")
+    docs = counts.where("term IS NULL").select(*g, "doc_id", "dl")
     corpus_stats = docs.groupBy(*g).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     df = tf.groupBy(*g, "term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
@@ -125,7 +126,7 @@ def search(index: BM25Index, query: DataFrame, n: int = 5, key: str = "query_id"
     if index.alpha < 0 or index.group:
         return top_n(score(index, query, key), n, key)
     small = cut_lineage(query.select(key, "term", "qty"), "bm25-query")
-    wanted = index.postings.join(small.select("term").distinct(), "term", "left_semi")
+    wanted = cut_lineage(index.postings.join(small.select("term").distinct(), "term", "left_semi").select("term", "doc_id", "w"), "bm25-wanted")
     blocks = cut_lineage(posting_blocks(BM25Index(wanted, *(None,) * 3, index.k1, index.b, index.alpha, []), block), "bm25-blocks")
     tops = blocks.groupBy("term").agg(F.max("top").alias("top"))
     terms = small.join(tops, "term").withColumn("most", F.col("qty") * F.col("top"))

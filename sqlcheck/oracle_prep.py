@@ -114,6 +114,12 @@ O["multi_hot_labels"] = W(
     """, c AS (SELECT list(pid ORDER BY pid) AS ids FROM fx_products)
 SELECT order_id, array_to_string(list_transform(c.ids, lambda i: CASE WHEN list_contains(products, i) THEN 1 ELSE 0 END), ',') AS y_true,
        CAST(len(products) AS INTEGER) AS n_true FROM fx_merged, c""", "fx_merged", "fx_products")
+O["sparse_labels"] = W(
+    """, c AS (SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS idx FROM fx_products)
+, x AS (SELECT DISTINCT order_id, unnest(products) AS pid FROM fx_merged)
+, y AS (SELECT order_id, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) AS indices, count(*) AS n FROM x JOIN c USING (pid) GROUP BY 1)
+SELECT order_id, (SELECT count(*) FROM c) AS size, coalesce(indices, '') AS indices, CAST(coalesce(n, 0) AS INTEGER) AS n_true
+FROM fx_merged LEFT JOIN y USING (order_id)""", "fx_merged", "fx_products")
 O["session_length"] = W("SELECT uuid_ind, session_id, count(*) AS n_loads FROM fx_loads_final GROUP BY 1, 2", "fx_loads_final")
 O["session_unique_items"] = W(
     "SELECT uuid_ind, session_id, count(DISTINCT item_id) AS n_unique_items FROM fx_loads_final GROUP BY 1, 2", "fx_loads_final")

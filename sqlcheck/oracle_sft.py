@@ -8,7 +8,7 @@ from .fixtures_sql import sql_str, with_ctes
 
 O: dict[str, str] = {}
 W = with_ctes
-N_TAGS, MAX_LEN = 3, 7
+N_TAGS, MAX_LEN = 5, 20
 SYSTEM = "Suggest three tags, best first and with commas between them, for the product that the shopper opens next. "
 
 
@@ -63,7 +63,7 @@ O["sft_purchase_examples"] = W(
   {denum('lines[len(lines)]')} AS output FROM pe_lines""", "fx_merged", "fx_tags")
 O["sft_continuation_examples"] = W(lines_ctes("lo_", LOADED, ["order_id"], "seq") + CONT
                                    + "SELECT order_id, instruction, input, output FROM cont", "fx_merged", "fx_tags")
-O["sft_product_prompts"] = W("""SELECT c.pid, '' AS instruction, '1. ' || array_to_string(list_slice(t.tags, 1, 3), ', ') || chr(10) || '2.' AS input
+O["sft_product_prompts"] = W("""SELECT c.pid, '' AS instruction, '1. ' || array_to_string(list_slice(t.tags, 1, 5), ', ') || chr(10) || '2.' AS input
 FROM fx_products c JOIN fx_tags t ON t.pid = c.pid""", "fx_products", "fx_tags")
 O["sft_test_prompts"] = W(
     lines_ctes("tp_", "(SELECT order_id, prefix FROM fx_next_last WHERE split = 'test')", ["order_id"], "prefix")
@@ -102,7 +102,7 @@ FROM cont c LEFT JOIN customer cu ON cu.c_custkey = c.uuid_ind""", "fx_merged",
 O["union_splits"] = W("SELECT order_id, split FROM fx_merged WHERE split = 'train' UNION ALL SELECT order_id, split FROM fx_merged WHERE split = 'val'",
                       "fx_merged")
 O["prompt_config_grid"] = W("""SELECT c.pid, g.config_id, g.temperature, g.top_p,
-  '1. ' || array_to_string(list_slice(t.tags, 1, 3), ', ') || chr(10) || '2.' AS input
+  '1. ' || array_to_string(list_slice(t.tags, 1, 5), ', ') || chr(10) || '2.' AS input
 FROM fx_products c JOIN fx_tags t ON t.pid = c.pid,
   (SELECT 0 AS config_id, CAST(2.0 AS DOUBLE) AS temperature, CAST(0.3 AS DOUBLE) AS top_p UNION ALL
    SELECT 1, CAST(1.0 AS DOUBLE), CAST(0.9 AS DOUBLE) UNION ALL SELECT 2, CAST(0.7 AS DOUBLE), CAST(1.0 AS DOUBLE)) g""",

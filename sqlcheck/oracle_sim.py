@@ -26,6 +26,16 @@ FROM d JOIN nr x ON x.pid = d.pa JOIN nr y ON y.pid = d.pb""", "fx_products", "f
 O["tag_cosine"] = cosine_sql(SAMPLE.format(seed=21, n=50))
 O["tag_cosine_catalogue"] = cosine_sql("(SELECT pid FROM fx_products)")
 
+O["tag_cosine_above"] = W("""
+, c AS (SELECT pid, tag, count(*) AS n FROM (SELECT pid, unnest(tags) AS tag FROM fx_tags) x GROUP BY 1, 2)
+, v AS (SELECT pid, string_agg(tag || chr(1) || n, chr(2) ORDER BY tag) AS v FROM c GROUP BY 1)
+, r AS (SELECT min(pid) AS pid FROM v GROUP BY v)
+, k AS (SELECT c.* FROM c JOIN r USING (pid))
+, nr AS (SELECT pid, sum(n * n) AS n2 FROM k GROUP BY 1)
+, d AS (SELECT a.pid AS pa, b.pid AS pb, sum(a.n * b.n) AS dot FROM k a JOIN k b ON a.tag = b.tag AND a.pid < b.pid GROUP BY 1, 2)
+SELECT pa AS pid_a, pb AS pid_b, round(dot / sqrt(CAST(x.n2 AS DOUBLE) * CAST(y.n2 AS DOUBLE)), 6) AS cosine
+FROM d JOIN nr x ON x.pid = d.pa JOIN nr y ON y.pid = d.pb WHERE 16 * dot * dot >= 9 * x.n2 * y.n2""", "fx_tags")
+
 # the echo predictor gives the tags of a prompt's first line in reverse order, two of them below top_p 0.5;
 # what follows the marker is kept as it is, with its leading blank
 PROMPTS = """

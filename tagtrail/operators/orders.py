@@ -154,6 +154,20 @@ def multi_hot_labels(orders: DataFrame, catalogue: DataFrame) -> DataFrame:
     ).drop("_ids")
 
 
+def sparse_labels(orders: DataFrame, catalogue: DataFrame, key: str = "order_id", col: str = "products") -> DataFrame:
+    """X1 in sparse form: (key, size, indices, values) - the catalogue's size and the ascending dense indexes
+    (``product_index``) of the order's products, each with value 1. The catalogue is joined, never held by a row or a
+    task, so its size does not matter. Products outside the catalogue have no index; an order without any, with an
+    empty or a null list has empty arrays; repeated products count once."""
+    index = product_index(catalogue)
+    size = index.agg(F.count(F.lit(1)).alias("size"))  # one row
+    at = orders.select(key, F.explode(col).alias("pid")).distinct().join(index, "pid")
+    rows = at.groupBy(key).agg(F.array_sort(F.collect_list("idx")).alias("indices"))
+    out = orders.select(key).join(rows, key, "left").crossJoin(F.broadcast(size))
+    indices = F.coalesce("indices", F.array().cast("array<bigint>"))
+    return out.select(key, "size", indices.alias("indices"), F.transform(indices, lambda _: F.lit(1.0)).alias("values"))
+
+
 def loads_in_order_sessions(loads: DataFrame, orders: DataFrame) -> DataFrame:
     """Loads of sessions in which an order was placed."""
     return loads.join(orders.select(*SESSION_KEYS).distinct(), SESSION_KEYS, "left_semi")

@@ -6,8 +6,9 @@ explode, join, regroup; the planner picks the join by bytes."""
 from __future__ import annotations
 
 import string
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,6 +143,34 @@ def build_vocab(texts: DataFrame, col: str = "text") -> DataFrame:
     return dense_index(toks, ["token"], "id").select("token", (F.col("id") + 3).alias("id"))
 
 
+def whitespace_tokenizer(vocab: dict[str, int], unknown_id: int | None = None) -> Callable[[], Callable[[str], list[int]]]:
+    """A tokenizer for ``token_labels`` over a small fixed vocabulary; a token it lacks takes ``unknown_id`` or is an error."""
+    import re
+
+    def make():
+        def encode(text: str) -> list[int]:
+            out = [vocab.get(t, unknown_id) for t in re.split(r"\s+", text) if t]
+            if None in out:
+                raise ValueError("token not in the vocabulary")
+            return out
+
+        return encode
+
+    return make
+
+
+def _encoder(tokenizer: Callable[[], Callable[[str], list[int]]]) -> Callable[[str], Column]:
+    """A Column function text -> token ids; ``tokenizer()`` is called once per task, whole Arrow batches go through it."""
+
+    @F.pandas_udf("array<int>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        of = tokenizer()
+        for texts in batches:
+            yield pd.Series([None if t is None else list(of(t)) for t in texts], dtype=object)
+
+    return encode
+
+
 def _ids(df: DataFrame, key: Sequence[str], text_col: str, vocab: DataFrame, out: str, unknown_id: int | None) -> DataFrame:
     ex = df.select(*key, F.posexplode(_tokens(F.col(text_col))).alias("_p", "token"))
     unknown = F.raise_error(F.concat(F.lit("token not in the vocabulary: "), F.col("token"))).cast("int") if unknown_id is None else F.lit(unknown_id)
@@ -153,16 +182,27 @@ def _ids(df: DataFrame, key: Sequence[str], text_col: str, vocab: DataFrame, out
 
 def token_labels(records: DataFrame, key: Sequence[str], system_instruction: str, vocab: DataFrame | None = None,
                  cutoff: int = C.CUTOFF_LEN, true_mask: bool = False, reference_prompt_padding: bool = False,
-                 unknown_id: int | None = None) -> DataFrame:
+                 unknown_id: int | None = None, tokenizer: Callable[[], Callable[[str], list[int]]] | None = None,
+                 special: tuple[int, int, int] = (PAD, BOS, EOS)) -> DataFrame:
     """I8: causal-LM arrays of length ``cutoff``: input_ids = bos + prompt +
     output + eos, truncated / padded; labels = -100 on prompt positions, then
     the ids; attention_mask all ones (the reference also masks padding in;
     ``true_mask`` zeroes it). ``reference_prompt_padding`` reproduces the
     reference's padded prompt count (every label becomes -100). A token that
-    ``vocab`` lacks takes ``unknown_id``; without one it is an error."""
+    ``vocab`` lacks takes ``unknown_id``; without one it is an error.
+
+    ``tokenizer``, a function that makes an encoder (text -> ids) inside a task,
+    replaces the vocabulary: any subword tokenizer, ``whitespace_tokenizer``
+    among them. Prompt and output are encoded row by row, with no row per token
+    and no shuffle. ``special`` are the ids of pad, bos and eos."""
     from ..session import cut_lineage
 
     key = list(key)
+    pad_id, bos, eos = special
+    if tokenizer is not None:
+        encode = _encoder(tokenizer)
+        j = records.select(*key, encode(prompt_text(system_instruction)).alias("_pi"), encode("output").alias("_oi"))
+        return _label_arrays(j, key, cutoff, true_mask, reference_prompt_padding, pad_id, bos, eos)
     # used four times below: materialise once
     rec = cut_lineage(records.select(*key, prompt_text(system_instruction).alias("_prompt"), "output"), "sft_records")
     if vocab is None:
@@ -170,10 +210,15 @@ def token_labels(records: DataFrame, key: Sequence[str], system_instruction: str
     p = _ids(rec, key, "_prompt", vocab, "_pi", unknown_id)
     o = _ids(rec, key, "output", vocab, "_oi", unknown_id)
     j = rec.select(*key).join(p, key, "left").join(o, key, "left")
+    return _label_arrays(j, key, cutoff, true_mask, reference_prompt_padding, pad_id, bos, eos)
+
+
+def _label_arrays(j: DataFrame, key: list[str], cutoff: int, true_mask: bool, reference_prompt_padding: bool, pad_id: int, bos: int, eos: int) -> DataFrame:
+    """The three arrays of a row with prompt ids ``_pi`` and output ids ``_oi`` (null: none)."""
     empty = F.array().cast("array<int>")
-    full = F.concat(F.array(F.lit(BOS)), F.coalesce("_pi", empty), F.coalesce("_oi", empty), F.array(F.lit(EOS)))
+    full = F.concat(F.array(F.lit(bos)), F.coalesce("_pi", empty), F.coalesce("_oi", empty), F.array(F.lit(eos)))
     j = j.withColumn("_full", F.slice(full, 1, cutoff)).withColumn("_np", F.size(F.coalesce("_pi", empty)) + 1)
-    pad = F.array_repeat(F.lit(PAD), F.lit(cutoff) - F.size("_full"))
+    pad = F.array_repeat(F.lit(pad_id), F.lit(cutoff) - F.size("_full"))
     ids = F.concat("_full", pad)
     n_prompt = F.lit(cutoff) if reference_prompt_padding else F.least(F.col("_np"), F.lit(cutoff))
     labels = F.concat(F.array_repeat(F.lit(C.LABEL_IGNORE), n_prompt), F.slice(ids, n_prompt + 1, cutoff))

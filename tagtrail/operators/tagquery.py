@@ -18,10 +18,13 @@ def seq_tags_long(seqs: DataFrame, tags: DataFrame, key: str = "order_id", seq_c
     """J4 (long form): (key, pos, n_pos, tags) for every position of the
     sequence, looking the item's tags up by a (size-checked) broadcast join.
     ``pos`` is 0-based. ``group`` columns (e.g. a config id) are part of both
-    the sequence key and the tag lookup."""
+    the sequence key and the tag lookup. An item without tags keeps its position
+    with an empty list; of several tag lists of a product the smallest counts."""
     g = list(group or [])
+    tags = tags.groupBy(*g, "pid").agg(F.min("tags").alias("tags"))
     ex = seqs.select(*g, key, F.size(seq_col).alias("n_pos"), F.posexplode(seq_col).alias("pos", "pid"))
-    return ex.join(tags.select(*g, "pid", "tags"), g + ["pid"]).select(*g, key, "pos", "n_pos", "pid", "tags")
+    found = F.coalesce("tags", F.array().cast("array<string>")).alias("tags")
+    return ex.join(tags.select(*g, "pid", "tags"), g + ["pid"], "left").select(*g, key, "pos", "n_pos", "pid", found)
 
 
 def seq_tag_lookup(seqs: DataFrame, tags: DataFrame, key: str = "order_id", seq_col: str = "prefix") -> DataFrame:

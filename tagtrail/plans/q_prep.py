@@ -229,6 +229,12 @@ def q_multi_hot_labels(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("order_id", _ids("y_true").alias("y_true"), F.aggregate("y_true", F.lit(0), lambda a, x: a + x).alias("n_true"))
 
 
+@register("sparse_labels")
+def q_sparse_labels(spark: SparkSession, sf: str) -> DataFrame:
+    m = O.sparse_labels(prepare(spark, sf).merged, fx.products(spark, sf))
+    return m.select("order_id", "size", F.array_join("indices", ",").alias("indices"), F.size("values").alias("n_true"))
+
+
 @register("session_length")
 def q_session_length(spark: SparkSession, sf: str) -> DataFrame:
     return eda.session_length(prepare(spark, sf).loads)

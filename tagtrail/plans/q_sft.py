@@ -11,8 +11,8 @@ from ..sources import fixtures as fx
 from .prepare import prepare
 from .registry import register
 
-N_TAGS = 3
-MAX_LEN = 7
+N_TAGS = 5
+MAX_LEN = 20
 SYSTEM = "Suggest three tags, best first and with commas between them, for the product that the shopper opens next. "
 CONFIGS = [
     {"temperature": 2.0, "top_p": 0.3},

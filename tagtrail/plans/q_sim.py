@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +86,12 @@ def q_tag_cosine_catalogue(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.cosine(vectors.tag_counts(catalogue))
 
 
+@register("tag_cosine_above")
+def q_tag_cosine_above(spark: SparkSession, sf: str) -> DataFrame:
+    """V2 over every part: pairs of different tag vectors of cosine 0.75 or more."""
+    return vectors.cosine_above(vectors.tag_counts(fx.tags(spark, sf)), Fraction(3, 4))
+
+
 @register("tag_fuzzy_matrix")
 def q_tag_fuzzy_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.fuzzy_matrix(_sample_tags(spark, sf))

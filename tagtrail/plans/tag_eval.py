@@ -14,9 +14,10 @@ from ..operators import bm25, metrics as M, quality, tagquery
 from ..session import cut_lineage
 
 
-def restrict_tag_corpus(tags: DataFrame, catalogue: DataFrame, check: bool = False) -> DataFrame:
+def restrict_tag_corpus(tags: DataFrame, catalogue: DataFrame, check: bool = True) -> DataFrame:
     """The tag corpus limited to the catalogue (keyed by pid, not by
-    position). ``check`` raises when a catalogue product has no tags (D3)."""
+    position). A catalogue product without tags is an error (D3); ``check=False``
+    lets it pass, and no tag query ever finds it."""
     if check:
         quality.require_empty(quality.missing_from(catalogue, tags), "catalogue products without tags")
     return tags.join(catalogue.select("pid").distinct(), "pid", "left_semi")

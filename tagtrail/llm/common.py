@@ -10,12 +10,27 @@ from ..session import cut_lineage
 # Lookup sides are broadcast only when this many rows of at most a few dozen
 # bytes were counted; beyond it the join is an ordinary shuffle join.
 BROADCAST_IDS = 1_000_000
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES in this session from here on (unless it sets less): rows that hold whole
+    texts would fill a batch of Spark's default size, once in the executor and once in its Python worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+def no_clash(df: DataFrame, into: str) -> None:
+    """Raise where the result column would replace one of ``df``."""
+    if into.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"there is a column {into!r} already: name another with into=")
+
+
 def held_out(doc_id: str, modulus: int, remainder: int):
     """True where crc32 of the id as text leaves ``remainder``; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % modulus == remainder, F.lit(False))

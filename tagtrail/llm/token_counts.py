@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import no_clash, small_batches
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 VOCABULARY_BYTES = 32 << 20
 CACHE_WORDS = 200_000  # word lengths a task remembers before it starts afresh (memory only, not results)
@@ -111,6 +113,7 @@ class Counter(dict):
 
 def counter(spark: SparkSession, vocabulary: str = VOCABULARY):
     """A Column function text -> struct(n_words, n_tokens)."""
+    small_batches(spark)
     arrays = spark.sparkContext.broadcast(automaton(*word_pieces(vocabulary)))
     state: dict[str, Counter] = {}
 
@@ -126,5 +129,6 @@ def counter(spark: SparkSession, vocabulary: str = VOCABULARY):
 
 
 def count_tokens(docs: DataFrame, text: str = "text", into: str = "tokens", vocabulary: str = VOCABULARY) -> DataFrame:
-    """``docs`` with a struct column ``into`` (n_words, n_tokens)."""
+    """``docs`` with a struct column ``into`` (n_words, n_tokens); a column of that name in ``docs`` is an error."""
+    no_clash(docs, into)
     return docs.withColumn(into, counter(docs.sparkSession, vocabulary)(F.col(text)))

@@ -96,3 +96,100 @@ def test_more_languages_than_a_model_holds_are_an_error(spark, monkeypatch):
     three = spark.createDataFrame([(i, "text of a", f"l{i % 3}") for i in range(9)], "doc_id long, text string, lang string")
     with pytest.raises(ValueError, match="too many"):
         language_id.fit(three)
+
+
+def plain_bayes(train, texts):
+    """Dictionary version of the classifier: counts of hashed n-grams per language, smoothed, and the whole text scored."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    def grams(text):
+        cp = language_id.code_points(f" {text} ") if text else np.empty(0, np.uint32)
+        out = Counter()
+        for n in language_id.ORDERS:
+            for at in range(len(cp) - n + 1):
+                out[int(language_id.gram_buckets(cp[at : at + n], n, language_id.BUCKETS)[0])] += 1
+        return out
+
+    counts, docs = {}, Counter()
+    for text, lang in train:
+        counts.setdefault(lang, Counter()).update(grams(text))
+        docs[lang] += 1
+    langs = sorted(counts)
+    total = {x: sum(counts[x].values()) + language_id.SMOOTHING * language_id.BUCKETS for x in langs}
+    out = []
+    for text in texts:
+        if not text or not any(map(str.isalpha, text)):
+            out.append(("und", 0.0))
+            continue
+        g = grams(text)
+        ll = {x: math.log(docs[x] / sum(docs.values())) + sum(k * math.log((counts[x][b] + language_id.SMOOTHING) / total[x]) for b, k in g.items()) for x in langs}
+        best = max(langs, key=ll.get)
+        out.append((best, 1 / sum(math.exp(v - ll[best]) for v in ll.values())))
+    return out
+
+
+def test_language_query_equals_plain_bayes(spark):
+    from zlib import crc32
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang").collect()
+    held = {r.doc_id: crc32(str(r.doc_id).encode()) % 4 == 2 for r in docs}
+    want = plain_bayes([(r.text, r.lang) for r in docs if not held[r.doc_id] and r.text is not None and r.lang is not None], [r.text for r in docs])
+    got = {r.doc_id: r for r in queries.op2_language_id(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(docs)
+    for r, (lang, score) in zip(docs, want):
+        assert got[r.doc_id].held_out == held[r.doc_id]
+        assert got[r.doc_id].lang_pred == lang and got[r.doc_id].score == pytest.approx(score, abs=2e-3), r.doc_id
+
+
+def test_many_languages_are_scored_in_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    matrix = np.random.default_rng(2).normal(size=(language_id.BUCKETS + 1, 176)).astype("f4")
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefghij klmnop") for _ in range(400_000)), "x", None]
+    tracemalloc.start()
+    out = language_id.log_likelihoods(texts, matrix)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6 and out.shape == (3, 176)
+    cp = language_id.code_points(f" {texts[0]} ")
+    plain = matrix[language_id.BUCKETS].astype("f8").copy()
+    for n in language_id.ORDERS:
+        b, k = np.unique(language_id.gram_buckets(cp, n, language_id.BUCKETS), return_counts=True)
+        plain += (matrix[b].astype("f8") * k[:, None]).sum(axis=0)
+    assert np.allclose(out[0], plain)
+
+
+def test_quality_model_does_not_depend_on_partitioning_or_repeats(spark):
+    import numpy as np
+
+    rng = random.Random(8)
+    good = [(i, " ".join(rng.choice(["the", "river", "runs", "slowly", "home"]) for _ in range(40)) + ".") for i in range(60)]
+    bad = [(100 + i, "$$$ buy | now | " * rng.randint(1, 9)) for i in range(60)]
+    rows = good + bad + [(i, "something else entirely, twice") for i in range(5)]
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in good + bad], "doc_id long, quality int")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    models = [quality_rank.fit(df.repartition(n), labels) for n in (1, 7)]
+    assert np.array_equal(models[0]["w"], models[1]["w"]) and models[0]["cut"] == models[1]["cut"]
+    # scores against a plain dot product
+    shift = np.log(quality_rank.THRESHOLD / (1 - quality_rank.THRESHOLD))
+    m = models[0]
+    for r in quality_rank.rate(df, m).collect():
+        s = float(quality_rank.features(r.text).astype(float) @ m["w"])
+        p = 1 / (1 + np.exp(-(3 * (s - m["cut"]) / m["scale"] + shift)))
+        assert r.score == pytest.approx(p, abs=1e-6) and (r.score >= 0.3) == (s >= m["cut"])
+    none = table(spark, SF, "documents").limit(0)
+    assert quality_rank.rate(none, quality_rank.fit(none, labels)).count() == 0
+
+
+def test_a_result_column_that_exists_is_an_error(spark):
+    df = spark.createDataFrame(ODD, SCHEMA)
+    model = language_id.fit(df.limit(0))
+    for call in (lambda: language_id.identify(df, model), lambda: token_counts.count_tokens(df), lambda: quality_rank.rate(df, {"w": 0, "cut": 0, "scale": 1})):
+        with pytest.raises(ValueError, match="into="):
+            call()

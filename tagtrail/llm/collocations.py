@@ -46,6 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .common import small_batches
 
 SAMPLE = 8
 MARK_BITS = 1 << 26
@@ -290,6 +291,7 @@ def bitmap(cells: DataFrame) -> np.ndarray:
 def frequent_phrases(docs: DataFrame, max_words: int = 4, min_count: int = 30) -> DataFrame:
     """(lang, phrase, n) of every phrase of at least ``min_count`` occurrences; the phrase '' has a language's words."""
     context = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
     share = min_count / SAMPLE
     least = max(2, int(share - 1.5 * share**0.5))

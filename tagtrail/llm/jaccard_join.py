@@ -38,12 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import connected_components, small_side
+from .common import connected_components, small_batches, small_side
 
 COUNT_BITS = 20  # the table of hashed shingle counts has 2**COUNT_BITS cells, whatever the input
 COUNT_CHUNKS = 64
 BLOCK_SHINGLES = 200_000
 LEAF, FANOUT, BITS = 32, 8, 8192
+STRETCH = 1 << 16  # bytes hashed at once
+PAIR_CELLS = 1 << 22  # bitmap cells multiplied at once
 GROUP_MAX = 1000
 PACK_ROWS = 20_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -59,14 +61,19 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((PRIME, INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0][:n], _powers[1][:n]
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers 0..n-1 of the prime and its inverse; tables of up to STRETCH + 1 entries are kept."""
+    if len(_powers[0]) >= n:
+        return [t[:n] for t in _powers]
+    size = max(n, min(STRETCH + 1, 1 << n.bit_length()))
+    tables = []
+    for base in (PRIME, INVERSE):
+        steps = np.full(size, base, np.uint64)
+        steps[0] = 1
+        tables.append(np.cumprod(steps))
+    if size <= STRETCH + 1:
+        _powers[:] = tables
+    return [t[:n] for t in tables]
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -77,10 +84,18 @@ def word_hashes(text: str | None) -> np.ndarray:
     gap = SPACE[b]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
-    up, down = _power_tables(len(b) + 1)
-    run = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[b] * up[1:], out=run[1:])
-    return _mix((run[end] - run[start]) * down[start])
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):  # a stretch of words at a time
+        base = start[i]
+        j = max(i + 1, int(np.searchsorted(end, base + STRETCH, "right")))
+        part = BYTE_CODE[b[base : end[j - 1]]]
+        up, down = _power_tables(len(part) + 1)
+        run = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * up[1:], out=run[1:])
+        out[i:j] = (run[end[i:j] - base] - run[start[i:j] - base]) * down[start[i:j] - base]
+        i = j
+    return _mix(out)
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -111,24 +126,32 @@ def bounded_pairs(sizes: np.ndarray, bits: list[bytes], share: Fraction):
     """Yield (i, j) index arrays of the pairs whose bitmaps and sizes allow the share."""
     p, q = share.numerator, share.denominator
     widths = np.array([len(b) for b in bits])
+    def dense(members, width, fold):
+        x = np.unpackbits(np.frombuffer(b"".join(bits[i] for i in members), np.uint8).reshape(len(members), width), axis=1)
+        return x if fold == 1 else x.reshape(len(members), fold, -1).max(axis=1)
+
     for w in np.unique(widths):
         a = np.flatnonzero(widths == w)
-        x = np.unpackbits(np.frombuffer(b"".join(bits[i] for i in a), np.uint8).reshape(len(a), w), axis=1)
+        step = max(1, PAIR_CELLS // (8 * int(w)))
         for wide in np.unique(widths[(widths >= w) & (p * widths < 2 * q * w)]):  # sizes differ by q / p at most, widths by less than twice that
             b, same = np.flatnonzero(widths == wide), wide == w
-            y = x
-            if not same:
-                y = np.unpackbits(np.frombuffer(b"".join(bits[i] for i in b), np.uint8).reshape(len(b), wide), axis=1)
-                y = y.reshape(len(b), wide // w, 8 * w).max(axis=1)
-            both = x.astype(np.float32) @ y.astype(np.float32).T
-            best = np.minimum(sizes[a][:, None] - (x.sum(axis=1)[:, None] - both), sizes[b][None, :] - (y.sum(axis=1)[None, :] - both))
-            i, j = np.nonzero((p + q) * best >= p * (sizes[a][:, None] + sizes[b][None, :]))
-            keep = i < j if same else slice(None)
-            yield a[i[keep]], b[j[keep]]
+            for low in range(0, len(a), step):
+                i0 = a[low : low + step]
+                x = dense(i0, w, 1).astype(np.float32)
+                for at in range(low if same else 0, len(b), step):
+                    j0 = b[at : at + step]
+                    y = dense(j0, wide, int(wide // w)).astype(np.float32)
+                    both = x @ y.T
+                    best = np.minimum(sizes[i0][:, None] - (x.sum(axis=1)[:, None] - both), sizes[j0][None, :] - (y.sum(axis=1)[None, :] - both))
+                    i, j = np.nonzero((p + q) * best >= p * (sizes[i0][:, None] + sizes[j0][None, :]))
+                    i, j = i0[i], j0[j]
+                    keep = i < j if same else slice(None)
+                    yield i[keep], j[keep]
 
 
 def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
     """Counts of all documents' shingles in 2**COUNT_BITS hashed cells (a fixed size)."""
+    small_batches(docs.sparkSession)
     cells, width = 1 << COUNT_BITS, (1 << COUNT_BITS) // COUNT_CHUNKS
 
     def count(batches):

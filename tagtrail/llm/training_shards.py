@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .common import small_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed: the split pattern of the byte-level vocabulary
@@ -72,6 +73,7 @@ def token_ids(text: str, enc) -> np.ndarray:
 
 def sequences(docs: DataFrame, stride: int, vocabulary: str) -> DataFrame:
     """(part, place, doc_id, seq, n_ids, ids): one row per sequence of a document."""
+    small_batches(docs.sparkSession)
     raw = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def cut(batches):

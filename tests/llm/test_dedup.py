@@ -149,7 +149,7 @@ def test_suffix_dedup_bounds_the_surroundings_of_a_hot_anchor(spark, monkeypatch
     monkeypatch.setattr(suffix_dedup, "HOT", hot, raising=False)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 2000)
     monkeypatch.setattr(suffix_dedup, "PART", 1 << 13)
-    whole, key, decode, unzip = suffix_dedup.smallest_ids, suffix_dedup.KEY, suffix_dedup.front_decode, suffix_dedup.zstandard.decompress
+    whole, key, decode, unzip = suffix_dedup.smallest_ids, suffix_dedup.KEY, suffix_dedup.split_texts, suffix_dedup.zstandard.decompress
 
     def bounded(span):
         answer = whole(span)

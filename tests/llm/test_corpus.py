@@ -176,3 +176,48 @@ def test_language_stage_without_labels_keeps_documents_with_a_letter(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     out = corpus_pipeline.language(spark, df, SF)
     assert out.columns == df.columns and {r.doc_id for r in out.collect()} == {1, 2}
+
+
+def test_pipeline_drops_near_copies_and_benchmark_passages_only(spark):
+    """The second and third stage against plain Python over all of sf0.001."""
+    import re
+
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = queries.table(spark, sf, "documents")
+    rows = {r.doc_id: (r.text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for r in docs.collect()}
+    sets = {}
+    for i, t in rows.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        n = min(5, len(w))
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()
+    root = {i: i for i in rows}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    want = {i for i in rows if find(i) == i}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()} == want and len(want) < len(rows)
+
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
+    wins = set()
+    for r in queries.table(spark, sf, "benchmark").collect():
+        w = words((r.text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        n = min(13, len(w))
+        wins |= {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()
+    dirty = set()
+    for i, t in rows.items():
+        w, hit = words(t), set()
+        for n in {len(x) for x in wins}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in wins:
+                    hit.update(range(k, k + n))
+        if hit and 20 * len(hit) >= len(w):
+            dirty.add(i)
+    assert {r.doc_id for r in corpus_pipeline.benchmark_free(spark, docs, sf).collect()} == set(rows) - dirty and dirty

@@ -52,7 +52,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("benchmark_free", benchmark_free), ("source_mix", source_mix), ("shards", shards)]
 
-# a language model, hashed candidate search and token ids are beyond SQL; tests compare with brute force
+# a language model, hashed candidate search and token ids are beyond SQL; tests compare the second and third stage with plain Python
 ORACLE_SQL = None
 
 

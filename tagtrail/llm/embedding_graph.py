@@ -13,10 +13,13 @@
    blocks of its shard in tasks of their own, over the united lists; within
    reach of the threshold the search expands over every neighbour inside a
    slack of it, and all that it meets are verified in double precision.
-4. A pair is counted in the first shard that both share; one that shares more
-   shards is verified there directly, so that nothing a later search finds is
-   missing. A task returns a
-   count and a local root per node, never pairs; star rounds join the roots.
+4. A pair counts in the first shard that both share. A task returns a count and
+   a local root per node, never pairs; every verified pair joins its roots, star
+   rounds join the roots of all tasks. Of the pairs that share several shards a
+   task also returns one digest a node: where the shards' digests of a node
+   differ, a search missed what another one found. The searches of these nodes
+   alone run again (they are deterministic) and name the pairs among them, and
+   the pairs that the first shard missed are added.
 5. Recall is audited against brute force, in blocks, on the nodes that hold a
    vec_id divisible by ``EVERY`` and on about ``AUDIT`` others. It is a mean over
    nodes, so a large group weighs no more than its nodes; nodes outside the
@@ -223,10 +226,12 @@ def assign(nodes: DataFrame, nearest: int) -> DataFrame:
 
 
 LINKS = "u long, v long, links long, near long"
+PAIRS = 1 << 17  # pairs looked at at once
 
 
-def summed(ids: np.ndarray, copies: np.ndarray, left: np.ndarray, right: np.ndarray) -> pd.DataFrame:
-    """(u, v, links, near) of the pairs: linked node, local root, copies and number of the nodes it links with."""
+def summed(ids: np.ndarray, copies: np.ndarray, left: np.ndarray, right: np.ndarray, counted: np.ndarray | None = None) -> pd.DataFrame:
+    """(u, v, links, near) of the pairs: linked node, local root, copies and number of the nodes it links with;
+    with ``counted``, the pairs outside it only join roots."""
     root = np.arange(len(ids))
 
     def find(i):
@@ -235,18 +240,73 @@ def summed(ids: np.ndarray, copies: np.ndarray, left: np.ndarray, right: np.ndar
             i = root[i]
         return i
 
+    at = np.union1d(left, right)
+    for i, j in zip(left, right):
+        if root[i] != root[j]:
+            root[find(i)] = find(j)
+    if counted is not None:
+        left, right = left[counted], right[counted]
     links, near = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
     np.add.at(links, left, copies[right])
     np.add.at(links, right, copies[left])
     np.add.at(near, left, 1)
     np.add.at(near, right, 1)
-    for i, j in zip(left, right):
-        if root[i] != root[j]:
-            root[find(i)] = find(j)
-    at = np.flatnonzero(near)
     return pd.DataFrame({"u": ids[at], "v": ids[[find(i) for i in at]] if len(at) else ids[at], "links": links[at], "near": near[at]})
 
 
+def shared_shards(member: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each pair: the first shard that both share, and which of the left's and of the right's shards are shared, as bits."""
+    bits = np.int64(1) << np.arange(member.shape[1])
+    out = [(np.empty(0, np.int64),) * 3]
+    for at in range(0, len(left), PAIRS):
+        a, b = member[left[at : at + PAIRS]], member[right[at : at + PAIRS]]
+        same = (a[:, :, None] == b[:, None, :]) & (a >= 0)[:, :, None]
+        mine = same.any(axis=2)
+        out.append((np.where(mine, a, np.iinfo(np.int64).max).min(axis=1), mine @ bits, same.any(axis=1) @ bits))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def digests(ids: np.ndarray, node: np.ndarray, mask: np.ndarray, other: np.ndarray) -> pd.DataFrame:
+    """(u, mask, digest): per node and set of shared shards, a digest of the nodes it was found to link with."""
+    key, at = np.unique(np.stack([node, mask], axis=1), axis=0, return_inverse=True)
+    mixed = (ids[other].astype(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    total = np.zeros(len(key), np.uint64)
+    np.bitwise_xor.at(total, at.ravel(), mixed)
+    return pd.DataFrame({"u": ids[key[:, 0]], "mask": key[:, 1], "digest": total.view(np.int64)})
+
+
+def searched(pdf: pd.DataFrame, threshold: float) -> tuple[np.ndarray, ...]:
+    """(nodes, copies, left, right, first shared shard, shared shards as bits of either end) of the pairs that the graph
+    of one block gives to the rows that ask."""
+    pdf = pdf.sort_values("node").reset_index(drop=True)
+    ids, copies, x = pdf["node"].to_numpy(), pdf["copies"].to_numpy(), unit(pdf["vec"])
+    of = np.flatnonzero(pdf["graph"].to_numpy(dtype=bool))
+    asks = np.flatnonzero(pdf["asks"].to_numpy(dtype=bool))
+    nothing = np.empty(0, np.int64)
+    if not len(of) or not len(asks):
+        return (ids, copies, *(nothing,) * 5)
+    y, names = x[of], ids[of]
+    lists = []
+    for near in pdf["near"].iloc[of]:
+        near = np.asarray(near, dtype=np.int64)
+        at = np.minimum(np.searchsorted(names, near), len(names) - 1)
+        lists.append(at[names[at] == near])
+    lists = both_ways(lists)
+    start = np.array([medoid(y)])
+    found = [nothing]
+    for i in asks:
+        hit = of[in_range(x[i], y, lists, start, threshold)]
+        hit = hit[hit != i]
+        found.append(np.minimum(i, hit) * len(ids) + np.maximum(i, hit))
+    pairs = np.unique(np.concatenate(found))  # found from either end
+    left, right = pairs // len(ids), pairs % len(ids)
+    member = np.full((len(ids), max(map(len, pdf["shards"]))), -1)
+    for i, s in enumerate(pdf["shards"]):
+        member[i, : len(s)] = s
+    return (ids, copies, left, right, *shared_shards(member, left, right))
+
+
 def link_rows(nodes: DataFrame, threshold: float, nearest: int) -> DataFrame:
     """Verified links as (u, v, links, near): node, local root, copies and number of the nodes it links with."""
     placed = cut_lineage(assign(nodes, nearest), "graph-shards")
@@ -261,52 +321,48 @@ def link_rows(nodes: DataFrame, threshold: float, nearest: int) -> DataFrame:
     lists = placed.select("family", "shard", "block", "node", "vec").groupBy("family", "shard", "block").applyInPandas(build, "node long, near array<long>")
     united = cut_lineage(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph-lists")
     base = placed.join(united, "node")
-    # queries of one block meet the graph of another: one task per pair of blocks
-    asks = base.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
-    asks = asks.select("family", "shard", F.col("block").alias("a"), F.col("other").alias("b"), F.lit(True).alias("asks"), "node", "copies", "vec", "shards", "near")
-    graph = base.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block")))).where("other < block")
-    graph = graph.select("family", "shard", F.col("other").alias("a"), F.col("block").alias("b"), F.lit(False).alias("asks"), "node", "copies", "vec", "shards", "near")
+
+    def tasks(base: DataFrame) -> DataFrame:
+        """One group per pair of blocks: the marked nodes of one block ask, the other block is the graph."""
+        one = base.withColumn("b", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).withColumn("a", F.col("block"))
+        one = one.withColumns({"asks": F.col("marked"), "graph": F.col("a") == F.col("b")}).where("asks OR graph")
+        two = base.withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block")))).where("a < block").withColumn("b", F.col("block"))
+        two = two.withColumns({"asks": F.lit(False), "graph": F.lit(True)})
+        columns = ["family", "shard", "a", "b", "asks", "graph", "marked", "node", "copies", "vec", "shards", "near"]
+        return one.select(*columns).union(two.select(*columns)).groupBy("family", "shard", "a", "b")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node").reset_index(drop=True)
-        shard = int(pdf["shard"].iat[0])
-        ids, copies, x = pdf["node"].to_numpy(), pdf["copies"].to_numpy(), unit(pdf["vec"])
-        asks = pdf["asks"].to_numpy(dtype=bool)
-        same = bool(asks.all())
-        of = np.arange(len(ids)) if same else np.flatnonzero(~asks)
-        empty = pd.DataFrame({"u": ids[:0], "v": ids[:0], "links": copies[:0], "near": copies[:0]})
-        if not len(of) or not asks.any():
-            return empty
-        y, names = x[of], ids[of]
-        lists = []
-        for near in pdf["near"].iloc[of]:
-            near = np.asarray(near, dtype=np.int64)
-            at = np.minimum(np.searchsorted(names, near), len(names) - 1)
-            lists.append(at[names[at] == near])
-        lists = both_ways(lists)
-        centre = medoid(y)
-        first, width = [], max(map(len, pdf["shards"]))
-        member = np.full((len(ids), width), -1)
-        for i, s in enumerate(pdf["shards"]):
-            member[i, : len(s)] = s
-        direct = np.zeros((len(ids), len(of)), dtype=bool)
-        direct[asks] = x[asks] @ y.T >= threshold
-        for i in np.flatnonzero(asks):
-            # the medoid, and in its own block the node's own place
-            hit = of[in_range(x[i], y, lists, np.unique([centre, i]) if same else np.array([centre]), threshold)]
-            met = np.zeros(len(ids), dtype=bool)
-            met[hit] = True
-            hit = np.union1d(hit, of[direct[i]])
-            hit = hit[hit != i]
-            if len(hit):  # a pair counts where both first meet
-                shared = (member[hit][:, :, None] == member[i][None, None, :]) & (member[hit][:, :, None] >= 0)
-                low = np.where(shared.any(axis=2), member[hit], np.iinfo(np.int64).max).min(axis=1)
-                hit = hit[(low == shard) & (met[hit] | (shared.any(axis=2).sum(axis=1) > 1))]
-                first.append(np.minimum(i, hit) * len(ids) + np.maximum(i, hit))
-        pairs = np.unique(np.concatenate(first)) if first else np.empty(0, np.int64)  # found from either end
-        return summed(ids, copies, pairs // len(ids), pairs % len(ids))
-
-    return asks.union(graph).groupBy("family", "shard", "a", "b").applyInPandas(search, LINKS)
+        ids, copies, left, right, low, mask, mirror = searched(pdf, threshold)
+        out = summed(ids, copies, left, right, low == int(pdf["shard"].iat[0]))
+        several = np.flatnonzero(mask & (mask - 1))
+        left, right = left[several], right[several]
+        met = digests(ids, np.append(left, right), np.append(mask[several], mirror[several]), np.append(right, left))
+        out = pd.concat([out.assign(mask=0, digest=0), met.assign(v=met["u"], links=0, near=0)], ignore_index=True)
+        return out.assign(shard=int(pdf["shard"].iat[0]))
+
+    found = cut_lineage(tasks(base.withColumn("marked", F.lit(True))).applyInPandas(search, f"{LINKS}, mask long, digest long, shard int"), "graph-found")
+    links = found.where("mask = 0").select("u", "v", "links", "near")
+    met = found.where("mask <> 0").groupBy("u", "mask", "shard").agg(F.bit_xor("digest").alias("digest"))
+    met = met.groupBy("u", "mask").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+    disputed = cut_lineage(met.where("n < bit_count(mask) OR low <> high").select(F.col("u").alias("node")).distinct(), "graph-disputed")
+    if disputed.isEmpty():
+        return links
+
+    def again(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, copies, left, right, low, mask, _ = searched(pdf, threshold)
+        asked = np.isin(ids, pdf["node"].to_numpy()[pdf["marked"].to_numpy(dtype=bool)])
+        at = np.flatnonzero((mask & (mask - 1) != 0) & asked[left] & asked[right])
+        left, right = left[at], right[at]
+        back = ids[left] > ids[right]
+        left, right = np.where(back, right, left), np.where(back, left, right)
+        return pd.DataFrame({"u": ids[left], "v": ids[right], "mine": copies[left], "other": copies[right], "first": low[at] == int(pdf["shard"].iat[0])})
+
+    marked = base.join(disputed.withColumn("marked", F.lit(True)), "node", "left").withColumn("marked", F.coalesce("marked", F.lit(False)))
+    named = tasks(marked).applyInPandas(again, "u long, v long, mine long, other long, first boolean")
+    missed = named.groupBy("u", "v").agg(F.first("mine").alias("mine"), F.first("other").alias("other"), F.max("first").alias("first")).where("NOT first")
+    ends = F.explode(F.array(F.struct("u", F.col("other").alias("links")), F.struct(F.col("v").alias("u"), F.col("mine").alias("links"))))
+    more = missed.select(ends.alias("e")).select("e.u", F.col("e.u").alias("v"), "e.links", F.lit(1).cast("long").alias("near"))
+    return links.union(more)
 
 
 def all_links(nodes: DataFrame, threshold: float) -> DataFrame:

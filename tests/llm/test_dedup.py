@@ -243,14 +243,36 @@ def test_embedding_pairs_of_all_blocks(spark, monkeypatch):
     assert {r.vec_id: r.n_links for r in got} == dict(enumerate(want))
 
 
-def test_embedding_pair_of_two_shared_shards_needs_no_search(spark, monkeypatch):
-    monkeypatch.setattr(embedding_graph, "SHARD", 150)  # two shards, every node is in both
+def two_shards(spark, monkeypatch):
+    """Nodes of two shards that both hold every node, in two blocks each; their blocks' sizes; true links."""
+    monkeypatch.setattr(embedding_graph, "SHARD", 150)
     monkeypatch.setattr(embedding_graph, "SHARD_MAX", 200)
-    monkeypatch.setattr(embedding_graph, "in_range", lambda q, x, lists, start, threshold: np.empty(0, np.int64))
     rows, want = hot_and_pairs()
     nodes = spark.createDataFrame([(i, v, 1, 5) for i, v, _ in rows], "node long, vec array<float>, copies long, family long")
-    got = embedding_graph.link_rows(nodes, 0.93, 2).groupBy("u").sum("links").collect()
-    assert dict(map(tuple, got)) == {i: n for i, n in enumerate(want) if n}
+    sizes = nodes.selectExpr("explode(array(0, 1)) AS shard", "pmod(xxhash64(node, shard), 2L) AS block").groupBy("shard", "block").count().collect()
+    assert embedding_graph.assign(nodes, 2).groupBy("shard").count().collect() == [(0, 300), (1, 300)]
+    return nodes, {k: {r["count"] for r in sizes if r.shard == k} for k in (0, 1)}, {i: int(n) for i, n in enumerate(want) if n}
+
+
+def linked(nodes):
+    rows = embedding_graph.link_rows(nodes, 0.93, 2).groupBy("u").sum("links", "near").collect()
+    assert all(r[1] == r[2] for r in rows)
+    return {r.u: r[1] for r in rows}
+
+
+def test_embedding_links_come_from_the_search_alone(spark, monkeypatch):
+    nodes, _, _ = two_shards(spark, monkeypatch)
+    monkeypatch.setattr(embedding_graph, "in_range", lambda q, x, lists, start, threshold: np.empty(0, np.int64))
+    assert linked(nodes) == {}
+
+
+@pytest.mark.parametrize("blind", [0, 1])
+def test_embedding_links_that_one_shard_misses_still_count(spark, monkeypatch, blind):
+    nodes, sizes, want = two_shards(spark, monkeypatch)
+    assert not sizes[0] & sizes[1]
+    whole, lost = embedding_graph.in_range, sizes[blind]
+    monkeypatch.setattr(embedding_graph, "in_range", lambda q, x, *rest: np.empty(0, np.int64) if len(x) in lost else whole(q, x, *rest))
+    assert linked(nodes) == want
 
 
 def test_embedding_doubles_keep_their_range(spark):

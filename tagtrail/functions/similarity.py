@@ -1,4 +1,4 @@
-"""String similarity scorers (G16, V3): Indel ratio and token-sort ratio.
+"""String similarity scorers (G16, V3): Indel ratio, token-sort and token-set ratio.
 
 Per-pair work is a small Python helper applied in Arrow batches; the
 candidate pairs it sees come from the blocking join in ``operators.fuzzy``.
@@ -44,6 +44,27 @@ def _ratio_series(a: pd.Series, b: pd.Series) -> pd.Series:
 ratio_udf = F.pandas_udf(_ratio_series, IntegerType())
 
 
+def token_set_ratio(a: str, b: str) -> int:
+    """Best ratio among the common words, the common words followed by the
+    other words of ``a``, and by those of ``b``; ``a`` and ``b`` are strings of
+    mode 'set'. A string without words scores 0, with itself too."""
+    words_a, words_b = set(a.split()), set(b.split())
+    if not words_a or not words_b:
+        return 0
+    common = sorted(words_a & words_b)
+    shared = " ".join(common)
+    whole_a, whole_b = " ".join(common + sorted(words_a - words_b)), " ".join(common + sorted(words_b - words_a))
+    best = indel_ratio(whole_a, whole_b)
+    return max(best, indel_ratio(shared, whole_a), indel_ratio(shared, whole_b)) if common else best
+
+
+def _set_ratio_series(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([token_set_ratio(x or "", y or "") for x, y in zip(a, b)], dtype="int32")
+
+
+set_ratio_udf = F.pandas_udf(_set_ratio_series, IntegerType())
+
+
 def process(s: str | Column) -> Column:
     """Default processing: ASCII only, lower case, non-alphanumerics to
     spaces, trimmed."""
@@ -52,16 +73,26 @@ def process(s: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(ascii_only), r"[^a-z0-9]", " "))
 
 
+def _words(s: str | Column) -> Column:
+    return F.filter(F.split(process(s), " "), lambda t: t != "")
+
+
 def token_sort(s: str | Column) -> Column:
     """Processed string with its whitespace tokens sorted and re-joined."""
-    toks = F.filter(F.split(process(s), " "), lambda t: t != "")
-    return F.array_join(F.array_sort(toks), " ")
+    return F.array_join(F.array_sort(_words(s)), " ")
+
+
+def token_set(s: str | Column) -> Column:
+    """Processed string with its distinct whitespace tokens sorted and re-joined."""
+    return F.array_join(F.array_sort(F.array_distinct(_words(s))), " ")
 
 
 def prepared(s: str | Column, mode: str) -> Column:
-    """The string a mode compares: raw ('simple') or token-sorted ('sort')."""
+    """The string a mode compares: raw ('simple'), token-sorted ('sort') or its sorted distinct tokens ('set')."""
     if mode == "simple":
         return F.col(s) if isinstance(s, str) else s
     if mode == "sort":
         return token_sort(s)
-    raise NotImplementedError(f"mode {mode!r}: only 'simple' and 'sort' have a lossless blocking here")
+    if mode == "set":
+        return token_set(s)
+    raise ValueError(f"mode {mode!r}: 'simple', 'sort' or 'set'")

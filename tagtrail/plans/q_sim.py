@@ -56,6 +56,13 @@ def q_fuzzy_canonical_sort(spark: SparkSession, sf: str) -> DataFrame:
     return _product_tags(spark, sf)[1]
 
 
+@register("fuzzy_canonical_set")
+def q_fuzzy_canonical_set(spark: SparkSession, sf: str) -> DataFrame:
+    """Product names as sets of words: a name inside another, or nearly so, shares its leader."""
+    names = fx.read_table(spark, sf, "part").select(F.col("p_name").alias("tag"))
+    return fuzzy.canonical_tags(names, FUZZY_T, "set", seed=13)
+
+
 @register("tag_metrics_fuzzy")
 def q_tag_metrics_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
     """Tag lists with every tag replaced by its leader, then evaluated."""

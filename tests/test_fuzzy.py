@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from tagtrail.functions.similarity import indel_ratio, lcs_length
+from tagtrail.functions.similarity import indel_ratio, lcs_length, token_set_ratio
 from tagtrail.operators import fuzzy
 
 
@@ -111,3 +112,71 @@ def test_canonicalise_replaces_tags_by_leaders(spark):
     lists = spark.createDataFrame([(1, ["shoe red", "blue hat", "unseen", "Red Shoe"]), (2, ["blue hat"])], "pid long, tags array<string>")
     got = {r.pid: r.tags for r in fuzzy.canonicalise(lists, mapping).collect()}
     assert got == {1: [leader["shoe red"], "blue hat", "unseen", leader["Red Shoe"]], 2: ["blue hat"]}
+
+
+def _set_words(t):
+    return " ".join(sorted(set("".join(c if c.isalnum() else " " for c in t.lower()).split())))
+
+
+def test_token_set_ratio_by_hand():
+    assert token_set_ratio("hat red", "hat red wool") == 100  # one inside the other
+    assert token_set_ratio("red woolen", "red woollen") == 95  # 1 edit of 21 characters
+    assert token_set_ratio("abcdefghij x", "abcdefghij yyyyyyyy") == 91  # common words against the first: 2 of 22
+    assert token_set_ratio("ab", "cd") == 0 and token_set_ratio("", "") == 0 and token_set_ratio("a", "") == 0
+
+
+def _set_tags():
+    rnd = random.Random(17)
+    words = ["red", "wool", "woollen", "hat", "a", "b", "of", "candlestick", "extraordinary", "tea", "green"]
+    tags = {"Red!", "red", "", "!!", "red red hat", "hat, Red", "extraordinary abc", "extraordinary xyz", "extraordinary abcd"}
+    for _ in range(100):
+        k = rnd.choice([1, 2, 2, 3, 3, 4, 5, 6, 7, 9])
+        t = [rnd.choice(words) for _ in range(k)]
+        if rnd.random() < 0.6:
+            i = rnd.randrange(k)
+            at = rnd.randrange(len(t[i]) + 1)
+            t[i] = t[i][:at] + rnd.choice(["", "x", "s"]) + t[i][at + rnd.randint(0, 1):]
+        tags.add(" ".join(w for w in t if w))
+    return sorted(tags)
+
+
+@pytest.mark.parametrize("threshold", [75, 90])
+def test_set_mode_candidates_lose_no_pair(spark, threshold):
+    strings = sorted({_set_words(t) for t in _set_tags()} - {""})
+    pairs = fuzzy.similar_pairs(spark.createDataFrame([(s, s) for s in strings], "id string, s string"), threshold, "set")
+    got = {(r.a, r.b): r.score for r in pairs.collect()}
+    scores = {(a, b): token_set_ratio(a, b) for i, a in enumerate(strings) for b in strings[i + 1:]}
+    assert got == {p: s for p, s in scores.items() if s >= threshold}
+
+
+def test_set_mode_equals_sequential_greedy(spark):
+    tags = _set_tags()
+    df = spark.createDataFrame([(t,) for t in tags] + [("red",), (None,)], "tag string")
+    got = {r.tag: (r.leader, r.is_leader) for r in fuzzy.canonical_tags(df, 90, "set", 7).collect()}
+    order = [r.tag for r in df.where("tag is not null").distinct().orderBy(F.xxhash64("tag", F.lit(7)), "tag").collect()]
+    leaders, want = [], {}
+    for t in order:
+        near = [x for x in leaders if token_set_ratio(_set_words(t), _set_words(x)) >= 90]
+        leaders += [] if near else [t]
+        want[t] = (near[0], False) if near else (t, True)
+    assert got == want
+    assert got[""] == ("", True) and got["!!"] == ("!!", True)
+
+
+def test_set_mode_pairs_no_tags_by_a_hot_word_alone(spark):
+    """One word in every tag: candidates stay far below all pairs."""
+    rnd = random.Random(4)
+    tags = ["red " + "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(1500)]
+    cand = fuzzy.candidate_pairs(spark.createDataFrame([(t, _set_words(t)) for t in tags], "id string, s string"), 90, "set")
+    assert cand.count() < 0.02 * len(tags) ** 2 / 2
+
+
+def test_set_mode_lookup(spark):
+    mapping = fuzzy.canonical_tags(spark.createDataFrame([("wool hat",), ("green tea",), ("",)], "tag string"), 90, "set", 3)
+    queries = spark.createDataFrame([(q,) for q in ["hat", "Tea; green and hot", "", "wool hat", "nothing"]], "query string")
+    got = {r["query"]: r.leader for r in fuzzy.lookup(queries, mapping, 90, "set", 3, "?").collect()}
+    assert got == {"hat": "wool hat", "Tea; green and hot": "green tea", "": "?", "wool hat": "wool hat", "nothing": "?"}
+
+
+def test_set_mode_without_tags(spark):
+    assert fuzzy.canonical_tags(spark.createDataFrame([], "tag string"), 90, "set").count() == 0

@@ -7,11 +7,12 @@ and order de-duplication (W3) need data movement.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import urls as U
+from ..session import cut_lineage
 
 SESSION_KEYS = ["uuid_ind", "session_id"]
 LOAD_ORDER = ["timestamp", "seq"]
@@ -122,18 +123,21 @@ def _stage(no: int, name: str, kept: str, prev: str) -> F.Column:
 
 def clean_stage_report(raw: DataFrame, domain: str = C.FIXTURE_DOMAIN, families: dict[str, str] | None = None) -> DataFrame:
     """F8: rows kept / dropped per cleaning stage, percent of the ORIGINAL
-    count. One pass over the flags for the row-local stages, one for W2."""
+    count (null without rows). The log is read once: the job that writes what
+    W2 needs of the rows kept so far counts the row-local stages on the way
+    (it has no shuffle, so a task that runs again is not counted twice)."""
     flagged = with_url_path(normalise_loads(raw)).select(
-        not_self_referred().alias("f1"), in_domain(domain).alias("f2"), not_page_family(families).alias("f3")
+        *SESSION_KEYS, *LOAD_ORDER, "url_path",
+        not_self_referred().alias("f1"), in_domain(domain).alias("f2"), not_page_family(families).alias("f3"),
     )
-    counts = flagged.agg(
-        F.count(F.lit(1)).alias("n0"),
-        F.count_if("f1").alias("n1"),
-        F.count_if(F.col("f1") & F.col("f2")).alias("n2"),
-        F.count_if(F.col("f1") & F.col("f2") & F.col("f3")).alias("n3"),
-    )
-    n4 = clean_loads(raw, domain, families).agg(F.count(F.lit(1)).alias("n4"))
-    both = counts.crossJoin(n4)  # two one-row aggregates
+    f1, f2, f3 = F.col("f1"), F.col("f2"), F.col("f3")
+    seen = Observation("clean_stages")
+    flagged = flagged.observe(
+        seen, F.count(F.lit(1)).alias("n0"), F.count_if(f1).alias("n1"), F.count_if(f1 & f2).alias("n2"), F.count_if(f1 & f2 & f3).alias("n3"))
+    kept = cut_lineage(flagged.where(f1 & f2 & f3).drop("f1", "f2", "f3"), "clean_stages")
+    n = {k: seen.get.get(k) or 0 for k in ("n0", "n1", "n2", "n3")}
+    n4 = drop_consecutive_duplicates(kept).agg(F.count(F.lit(1)).alias("n4"))
+    both = n4.select("*", *(F.lit(v).cast("bigint").alias(k) for k, v in n.items()))
     stages = F.array(
         _stage(0, "raw", "n0", "n0"),
         _stage(1, "self_referral", "n1", "n0"),
@@ -147,7 +151,7 @@ def clean_stage_report(raw: DataFrame, domain: str = C.FIXTURE_DOMAIN, families:
         "stage",
         F.col("n_kept").cast("bigint").alias("n_kept"),
         (F.col("n_prev") - F.col("n_kept")).cast("bigint").alias("n_dropped"),
-        F.round((F.col("n_prev") - F.col("n_kept")) * 100.0 / F.col("n0"), 6).alias("pct_dropped"),
+        F.round(F.try_divide((F.col("n_prev") - F.col("n_kept")) * 100.0, F.col("n0")), 6).alias("pct_dropped"),
     )
 
 
@@ -222,5 +226,5 @@ def purchase_stage_report(raw: DataFrame) -> DataFrame:
         "stage",
         F.col("n_kept").cast("bigint").alias("n_kept"),
         (F.col("n_prev") - F.col("n_kept")).cast("bigint").alias("n_dropped"),
-        F.round((F.col("n_prev") - F.col("n_kept")) * 100.0 / F.col("n0"), 6).alias("pct_dropped"),
+        F.round(F.try_divide((F.col("n_prev") - F.col("n_kept")) * 100.0, F.col("n0")), 6).alias("pct_dropped"),
     )

@@ -245,10 +245,12 @@ def canonical_tags(tags: DataFrame, threshold: int = 90, mode: str = "simple", s
 
 
 def canonicalise(tag_lists: DataFrame, mapping: DataFrame, key: str = "pid", col: str = "tags") -> DataFrame:
-    """Replace every tag of a list column by its leader (order kept)."""
-    ex = tag_lists.select(key, F.posexplode(col).alias("_p", "tag"))
+    """Replace every tag of a list column by its leader (order kept; a tag
+    without one stays, an empty or null list is empty)."""
+    ex = tag_lists.select(key, F.posexplode_outer(col).alias("_p", "tag"))
     j = ex.join(mapping.select("tag", "leader"), "tag", "left")
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_p", F.coalesce("leader", "tag").alias("t")))).alias("_s"))
+    entry = F.when(F.col("_p").isNotNull(), F.struct("_p", F.coalesce("leader", "tag").alias("t")))
+    g = j.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_s"))
     return g.select(key, F.col("_s.t").alias(col))
 
 

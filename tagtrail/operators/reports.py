@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut_lineage
+from .fuzzy import canonical_tags, canonicalise
 
 
 def log_head(log: DataFrame, n: int, split_col: str = "split", order_col: str = "epoch") -> DataFrame:
@@ -36,10 +38,15 @@ def vs_reference(log: DataFrame, reference: DataFrame, metric: str, split_col: s
 
 
 def enhanced_tags(preds: DataFrame, max_len: int | None = 10, add_pid_tag: int = 0, exclude_inputs: bool = False,
-                  key: str = "pid", text_col: str = "raw_predict") -> DataFrame:
+                  key: str = "pid", text_col: str = "raw_predict", fuzzy: int | None = None, mode: str = "sort", seed: int = 0) -> DataFrame:
     """Tags parsed from generated text, first ``max_len`` kept, the pid
-    appended ``add_pid_tag`` times."""
+    appended ``add_pid_tag`` times. With a threshold ``fuzzy`` every tag is
+    first replaced by its leader among all parsed tags (G16, ``mode``)."""
     tags = T.parse_tags(text_col, exclude_inputs)
+    if fuzzy is not None:
+        parsed = cut_lineage(preds.select(key, tags.alias("tags")), "parsed_tags")
+        preds = canonicalise(parsed, canonical_tags(parsed.select(F.explode("tags").alias("tag")), fuzzy, mode, seed), key)
+        tags = F.col("tags")
     if max_len is not None:
         tags = F.slice(tags, 1, max_len)
     if add_pid_tag > 0:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagtrail import sinks
-from tagtrail.operators import orders as O, sft, tagquery, vectors
+from tagtrail.operators import clean, orders as O, reports, sft, tagquery, vectors
 from tagtrail.operators.quality import QualityError
 from tagtrail.plans import tag_eval
 
@@ -122,3 +122,26 @@ def test_untagged_items_keep_their_place_and_an_untagged_catalogue_is_an_error(s
     with pytest.raises(QualityError):
         tag_eval.restrict_tag_corpus(tags, catalogue)
     assert tag_eval.restrict_tag_corpus(tags, catalogue, check=False).count() == 1
+
+
+def test_stage_report_reads_the_log_once(spark, tmp_path):
+    """Counts come from the writing job; the report's plan does not read the log."""
+    site = "https://shop.example"
+    rows = [(i, 1, 1, i, f"{site}/{p}", r) for i, (p, r) in enumerate(
+        [("a-1.html", None), ("a-1.html", None), ("b-2.html", f"{site}/b-2.html"), ("a-1.html", "x"), ("c-3.html", "x")])]
+    raw = spark.createDataFrame(rows, "seq long, uuid_ind long, session_id long, timestamp long, url_now string, url_referrer string")
+    raw.selectExpr("*", "'shop' web_id", "'load' event_type").write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    report = clean.clean_stage_report(log, r"shop\.example", {"cart": "/cart"})
+    assert [(r.n_kept, r.n_dropped) for r in report.orderBy("stage_no").collect()] == [(5, 0), (4, 1), (4, 0), (4, 0), (2, 2)]
+    assert not any(str(tmp_path) in f for f in report.inputFiles())
+    none = clean.clean_stage_report(log.where("seq < 0"), r"shop\.example", {"cart": "/cart"}).collect()
+    assert [(r.n_kept, r.n_dropped, r.pct_dropped) for r in none] == [(0, 0, None)] * 5
+
+
+def test_enhanced_tags_by_their_leaders(spark):
+    preds = spark.createDataFrame([(1, "1. wool hat, tea"), (2, "1. Hat wool"), (3, "nothing")], "pid long, raw_predict string")
+    plain = {r.pid: r.tags for r in reports.enhanced_tags(preds).collect()}
+    got = {r.pid: r.tags for r in reports.enhanced_tags(preds, add_pid_tag=1, fuzzy=90).collect()}
+    assert {k: len(v) + 1 for k, v in plain.items()} == {k: len(v) for k, v in got.items()}
+    assert got[1][0] == got[2][0] and got[3][-1] == "3"

@@ -23,6 +23,8 @@ from ..session import cut_lineage
 
 BLOCKS = 16  # blocks of a long posting list
 BLOCK_POSTINGS = 256  # a list up to this length is one block
+HOT_POSTINGS = 1 << 16  # postings of a term that one join key may hold
+HOT_TERMS = 4096  # at most so many terms are salted: each has more than 1 / HOT_TERMS of all postings
 SLACK = 1e-6  # thresholds are lowered by it: sums in another order must not lose a tie
 SCORE_DIGITS = 9  # scores are rounded so float summation order cannot reorder ties
 
@@ -84,11 +86,30 @@ def build_index(corpus: DataFrame, doc_col: str = "doc_id", tokens_col: str = "t
     return BM25Index(postings, terms, docs, stats, k1, b, alpha, g)
 
 
-def score(index: BM25Index, query: DataFrame, key: str = "order_id", doc_alias: str = "doc_id") -> DataFrame:
+def salted_terms(index: BM25Index, hot: int = HOT_POSTINGS) -> DataFrame:
+    """Terms of more than ``hot`` postings and more than 1 / HOT_TERMS of all, so
+    at most HOT_TERMS rows, with the number of salts ``_n`` that brings each salt
+    down to the larger of the two."""
+    total = index.terms.agg(F.sum("df").alias("_all"))
+    d = index.terms.crossJoin(F.broadcast(total)).withColumn("_most", F.greatest(F.lit(hot), F.col("_all") / HOT_TERMS))
+    return d.where(F.col("df") > F.col("_most")).select(*index.group, "term", F.ceil(F.col("df") / F.col("_most")).cast("int").alias("_n"))
+
+
+def salted_postings(index: BM25Index, terms: DataFrame) -> DataFrame:
+    """Postings with the salt ``_salt`` of their document, 0 for a term that is not hot."""
+    d = index.postings.select(*index.group, "term", "doc_id", "w").join(F.broadcast(terms), index.group + ["term"], "left")
+    return d.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("_n", F.lit(1))).cast("int")).drop("_n")
+
+
+def score(index: BM25Index, query: DataFrame, key: str = "order_id", doc_alias: str = "doc_id", hot: int = HOT_POSTINGS) -> DataFrame:
     """(key, doc, score) for every document sharing a term with the query;
-    query terms count with multiplicity."""
+    query terms count with multiplicity. Postings of a hot term are spread over
+    salts and its query rows copied to each, whatever the planner's skew settings."""
     g = index.group
-    j = query.select(*g, key, "term", "qty").join(index.postings.select(*g, "term", "doc_id", "w"), g + ["term"])
+    terms = cut_lineage(salted_terms(index, hot), "bm25-hot")
+    asked = query.select(*g, key, "term", "qty").join(F.broadcast(terms), g + ["term"], "left")
+    asked = asked.select(*g, key, "term", "qty", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1)).alias("_salt"))
+    j = asked.join(salted_postings(index, terms), g + ["term", "_salt"])
     s = j.groupBy(*g, key, "doc_id").agg(F.round(F.sum(F.col("qty") * F.col("w")), SCORE_DIGITS).alias("score"))
     return s.withColumnRenamed("doc_id", doc_alias)
 

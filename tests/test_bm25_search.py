@@ -91,3 +91,19 @@ def test_saved_postings_are_read_by_term_without_a_shuffle(spark, tmp_path):
     assert _rows(bm25.top_n(bm25.score(back, terms, "query_id"), 5)) == want == _rows(bm25.search(back, terms, 5, block=8))
     bm25.save_index(bm25.build_index(corpus.limit(10), alpha=0.5), path)  # written over
     assert bm25.load_index(spark, path).docs.count() == 10
+
+
+def test_hot_term_is_spread_over_salts(spark):
+    """One term in 80 % of the documents: no join key holds more than ``hot`` postings by much, and scores stay equal."""
+    corpus = spark.range(5000).select(F.col("id").alias("doc_id"), F.expr(
+        "array(if(id % 5 < 4, 'hot', 'cold'), concat('t', id % 50), 'x')").alias("tokens"))
+    index = bm25.build_index(corpus, alpha=-100.0)
+    query = spark.createDataFrame([(1, "hot", 2), (1, "t7", 1), (2, "hot", 1), (3, "cold", 1), (3, "none", 1)], "order_id long, term string, qty long")
+    plain = index.postings.join(query, "term").groupBy("order_id", "doc_id").agg(F.round(F.sum(F.col("qty") * F.col("w")), 9).alias("score"))
+    got = bm25.score(index, query, hot=500)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    terms = bm25.salted_terms(index, 500)
+    assert {r.term: r._n for r in terms.collect()} == {"hot": 8, "cold": 2, "x": 10}
+    sizes = bm25.salted_postings(index, terms).groupBy("term", "_salt").count()
+    assert sizes.agg(F.max("count")).first()[0] < 1.25 * 500
+    assert bm25.salted_terms(index).count() == 0  # nothing is hot at the default

@@ -22,9 +22,11 @@ pigeonhole filter of PassJoin):
     similar pair; segments are about 1/f characters long, so the key is
     selective;
   * d has the parity of |a|+|b|, so tau is lowered by one where it has not;
-  * tau = 1: s is r without one character; tau = 2 and equal lengths: both
-    leave the same string without one character. These join on the whole
-    string and its deletion variants instead of short segments.
+  * small tau: two strings within tau leave one and the same string when s
+    loses (tau - |r| + |s|) / 2 characters and r loses (tau + |r| - |s|) / 2.
+    Where neither loses more than one, or two or three in strings of bounded
+    length (``DELETIONS``), they join on these deletion variants instead of
+    short segments, whose candidates grow with the square of the strings.
 Tags that share one prepared string (``Red``, ``red``, ``RED!`` in mode
 ``sort``) score 100 with one another and alike with all others, so each
 distinct prepared string is one node: no pairs of equal strings are made, and
@@ -63,6 +65,7 @@ from .indexing import dense_index
 EPS = 1e-9
 SUBSET_WORDS = 5  # tags of mode 'set' of up to so many words are cut into every common part and rest
 PIECE = 3  # characters of a piece of a longer tag
+DELETIONS = {2: 24, 3: 20}  # characters lost: longest string that is joined on its variants (276 and 1140 of them)
 
 
 def _tau(f: float) -> F.Column:
@@ -72,14 +75,29 @@ def _tau(f: float) -> F.Column:
     return tau - F.pmod(total - tau, F.lit(2))
 
 
-def _without_one(c: str, length: str) -> F.Column:
-    """Distinct strings that ``c`` leaves without one character."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.col(length)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.col(length)))))
+def _without_one(c: F.Column) -> F.Column:
+    """Distinct strings that ``c``, not empty, leaves without one character."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c)))))
+
+
+def _without(c: str, lost: F.Column) -> F.Column:
+    """Distinct strings that ``c`` leaves without ``lost`` (0 to 3) characters."""
+    one = _without_one(F.col(c))
+    two = F.array_distinct(F.flatten(F.transform(one, _without_one)))
+    three = F.array_distinct(F.flatten(F.transform(two, _without_one)))
+    return F.when(lost == 0, F.array(c)).when(lost == 1, one).when(lost == 2, two).when(lost == 3, three)
+
+
+def _lost() -> tuple[F.Column, F.Column]:
+    """Characters that the shorter and the longer string of a pair lose until both are the same."""
+    d = F.col("lr") - F.col("ls")
+    return ((F.col("tau") - d) / 2).cast("int"), ((F.col("tau") + d) / 2).cast("int")
 
 
 def _by_deletion() -> F.Column:
     """Lengths whose pairs are found by deletion variants; the others by segments."""
-    return (F.col("tau") == 1) | ((F.col("tau") == 2) & (F.col("ls") == F.col("lr")))
+    lost = _lost()[1]
+    return (lost <= 1) | F.coalesce(*(F.when(lost == k, F.col("lr") <= n) for k, n in DELETIONS.items()), F.lit(False))
 
 
 def _segments(df: DataFrame) -> DataFrame:
@@ -105,9 +123,9 @@ def _segment_keys(strings: DataFrame, f: float) -> tuple[DataFrame, DataFrame]:
         return F.struct("g", "ls", "lr", i.cast("int").alias("i"), text.alias("seg")).alias("key")
 
     whole, short = F.lit(-1), F.lit(-2)
-    idx_text = F.when(F.col("tau") == 1, F.array("s")).otherwise(_without_one("s", "ls"))
-    idx_del = idx.where(_by_deletion()).select("id", "g", "ls", "lr", F.explode(idx_text).alias("v")).select("id", key(whole, F.col("v")))
-    probe_del = probe.where(_by_deletion()).select("id", "g", "ls", "lr", F.explode(_without_one("s", "lr")).alias("v")).select("id", key(whole, F.col("v")))
+    idx_del, probe_del = (
+        d.where(_by_deletion()).select("id", "g", "ls", "lr", F.explode(_without("s", lost)).alias("v")).select("id", key(whole, F.col("v")))
+        for d, lost in zip((idx, probe), _lost()))
     # a string of no more than tau characters has no tau + 1 segments
     few = ~_by_deletion() & (F.col("ls") <= F.col("tau"))
     idx_few, probe_few = (d.where(few).select("id", key(short, F.lit(""))) for d in (idx, probe))

@@ -98,6 +98,19 @@ def test_short_words_by_deletion_variants(spark):
         assert got == {(a, b) for i, a in enumerate(tags) for b in tags[i + 1:] if indel_ratio(a, b) >= threshold}
 
 
+def test_common_segments_make_no_candidates(spark):
+    """Strings that share a segment, two (or one or three) characters apart in length: only those that leave one string are compared."""
+    rnd = random.Random(6)
+    words = {"ation" + "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (4, 6) for _ in range(400)}
+    words |= {"ationsth" + "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (6, 7, 9) for _ in range(300)}
+    words |= {"ationxyzab", "ationxyzabcd", "tionxyzab", "ationsthabcdef", "ationsthabcdefghi", "ationsthabcdegh"}
+    strings = spark.createDataFrame([(w, w) for w in sorted(words)], "id string, s string")
+    assert fuzzy.candidate_pairs(strings, 90).count() < len(words)
+    got = {(r.a, r.b) for r in fuzzy.similar_pairs(strings, 90).collect()}
+    tags = sorted(words)
+    assert got == {(a, b) for i, a in enumerate(tags) for b in tags[i + 1:] if abs(len(a) - len(b)) < 5 and indel_ratio(a, b) >= 90}
+
+
 def test_lookup_takes_the_first_similar_leader(spark):
     mapping = fuzzy.canonical_tags(spark.createDataFrame([(t,) for t in ["candlestick", "hat wool", "green tea"]], "tag string"), 90, "sort", 3)
     queries = spark.createDataFrame([(t,) for t in ["Wool hat", "candlesticks", "green tea", "nothing"]] + [(None,)], "query string")

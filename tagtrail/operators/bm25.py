@@ -39,6 +39,7 @@ class BM25Index:
     b: float
     alpha: float
     group: list[str]
+    buckets: int | None = None  # the postings come hash partitioned by term into so many
 
 
 def _stats_join(df: DataFrame, stats: DataFrame, g: list[str]) -> DataFrame:
@@ -47,35 +48,58 @@ def _stats_join(df: DataFrame, stats: DataFrame, g: list[str]) -> DataFrame:
     return df.crossJoin(F.broadcast(stats)) if not g else df.join(F.broadcast(stats), g)
 
 
+def _term_runs(corpus: DataFrame, g: list[str], doc_col: str, tokens_col: str) -> DataFrame:
+    """(*g, doc_id, dl, term, tf): the distinct terms of every row of ``corpus`` with their counts, and one row without
+    a term. Counted inside the row, as runs of its sorted tokens, so no token is shuffled."""
+    rows = corpus.select(*g, F.col(doc_col).alias("doc_id"), F.size(tokens_col).alias("dl"), F.coalesce(F.array_sort(F.filter(tokens_col, lambda t: t.isNotNull())), F.array()).alias("_s"))
+    rows = rows.select("*", F.expr("filter(sequence(1, size(_s) + 1), i -> i <= size(_s) AND (i = 1 OR get(_s, i - 1) <> get(_s, i - 2)))").alias("_at"))
+    runs = F.expr("transform(_at, (p, j) -> named_struct('term', get(_s, p - 1), 'tf', cast(coalesce(get(_at, j + 1), size(_s) + 1) - p as bigint)))")
+    length = F.expr("array(named_struct('term', cast(null as string), 'tf', cast(null as bigint)))")
+    return rows.select(*g, "doc_id", "dl", F.explode(F.concat(runs, length)).alias("_t")).select(*g, "doc_id", "dl", "_t.term", "_t.tf")
+
+
 def build_index(corpus: DataFrame, doc_col: str = "doc_id", tokens_col: str = "tokens",
                 k1: float = C.BM25_K1, b: float = C.BM25_B, alpha: float = C.BM25_ALPHA,
-                group: list[str] | None = None, only: DataFrame | None = None) -> BM25Index:
+                group: list[str] | None = None, only: DataFrame | None = None, buckets: int | None = None) -> BM25Index:
     """R1 + R2 + R3. ``group`` builds one independent index per group value
     (e.g. per configuration of an evaluation grid) in the same job. ``only``
     (term) keeps the postings of a query's terms: weights are those of the whole
     index, the other terms are dropped before anything is counted or shuffled
-    (``n_terms`` and ``avg_idf`` then speak of these terms alone)."""
+    (``n_terms`` and ``avg_idf`` then speak of these terms alone).
+
+    Terms are counted inside each row of the corpus; rows that share a doc_id
+    (and only they) are added up by a shuffle. The postings are shuffled once,
+    by term, after the few terms below the cutoff are dropped; with ``buckets``
+    into so many partitions, which ``save_index`` writes as they are."""
     g = list(group or [])
-    # one pass over the texts: a row per token, and one without a term per document that carries its length
-    tokens = F.concat(F.coalesce(F.col(tokens_col), F.array()), F.array(F.lit(None).cast("string")))
-    spread = corpus.select(*g, F.col(doc_col).alias("doc_id"), F.size(tokens_col).alias("dl"), F.explode(tokens).alias("term"))
+    spread = _term_runs(corpus, g, doc_col, tokens_col)
     if only is not None:
-        spread = spread.join(only.select("term", F.lit(True).alias("_in")).distinct(), "term", "left").where("_in OR term IS NULL")
-    counts = spread.groupBy(*g, "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.any_value("dl").alias("dl"))
-    counts = cut_lineage(counts, "bm25-counts")
-    tf = counts.where("term IS NOT NULL").select(*g, "term", "doc_id", "tf")
-    docs = counts.where("term IS NULL").select(*g, "doc_id", "dl")
+        spread = spread.join(only.select("term", F.lit(True).alias("_in")).distinct(), "term", "left").where("_in OR term IS NULL").select(*g, "doc_id", "dl", "term", "tf")
+    counts = cut_lineage(spread, "bm25-counts")
+    lengths = counts.where("term IS NULL").groupBy(*g, "doc_id").agg(F.max("dl").alias("dl"), F.count(F.lit(1)).alias("_rows"))
+    lengths = cut_lineage(lengths, "bm25-docs")
+    tf, docs = counts.where("term IS NOT NULL"), lengths.drop("_rows")
+    repeated = lengths.where("_rows > 1")
+    if not repeated.isEmpty():
+        # a struct is equal to itself with a null in it, too
+        ids = cut_lineage(repeated.select(F.struct(*g, "doc_id").alias("_id"), "dl"), "bm25-repeated")
+        tf = tf.withColumn("_id", F.struct(*g, "doc_id"))
+        added = tf.drop("dl").join(ids, "_id").groupBy(*g, "term", "doc_id").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
+        tf = tf.join(ids, "_id", "left_anti").drop("_id").unionByName(added)
     corpus_stats = docs.groupBy(*g).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     df = tf.groupBy(*g, "term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    terms = (
-        _stats_join(df, corpus_stats, g)
-        .select(*g, "term", "df", idf.alias("idf"))
-        .where(F.col("idf") > F.lit(alpha))
-    )
-    kept = _stats_join(tf.join(terms, g + ["term"]).join(docs, g + ["doc_id"]), corpus_stats.select(*g, "avgdl"), g)
+    vocabulary = cut_lineage(_stats_join(df, corpus_stats, g).select(*g, "term", "df", idf.alias("idf")), "bm25-vocabulary")
+    kept = F.col("idf") > F.lit(alpha)
+    terms = vocabulary.where(kept)
+    # each is in a fixed share of the documents, so they are few: written, the planner sees how few
+    frequent = cut_lineage(vocabulary.where(~F.coalesce(kept, F.lit(False))).select(*g, "term"), "bm25-frequent")
+    rows = tf.where("doc_id IS NOT NULL").join(frequent, g + ["term"], "left_anti")
+    if buckets:
+        rows = rows.repartition(buckets, "term")
+    rows = _stats_join(rows.join(terms, g + ["term"]), corpus_stats.select(*g, "avgdl"), g)
     w = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    postings = kept.select(*g, "term", "doc_id", "tf", w.alias("w"))
+    postings = rows.select(*g, "term", "doc_id", "tf", w.alias("w"))
     term_stats = terms.groupBy(*g).agg(F.count(F.lit(1)).alias("n_terms"), F.avg("idf").alias("avg_idf"))
     stats = (corpus_stats.crossJoin(term_stats) if not g else corpus_stats.join(term_stats, g, "left")).select(
         *g, "n_docs", "avgdl", F.coalesce("n_terms", F.lit(0)).alias("n_terms"), "avg_idf",
@@ -83,15 +107,18 @@ def build_index(corpus: DataFrame, doc_col: str = "doc_id", tokens_col: str = "t
         # by zero when no term survives); here: NULL-safe flag
         F.coalesce(F.col("avg_idf") < 0, F.lit(False)).alias("idf_warning"),
     )
-    return BM25Index(postings, terms, docs, stats, k1, b, alpha, g)
+    return BM25Index(postings, terms, docs, stats, k1, b, alpha, g, buckets)
 
 
 def salted_terms(index: BM25Index, hot: int = HOT_POSTINGS) -> DataFrame:
     """Terms of more than ``hot`` postings and more than 1 / HOT_TERMS of all, so
     at most HOT_TERMS rows, with the number of salts ``_n`` that brings each salt
     down to the larger of the two."""
-    total = index.terms.agg(F.sum("df").alias("_all"))
-    d = index.terms.crossJoin(F.broadcast(total)).withColumn("_most", F.greatest(F.lit(hot), F.col("_all") / HOT_TERMS))
+    terms = index.terms
+    if terms is None:  # postings alone
+        terms = index.postings.groupBy(*index.group, "term").agg(F.count(F.lit(1)).alias("df"))
+    total = terms.agg(F.sum("df").alias("_all"))
+    d = terms.crossJoin(F.broadcast(total)).withColumn("_most", F.greatest(F.lit(hot), F.col("_all") / HOT_TERMS))
     return d.where(F.col("df") > F.col("_most")).select(*index.group, "term", F.ceil(F.col("df") / F.col("_most")).cast("int").alias("_n"))
 
 
@@ -169,9 +196,9 @@ def save_index(index: BM25Index, path: str, buckets: int | None = None) -> None:
     """Persist the four tables and the parameters as Parquet; the postings in buckets by term, sorted, so that
     reading them back by term needs no shuffle."""
     spark = index.postings.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or index.buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     _forget(spark, path)
-    dealt = index.postings.repartition(buckets, "term")
+    dealt = index.postings if buckets == index.buckets else index.postings.repartition(buckets, "term")
     dealt.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").option("path", path + "/postings").saveAsTable(_bucket_name(path))
     index.terms.write.mode("overwrite").parquet(path + "/terms")
     index.docs.write.mode("overwrite").parquet(path + "/docs")

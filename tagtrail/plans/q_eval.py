@@ -137,8 +137,12 @@ def q_query_custom_fn(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ----------------------------------------------------------------- BM25 ----
-def _doc_index(spark, sf):
-    return bm25.build_index(fx.tag_docs(spark, sf), "doc_id", "tokens", alpha=DOC_ALPHA)
+def _doc_index(spark, sf, buckets=None):
+    return bm25.build_index(fx.tag_docs(spark, sf), "doc_id", "tokens", alpha=DOC_ALPHA, buckets=buckets)
+
+
+def _save_doc_index(spark, sf, path):
+    bm25.save_index(_doc_index(spark, sf, int(spark.conf.get("spark.sql.shuffle.partitions"))), path)
 
 
 @register("bm25_postings")
@@ -165,7 +169,7 @@ def q_bm25_score(spark: SparkSession, sf: str) -> DataFrame:
 @register("bm25_index_roundtrip")
 def q_bm25_index_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "bm25")
-    bm25.save_index(_doc_index(spark, sf), path)
+    _save_doc_index(spark, sf, path)
     back = bm25.load_index(spark, path)
     return _round(back.terms, ["idf"])
 
@@ -174,7 +178,7 @@ def q_bm25_index_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 def q_bm25_index_reload(spark: SparkSession, sf: str) -> DataFrame:
     """All four tables and the parameters read back, summed up in one row."""
     path = scratch_path(spark, "bm25")
-    bm25.save_index(_doc_index(spark, sf), path)
+    _save_doc_index(spark, sf, path)
     i = bm25.load_index(spark, path)
     p = i.postings.agg(F.count(F.lit(1)).alias("n_postings"), F.round(F.sum("w"), 3).alias("sum_w"))
     t = i.terms.agg(F.sum("df").alias("sum_df"))
@@ -187,7 +191,7 @@ def q_bm25_index_reload(spark: SparkSession, sf: str) -> DataFrame:
 def q_bm25_reloaded_top_n(spark: SparkSession, sf: str) -> DataFrame:
     """R5 + T2: the search of ``bm25_top_n`` on an index that was saved and read back."""
     path = scratch_path(spark, "bm25")
-    bm25.save_index(_doc_index(spark, sf), path)
+    _save_doc_index(spark, sf, path)
     return _passage_top_n(spark, sf, bm25.load_index(spark, path))
 
 

@@ -107,3 +107,25 @@ def test_hot_term_is_spread_over_salts(spark):
     sizes = bm25.salted_postings(index, terms).groupBy("term", "_salt").count()
     assert sizes.agg(F.max("count")).first()[0] < 1.25 * 500
     assert bm25.salted_terms(index).count() == 0  # nothing is hot at the default
+
+
+def test_index_of_repeated_and_null_documents(spark):
+    """Rows of one doc_id are one document, of null doc_ids one that is counted and has no postings."""
+    rows = [(1, ["a", "b", "a", None]), (1, ["a", "b", "a", None]), (2, ["b"]), (3, []), (4, None), (None, ["a"]), (None, ["a"])] + [(i, [f"w{i}", "b"]) for i in range(10, 30)]
+    idx = bm25.build_index(spark.createDataFrame(rows, "doc_id long, tokens array<string>"), alpha=-100.0)
+    assert {(r.term, r.doc_id): r.tf for r in idx.postings.collect()} == {("a", 1): 4, ("b", 1): 2, ("b", 2): 1} | {(t, i): 1 for i in range(10, 30) for t in (f"w{i}", "b")}
+    assert {r.term: r.df for r in idx.terms.collect() if r.term in "ab"} == {"a": 2, "b": 22}
+    assert idx.docs.count() == 25 and idx.stats.first().n_docs == 25
+
+
+def test_postings_are_shuffled_once(spark, tmp_path):
+    """Counting shuffles nothing of a posting; saving writes the partitions that the join left."""
+    corpus, _ = _corpus(spark, 5)
+    idx = bm25.build_index(corpus, alpha=0.5, buckets=6)
+    plan = idx.postings._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "HashAggregate(keys=[term" not in plan
+    bm25.save_index(idx, str(tmp_path / "index"))
+    back = bm25.load_index(spark, str(tmp_path / "index"))
+    files = back.postings.select(F.input_file_name().alias("f"), F.expr("pmod(hash(term), 6)").alias("b")).distinct().collect()
+    assert len(files) == len({r.f for r in files}) == len({r.b for r in files}) == 6
+    assert back.postings.exceptAll(bm25.build_index(corpus, alpha=0.5).postings).count() == 0

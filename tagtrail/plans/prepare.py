@@ -22,10 +22,13 @@ class Prepared:
     purchases: DataFrame      # cleaned, de-duplicated, catalogue-restricted orders
     merged: DataFrame         # orders + loads array + loaded_pids + split
     catalogue: DataFrame      # (pid)
+    cleaned: DataFrame        # cleaned loads of every item
+    orders: DataFrame         # the orders of ``merged`` without their loads: n_loads and split only
 
 
 def clean_loads(spark: SparkSession, sf_dir: str, domain: str = C.FIXTURE_DOMAIN) -> DataFrame:
-    return clean.clean_loads(fx.loads_raw(spark, sf_dir), domain)
+    # W2 reads its input twice: the row-local stages are written once
+    return clean.drop_consecutive_duplicates(cut_lineage(clean.pre_dedup_loads(fx.loads_raw(spark, sf_dir), domain), "item_loads"))
 
 
 def clean_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,11 +49,13 @@ def build(spark: SparkSession, sf_dir: str, domain: str = C.FIXTURE_DOMAIN, cat:
           split: bool = True) -> Prepared:
     """The preparation plan, not materialised."""
     cat = fx.products(spark, sf_dir) if cat is None else cat
-    loads = O.restrict_loads_to_catalogue(clean_loads(spark, sf_dir, domain), cat)
-    loads = O.position_loads(loads)
+    cleaned = clean.clean_loads(fx.loads_raw(spark, sf_dir), domain)
+    loads = O.position_loads(O.restrict_loads_to_catalogue(cleaned, cat))
     purchases = O.restrict_products(clean_purchases(spark, sf_dir).select(*ORDER_COLS), cat)
-    merged = O.attach_preceding_loads(purchases, loads)
-    return Prepared(loads, purchases, O.time_split(merged) if split else merged, cat)
+    orders, merged = O.asof_loads(purchases, loads), O.attach_preceding_loads(purchases, loads)
+    if split:
+        orders, merged = O.time_split(orders), O.time_split(merged)
+    return Prepared(loads, purchases, merged, cat, cleaned, orders)
 
 
 def prepare(spark: SparkSession, sf_dir: str, domain: str = C.FIXTURE_DOMAIN, split: bool = True,
@@ -66,21 +71,24 @@ def prepare(spark: SparkSession, sf_dir: str, domain: str = C.FIXTURE_DOMAIN, sp
         key = (spark.sparkContext.applicationId, sf_dir, domain, input_version(spark, sf_dir))
         if key not in _PREPARED:
             cat = cut_lineage(fx.products(spark, sf_dir), "catalogue")
-            b = build(spark, sf_dir, domain, cat, split=False)
-            # written before the positions, which read the loads twice
-            kept = cut_lineage(O.restrict_loads_to_catalogue(clean_loads(spark, sf_dir, domain), cat), "cleaned_loads")
+            # whatever a later step reads twice is written before it
+            cleaned = cut_lineage(clean_loads(spark, sf_dir, domain), "cleaned_loads")
+            kept = cut_lineage(O.restrict_loads_to_catalogue(cleaned, cat), "catalogue_loads")
             loads = cut_lineage(O.position_loads(kept), "prepared_loads")
+            bought = cut_lineage(clean_purchases(spark, sf_dir).select(*ORDER_COLS), "cleaned_purchases")
+            purchases = cut_lineage(O.restrict_products(bought, cat), "prepared_purchases")
             # orders are written with the length of their prefix, sessions with
             # their loads; the prefixes are cut where they are read. The split
             # bounds are a one-row aggregate over the written orders
-            asked = cut_lineage(O.asof_loads(b.purchases, loads), "prepared_orders")
+            asked = cut_lineage(O.asof_loads(purchases, loads), "prepared_orders")
             sessions = cut_lineage(O.session_loads(loads, asked), "prepared_sessions")
-            merged = O.cut_prefixes(O.time_split(asked), sessions).select(*ORDER_COLS, "loads", "loaded_pids", "split")
-            _PREPARED[key] = Prepared(loads, b.purchases, merged, cat)
+            orders = O.time_split(asked)
+            merged = O.cut_prefixes(orders, sessions).select(*ORDER_COLS, "loads", "loaded_pids", "split")
+            _PREPARED[key] = Prepared(loads, purchases, merged, cat, cleaned, orders)
         p = _PREPARED[key]
     if split:
         return p
-    return Prepared(p.loads, p.purchases, p.merged.drop("split"), p.catalogue)
+    return Prepared(p.loads, p.purchases, p.merged.drop("split"), p.catalogue, p.cleaned, p.orders.drop("split"))
 
 
 def merged_orders(spark: SparkSession, sf_dir: str, split: bool = True) -> DataFrame:

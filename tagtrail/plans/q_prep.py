@@ -262,7 +262,7 @@ def q_purchased_not_viewed(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("orders_per_user")
 def q_orders_per_user(spark: SparkSession, sf: str) -> DataFrame:
-    return eda.orders_per_user(prepare(spark, sf).merged)
+    return eda.orders_per_user(prepare(spark, sf).orders)
 
 
 @register("order_id_uniqueness")
@@ -272,7 +272,8 @@ def q_order_id_uniqueness(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("unique_products")
 def q_unique_products(spark: SparkSession, sf: str) -> DataFrame:
-    return eda.unique_products(clean_loads(spark, sf), prepare(spark, sf).merged)
+    p = prepare(spark, sf)
+    return eda.unique_products(p.cleaned, p.orders)
 
 
 @register("unmatched_paths")

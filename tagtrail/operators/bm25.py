@@ -13,6 +13,7 @@ join, which also bounds the size of the hottest posting lists.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -128,16 +129,22 @@ def salted_postings(index: BM25Index, terms: DataFrame) -> DataFrame:
     return d.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("_n", F.lit(1))).cast("int")).drop("_n")
 
 
-def score(index: BM25Index, query: DataFrame, key: str = "order_id", doc_alias: str = "doc_id", hot: int = HOT_POSTINGS) -> DataFrame:
+def score(index: BM25Index, query: DataFrame, key: str = "order_id", doc_alias: str = "doc_id", hot: int = HOT_POSTINGS,
+          qty: Sequence[str] = ("qty",), into: Sequence[str] = ("score",)) -> DataFrame:
     """(key, doc, score) for every document sharing a term with the query;
     query terms count with multiplicity. Postings of a hot term are spread over
-    salts and its query rows copied to each, whatever the planner's skew settings."""
+    salts and its query rows copied to each, whatever the planner's skew settings.
+    Several columns ``qty`` of quantities are scored in one join, each ``into``
+    its column, null where that query shares no term with the document."""
     g = index.group
     terms = cut_lineage(salted_terms(index, hot), "bm25-hot")
-    asked = query.select(*g, key, "term", "qty").join(F.broadcast(terms), g + ["term"], "left")
-    asked = asked.select(*g, key, "term", "qty", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1)).alias("_salt"))
-    j = asked.join(salted_postings(index, terms), g + ["term", "_salt"])
-    s = j.groupBy(*g, key, "doc_id").agg(F.round(F.sum(F.col("qty") * F.col("w")), SCORE_DIGITS).alias("score"))
+    asked, postings, on = query.select(*g, key, "term", *qty), index.postings.select(*g, "term", "doc_id", "w"), [*g, "term"]
+    if not terms.isEmpty():
+        asked = asked.join(F.broadcast(terms), on, "left")
+        asked = asked.select(*g, key, "term", *qty, F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1)).alias("_salt"))
+        postings, on = salted_postings(index, terms), [*on, "_salt"]
+    j = asked.join(postings, on)
+    s = j.groupBy(*g, key, "doc_id").agg(*[F.round(F.sum(F.col(q) * F.col("w")), SCORE_DIGITS).alias(i) for q, i in zip(qty, into, strict=True)])
     return s.withColumnRenamed("doc_id", doc_alias)
 
 

@@ -45,10 +45,11 @@ def _idcg(m: Column) -> Column:
     )
 
 
-def rank_scores(scores: DataFrame, k_max: int, key: str = "order_id", tie: Sequence[str] = ("pid",)) -> DataFrame:
+def rank_scores(scores: DataFrame, k_max: int, key: str = "order_id", tie: Sequence[str] = ("pid",), configs: Sequence[str] = ()) -> DataFrame:
     """Rank of each scored product inside its order (score desc, then
-    tie-break columns), keeping rank <= k_max (planned as WindowGroupLimit)."""
-    w = Window.partitionBy(key).orderBy(F.col("score").desc(), *[F.col(t) for t in tie])
+    tie-break columns), keeping rank <= k_max (planned as WindowGroupLimit).
+    An order is ranked once for each value of the columns ``configs``."""
+    w = Window.partitionBy(*configs, key).orderBy(F.col("score").desc(), *[F.col(t) for t in tie])
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k_max)
 
 
@@ -60,13 +61,22 @@ def per_order_metrics_long(
     (key, pid, *group_cols). Orders without any ranked row count as misses."""
     ks = _ks(ks)
     group_cols = list(group_cols)
-    t = truth.groupBy(key).agg(
+    t = _truth_sets(truth, key, group_cols)
+    j = t.join(ranked.select(key, "pid", "rank"), key, "left")
+    per = j.groupBy(key).agg(*[F.any_value(g).alias(g) for g in group_cols], *_hit_sums(ks))
+    return per.select(key, *group_cols, "n_true", *_metric_columns(ks))
+
+
+def _truth_sets(truth: DataFrame, key: str, group_cols: Sequence[str]) -> DataFrame:
+    return truth.groupBy(key).agg(
         *[F.any_value(g).alias(g) for g in group_cols],
         F.collect_set("pid").alias("_truth"),
     )
-    j = t.join(ranked.select(key, "pid", "rank"), key, "left")
+
+
+def _hit_sums(ks: Sequence[int]) -> list[Column]:
     hit = F.col("pid").isNotNull() & F.array_contains(F.col("_truth"), F.col("pid"))
-    aggs = []
+    aggs = [F.any_value(F.size("_truth")).alias("n_true")]
     for k in ks:
         in_k = hit & (F.col("rank") <= k)
         aggs += [
@@ -74,9 +84,10 @@ def per_order_metrics_long(
             F.sum(F.when(in_k, 1.0 / F.col("rank")).otherwise(0.0)).alias(f"_rr{k}"),
             F.sum(F.when(in_k, 1.0 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias(f"_dcg{k}"),
         ]
-    per = j.groupBy(key).agg(
-        *[F.any_value(g).alias(g) for g in group_cols], F.any_value(F.size("_truth")).alias("n_true"), *aggs
-    )
+    return aggs
+
+
+def _metric_columns(ks: Sequence[int]) -> list[Column]:
     cols = []
     for k in ks:
         m = F.least(F.col("n_true"), F.lit(k))
@@ -85,7 +96,31 @@ def per_order_metrics_long(
             F.col(f"_rr{k}").alias(f"mrr@{k}"),
             (F.col(f"_dcg{k}") / _idcg(m)).alias(f"ndcg@{k}"),
         ]
-    return per.select(key, *group_cols, "n_true", *cols)
+    return cols
+
+
+def config_metrics(
+    scores: DataFrame, truth: DataFrame, configs: DataFrame, ks: int | Sequence[int] | None = None,
+    key: str = "order_id", group_cols: Sequence[str] = ("split",), digits: int = 6,
+) -> DataFrame:
+    """M4 for a grid: one row per configuration and group. ``scores`` has the
+    columns of ``configs`` (a small table) besides (key, pid, score); ``truth``
+    knows nothing of them, every order counts in every configuration.
+
+    Orders meet their truth by ``key`` alone and only hits go on, so where both
+    sides come partitioned by ``key`` no ranked row is shuffled. An order
+    without a hit adds zeros: it is in the group's count alone."""
+    ks = _ks(ks)
+    names, given, groups = metric_names(ks), configs.columns, list(group_cols)
+    t = _truth_sets(truth, key, groups)
+    ranked = rank_scores(scores, max(ks), key, configs=given)
+    hits = ranked.select(*given, key, "pid", "rank").join(t, key).where(F.array_contains("_truth", F.col("pid")))
+    per = hits.groupBy(*given, key).agg(*[F.any_value(g).alias(g) for g in groups], *_hit_sums(ks))
+    per = per.select(*given, *groups, F.lit(0).cast("bigint").alias("n_orders"), *_metric_columns(ks))
+    orders = t.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_orders")).crossJoin(F.broadcast(configs))
+    rows = per.unionByName(orders.select(*given, *groups, "n_orders", *[F.lit(0.0).alias(n) for n in names]))
+    sums = rows.groupBy(*given, *groups).agg(F.sum("n_orders").alias("n_orders"), *[F.sum(F.col(f"`{n}`")).alias(n) for n in names])
+    return sums.select(*given, *groups, "n_orders", *[F.round(F.col(f"`{n}`") / F.col("n_orders"), digits).alias(n) for n in names])
 
 
 def per_row_metrics_list(df: DataFrame, ranked_col: str, truth_col: str, ks: int | Sequence[int] | None = None) -> DataFrame:
@@ -123,13 +158,18 @@ def truth_from_products(orders: DataFrame, group_cols: Sequence[str] = ("split",
 def ranking_metrics(
     scores: DataFrame, truth: DataFrame, ks: int | Sequence[int] | None = None,
     key: str = "order_id", group_cols: Sequence[str] = ("split",), digits: int = 6,
-    fill: DataFrame | None = None, seed: int = 0,
+    fill: DataFrame | None = None, seed: int = 0, configs: DataFrame | None = None,
 ) -> DataFrame:
     """M4 end to end for the long form: rank, join truth, average per group.
 
     With a catalogue (pid) as ``fill``, products without a score rank behind
-    the scored ones in a random order of each evaluated order (R9)."""
+    the scored ones in a random order of each evaluated order (R9). With ``configs`` the
+    scores are those of a grid (see ``config_metrics``)."""
     ks = _ks(ks)
+    if configs is not None:
+        if fill is not None:
+            raise ValueError("a grid has no fill")
+        return config_metrics(scores, truth, configs, ks, key, group_cols, digits)
     if fill is not None:
         # read three times by the fill
         scores = hash_fill(cut_lineage(scores.select(key, "pid", "score"), "scores"), truth, fill, max(ks), seed, key)

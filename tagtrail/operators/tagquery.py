@@ -6,7 +6,7 @@ sequence is split across tasks by the partial aggregation."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +72,29 @@ def build_query(
     return q.select(*ks, "term", F.col("qty").cast("bigint").alias("qty"))
 
 
+def build_queries(
+    seqs: DataFrame, tags: DataFrame, query_fns: Sequence[str], key: str = "order_id", seq_col: str = "prefix",
+    bow: Callable[[Column], Column] | None = None, group: list[str] | None = None,
+) -> DataFrame:
+    """``build_query`` for several query functions on one pass over the sequences: one row (key, term) with a column
+    of quantities by the name of each function, null where its query lacks the term."""
+    ks = list(group or []) + [key]
+    cnt = F.col("cnt")
+    qty = {
+        "union": F.max(cnt),
+        "sum": F.sum(cnt),
+        "concat": F.sum(cnt),
+        "intersection": F.when(F.count(F.lit(1)) == F.any_value("n_pos"), F.min(cnt)),
+        "recency": F.sum(cnt * (F.col("pos") + 1)),
+        "last": F.sum(F.when(F.col("pos") == F.col("n_pos") - 1, cnt)),
+    }
+    unknown = [f for f in query_fns if f not in qty]
+    if unknown:
+        raise ValueError(f"unknown query_fn {unknown[0]!r}")
+    counts = _term_counts(seq_tags_long(seqs, tags, key, seq_col, group), ks, bow)
+    return counts.groupBy(*ks, "term").agg(*[qty[f].cast("bigint").alias(f) for f in query_fns])
+
+
 def custom_query(seqs: DataFrame, tags: DataFrame, fn: Callable[[Column], Column], key: str = "order_id", seq_col: str = "prefix") -> DataFrame:
     """H1: caller-supplied query builder ``ARRAY<ARRAY<STRING>> -> ARRAY<STRING>``
     as a Column function over the ordered list of tag lists."""

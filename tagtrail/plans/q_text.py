@@ -3,6 +3,8 @@ training-log reports, enhanced tags and the evaluation grid."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
@@ -168,6 +170,8 @@ def q_epoch_vs_reference_metric(spark: SparkSession, sf: str) -> DataFrame:
 GRID_MAX_LEN = (8, 9, 10)
 GRID_N_PID = (0, 1, 2, 3, 4, 5, 6)
 GRID_QUERY = ("sum", "union", "last")
+GRID_ROWS = 500_000  # scores (of all query functions) that a partition holds
+GRID_PARTITIONS = 20_000  # more partitions than this cost more than they save
 
 
 def grid_frame(spark: SparkSession) -> DataFrame:
@@ -179,22 +183,35 @@ def grid_frame(spark: SparkSession) -> DataFrame:
 def q_eval_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Every (query function x max tag length x pid-tag count x split)
     evaluated in one job. The cells are a small literal table; one index with
-    the cell as its group serves all query functions."""
+    the cell as its group serves all query functions.
+
+    The sequences are shuffled once, by order and before they are copied to the
+    cells, into partitions that hold about GRID_ROWS scores each: an order's
+    queries, scores, ranks and hits stay in its partition, and what leaves it
+    are the sums of its hits."""
     cells = F.broadcast(grid_frame(spark))
-    n = expand.next_item_last(prepare(spark, sf).merged)
+    order = F.concat_ws("#", F.lit("o"), F.col("order_id").cast("string")).alias("order")  # null ids are one order
+    n = expand.next_item_last(prepare(spark, sf).merged).select(order, "split", "prefix", "target")
+    n = cut_lineage(n, "grid_sequences")  # counted, queried and read as the truth
     preds = fx.predictions(spark, sf).join(fx.products(spark, sf), "pid", "left_semi")
     parsed = preds.select("pid", T.parse_tags("raw_predict").alias("_t"))
     tags = parsed.crossJoin(cells).select(
         "cell", "pid", F.concat(F.slice("_t", 1, F.col("max_len")), F.array_repeat(F.col("pid").cast("string"), F.col("n_pid"))).alias("tags"))
-    tags = cut_lineage(tags, "grid_tags")  # read by the index and by every query function
-    seqs = n.crossJoin(cells.select("cell"))
-    order = F.col("order_id").cast("string")
-    asked = None
-    for qf in GRID_QUERY:
-        q = tagquery.build_query(seqs, tags, qf, group=["cell"]).withColumn("order_id", F.concat_ws("#", F.lit(qf), order))
-        asked = q if asked is None else asked.unionByName(q)
+    tags = cut_lineage(tags, "grid_tags")  # read by the index and by the queries
+    n = n.repartition(grid_partitions(spark, n.count(), tags.count()), "order")
+    asked = tagquery.build_queries(n.crossJoin(cells.select("cell")), tags, GRID_QUERY, "order", group=["cell"])
     idx = bm25.build_index(tags, "pid", "tags", k1=0.75, alpha=1.0, group=["cell"])
-    scores = bm25.score(idx, asked, "order_id", doc_alias="pid").withColumn("order_id", F.concat_ws("#", "cell", "order_id"))
-    truth = seqs.select("cell", "split", order.alias("order_id"), F.col("target").alias("pid"), F.explode(F.array(*map(F.lit, GRID_QUERY))).alias("qf"))
-    truth = truth.select(F.concat_ws("#", "cell", "qf", "order_id").alias("order_id"), F.concat_ws("_", "qf", "cell").alias("config_id"), "split", "pid")
-    return M.ranking_metrics(scores, truth, (5, 10, 20), "order_id", ["config_id", "split"])
+    idx = replace(idx, postings=cut_lineage(idx.postings, "grid_postings"))  # written, the planner sees their bytes
+    wide = bm25.score(idx, asked, "order", doc_alias="pid", qty=GRID_QUERY, into=GRID_QUERY)
+    by_fn = F.explode(F.array(*[F.struct(F.lit(q).alias("qf"), F.col(q).alias("score")) for q in GRID_QUERY])).alias("s")
+    scores = wide.select("cell", "order", "pid", by_fn).select("cell", "s.qf", "order", "pid", "s.score").where("score IS NOT NULL")
+    truth = n.select("order", "split", F.col("target").alias("pid"))
+    configs = grid_frame(spark).select("cell", F.explode(F.array(*map(F.lit, GRID_QUERY))).alias("qf"))
+    out = M.ranking_metrics(scores, truth, (5, 10, 20), "order", ["split"], configs=configs)
+    return out.select(F.concat_ws("_", "qf", "cell").alias("config_id"), *out.columns[2:])
+
+
+def grid_partitions(spark: SparkSession, orders: int, documents: int) -> int:
+    """Partitions in which ``orders`` sequences meet ``documents`` (over all cells) about GRID_ROWS times each."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(least, -(-orders * documents // GRID_ROWS)), max(least, GRID_PARTITIONS))

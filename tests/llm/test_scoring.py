@@ -193,3 +193,45 @@ def test_a_result_column_that_exists_is_an_error(spark):
     for call in (lambda: language_id.identify(df, model), lambda: token_counts.count_tokens(df), lambda: quality_rank.rate(df, {"w": 0, "cut": 0, "scale": 1})):
         with pytest.raises(ValueError, match="into="):
             call()
+
+
+def test_quality_model_learns_from_every_labelled_document(spark, monkeypatch):
+    """Blocks hold every labelled document once, and each meets one of the other label; the weights are the optimum of the
+    loss over all pairs and the cut is the quantile of all strengths."""
+    import numpy as np
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdeXY19.") for _ in range(rng.randint(1, 7)))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(3, 30))) + (" ok." if i % 9 else " $|"), int(i % 9 > 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    monkeypatch.setattr(quality_rank, "BLOCK", 40)
+    monkeypatch.setattr(quality_rank, "LEAST", 8)  # 44 bad documents in ten blocks: copied to two
+    known = quality_rank.known_labels(df, "quality")
+    blocks = quality_rank.training_blocks(df.select("doc_id", "text"), known, {0: 45, 1: 355})
+    held = [quality_rank.unpack(r) for r in blocks.collect()]
+    assert len(held) == 10 and sum(int(f.sum()) for _, _, f in held) == 400 and sum(len(f) for _, _, f in held) == 355 + 2 * 45
+    assert all(0 < y.sum() < len(y) for _, y, _ in held)
+    own = np.vstack([x[f == 1] for x, _, f in held])
+    every = np.vstack([quality_rank.features(t) for _, t, _ in rows]).astype(float)
+    assert np.array_equal(own[np.lexsort(own.T)], every[np.lexsort(every.T)])
+    m = quality_rank.fit(df.select("doc_id", "text"), df)
+    spread = every.std(axis=0) + 1e-3
+    w, pairs, gradient = m["w"] * spread, 0, 0
+    for x, y, _ in held:
+        d = (x[y == 1][:, None] - x[y == 0][None]) / spread
+        pairs += d.shape[0] * d.shape[1]
+        gradient = gradient - (d / (1 + np.exp(d @ w))[:, :, None]).sum(axis=(0, 1))
+    assert np.abs(gradient / pairs + quality_rank.DECAY * w).max() < 1e-4
+    s = every @ m["w"]
+    assert (s >= m["cut"]).sum() == 355 and m["scale"] == pytest.approx(s.std(), rel=1e-6)
+
+
+def test_quality_model_of_texts_with_one_id_and_one_rare_label(spark):
+    rows = [(i, f"plain text number {i} of many.") for i in range(30)] + [(30, "$$ | $$")] * 3 + [(30, "another text"), (None, "x"), (31, None)]
+    labels = [(i, 1) for i in range(30)] + [(30, 0), (31, 0), (77, 0), (77, 0), (None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    a, b = (quality_rank.fit(df.repartition(n), known) for n in (1, 5))
+    assert (a["w"] == b["w"]).all() and a["cut"] == b["cut"] and a["scale"] == b["scale"] and a["w"].any()
+    blank = quality_rank.fit(df.where("doc_id < 30"), known)  # labels of both kinds, documents of one
+    assert not blank["w"].any()

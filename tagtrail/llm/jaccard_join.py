@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import connected_components, small_batches, small_side
+from .common import TEXT_BATCH_BYTES, connected_components, small_batches, small_side
 
 COUNT_BITS = 20  # the table of hashed shingle counts has 2**COUNT_BITS cells, whatever the input
 COUNT_CHUNKS = 64
@@ -46,8 +46,9 @@ BLOCK_SHINGLES = 200_000
 LEAF, FANOUT, BITS = 32, 8, 8192
 STRETCH = 1 << 16  # bytes hashed at once
 PAIR_CELLS = 1 << 22  # bitmap cells multiplied at once
+PAIR_ROWS = 512  # bitmaps multiplied at once, by as many
 GROUP_MAX = 1000
-PACK_ROWS = 20_000
+PACK_ROWS = 5_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 BYTE_CODE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -132,7 +133,7 @@ def bounded_pairs(sizes: np.ndarray, bits: list[bytes], share: Fraction):
 
     for w in np.unique(widths):
         a = np.flatnonzero(widths == w)
-        step = max(1, PAIR_CELLS // (8 * int(w)))
+        step = max(1, min(PAIR_ROWS, PAIR_CELLS // (8 * int(w))))
         for wide in np.unique(widths[(widths >= w) & (p * widths < 2 * q * w)]):  # sizes differ by q / p at most, widths by less than twice that
             b, same = np.flatnonzero(widths == wide), wide == w
             for low in range(0, len(a), step):
@@ -151,7 +152,7 @@ def bounded_pairs(sizes: np.ndarray, bits: list[bytes], share: Fraction):
 
 def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
     """Counts of all documents' shingles in 2**COUNT_BITS hashed cells (a fixed size)."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, TEXT_BATCH_BYTES)
     cells, width = 1 << COUNT_BITS, (1 << COUNT_BITS) // COUNT_CHUNKS
 
     def count(batches):

@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import no_clash, small_batches
+from .common import TEXT_BATCH_BYTES, no_clash, small_batches
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-PIECE = 1 << 18  # characters scored at once; longer texts are summed over pieces
+PIECE = 1 << 16  # characters scored at once; longer texts are summed over pieces
 MAX_MODEL_CELLS = 1 << 23
 SCORE_CELLS = 1 << 18
 READ_ROWS = 512
@@ -110,7 +110,7 @@ def fit(docs: DataFrame, max_docs_per_lang: int = 3000) -> tuple[list[str], np.n
             at = np.flatnonzero(acc)
             yield pd.DataFrame({"lang": lang, "bucket": np.append(at, BUCKETS), "n": np.append(acc[at], docs_of[lang])})
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, TEXT_BATCH_BYTES)
     parts = training_sample(docs, max_docs_per_lang).mapInPandas(count, "lang string, bucket int, n long")
     cells = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     model = cells.toArrow()  # at most MAX_MODEL_CELLS + languages rows
@@ -153,7 +153,7 @@ def log_likelihoods(texts: list[str | None], matrix: np.ndarray) -> np.ndarray:
 def predictor(spark, model: tuple[list[str], np.ndarray]):
     """A Column function text -> struct(lang_pred, score)."""
     langs, matrix = model
-    small_batches(spark)
+    small_batches(spark, TEXT_BATCH_BYTES)
     shared = spark.sparkContext.broadcast(matrix)
     names = np.array([*langs, "und"], dtype=object)
 

@@ -23,12 +23,13 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import small_batches
+from .common import TEXT_BATCH_BYTES, small_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed: the split pattern of the byte-level vocabulary
@@ -73,7 +74,7 @@ def token_ids(text: str, enc) -> np.ndarray:
 
 def sequences(docs: DataFrame, stride: int, vocabulary: str) -> DataFrame:
     """(part, place, doc_id, seq, n_ids, ids): one row per sequence of a document."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, TEXT_BATCH_BYTES)
     raw = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def cut(batches):
@@ -135,7 +136,8 @@ def ordered(docs: DataFrame, key: str = "epoch-0", stride: int = STRIDE, vocabul
         starts[p.part] = n
         n += p.n
     spark = docs.sparkSession
-    first = spark.createDataFrame(list(starts.items()), "part int, first long")
+    # from a list, Spark would send the rows through Python workers of another kind, with a daemon of their own in each executor
+    first = spark.createDataFrame(pa.table({"part": pa.array(list(starts), pa.int32()), "first": pa.array(list(starts.values()), pa.int64())}))
 
     @F.pandas_udf("long")
     def slot(index: pd.Series) -> pd.Series:

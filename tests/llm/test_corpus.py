@@ -154,6 +154,33 @@ def test_shards_round_trip(spark, tmp_path):
     assert training_shards.materialise(df.limit(0)).count() == 0
 
 
+def test_places_of_shards_take_no_workers_of_their_own(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text number {i} " * (i % 40)) for i in range(60)], "doc_id long, text string")
+
+    def refused(*args, **more):
+        raise AssertionError("rows of a list go through Python workers of another kind")
+
+    monkeypatch.setattr(spark.sparkContext, "parallelize", refused)
+    placed, n = training_shards.ordered(docs.repartition(3), stride=16)
+    assert sorted(r.slot for r in placed.select("slot").collect()) == list(range(n)) and n > 60
+    assert training_shards.ordered(docs.limit(0))[0].collect() == []
+
+
+def test_stages_on_texts_ask_for_small_batches(spark):
+    from tagtrail.llm import common, jaccard_join, language_id
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(1, "one text and another", "en")], "doc_id long, text string, lang string")
+    old = spark.conf.get(key)
+    try:
+        for stage in (language_id.fit, lambda d: language_id.predictor(spark, ([], None)), lambda d: jaccard_join.shingle_counts(d, 2), lambda d: training_shards.sequences(d, 8, training_shards.VOCABULARY)):
+            spark.conf.set(key, f"{common.BATCH_BYTES}b")
+            stage(docs)
+            assert int(spark.conf.get(key).rstrip("b")) <= 2 << 20
+    finally:
+        spark.conf.set(key, old)
+
+
 def test_pipeline_stages_keep_columns_and_clean_documents(spark):
     import corpus_pipeline
 

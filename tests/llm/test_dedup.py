@@ -284,3 +284,25 @@ def test_embedding_doubles_keep_their_range(spark):
 
 def rows_of(v):
     return [float(x) for x in v]
+
+
+def test_bitmaps_of_a_large_group_take_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, 40 + i % 9).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for i in range(1000)]
+    sizes, bits = np.array([len(s) for s in sets]), [jaccard_join.bitmap(s) for s in sets]
+
+    def pairs():
+        return {(min(x), max(x)) for i, j in jaccard_join.bounded_pairs(sizes, bits, Fraction(3, 5)) for x in zip(i.tolist(), j.tolist())}
+
+    tracemalloc.start()
+    try:
+        n = sum(len(i) for i, _ in jaccard_join.bounded_pairs(sizes, bits, Fraction(9, 10)))
+        assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    finally:
+        tracemalloc.stop()
+    found = pairs()
+    assert len(found) > n
+    monkeypatch.setattr(jaccard_join, "PAIR_ROWS", 300)
+    assert pairs() == found

@@ -75,6 +75,21 @@ def test_long_texts_score_as_the_sum_of_their_pieces(monkeypatch):
     assert np.allclose(whole, language_id.log_likelihoods(texts, matrix), rtol=1e-4, atol=1e-2)
 
 
+def test_counting_grams_of_many_texts_takes_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    matrix = np.zeros((language_id.BUCKETS + 1, 4), np.float32)
+    texts = ["".join(chr(97 + (i * j * j + j) % 26) for j in range(1000)) for i in range(512)]
+    tracemalloc.start()
+    try:
+        assert language_id.log_likelihoods(texts, matrix).shape == (512, 4)
+        assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_quality_held_out(spark):
     out = queries.QUERIES["op3_quality_rank"](spark, SF).join(table(spark, SF, "labels"), "doc_id").where("held_out").toPandas()
     assert ((out.predicted == 1) == (out.quality == 1)).mean() > 0.95

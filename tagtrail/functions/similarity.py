@@ -7,6 +7,7 @@ rounded half to even (Python ``round``)."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,8 +38,50 @@ def indel_ratio(a: str, b: str) -> int:
     return int(round((1.0 - dist / total) * 100))
 
 
+WORD = 64  # characters of a string whose positions fit the bits of a number
+
+
+def _lcs_lengths(a: list[str], b: list[str], width: int) -> np.ndarray:
+    """``lcs_length`` of many pairs of strings of 1 to ``width`` (8, 16, ... WORD) characters at once."""
+
+    def chars(strings: list[str], pad: str) -> np.ndarray:
+        text = "".join([s.ljust(width, pad) for s in strings]).encode("utf-32-le", "surrogatepass")
+        return np.frombuffer(text, "<u4").reshape(-1, width).T.copy()
+
+    # a row for each place; what is behind the end of a string matches nothing
+    n, m = np.array([len(s) for s in a], np.uint64), np.array([len(s) for s in b])
+    x, y = chars(a, " "), chars(b, " ")
+    places = np.arange(width)[:, None]
+    x[places >= n.astype(np.int64)], y[places >= m] = 0x110000, 0x110001
+    full = np.uint64((1 << 64) - 1) >> (np.uint64(WORD) - n)
+    v = full.copy()
+    masks = np.zeros((len(a), 8), np.uint8)
+    for j in range(width):
+        masks[:, : width // 8] = np.packbits(x == y[j], axis=0, bitorder="little").T
+        u = v & masks.view("<u8")[:, 0]
+        v = ((v + u) | (v - u)) & full
+    return n.astype(np.int64) - np.bitwise_count(v).astype(np.int64)
+
+
+def indel_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """``indel_ratio`` of many pairs."""
+    size = np.array([[len(s) for s in a], [len(s) for s in b]], np.int64).reshape(2, -1)
+    out = np.empty(len(a), np.int32)
+    width = (size.max(axis=0) + 7) // 8 * 8
+    width[(size.min(axis=0) == 0) | (width > WORD)] = 0
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        some = [a[i] for i in at.tolist()], [b[i] for i in at.tolist()]
+        if w:
+            total = size[:, at].sum(axis=0)
+            out[at] = np.rint((1.0 - (total - 2 * _lcs_lengths(*some, w)) / total) * 100)
+        else:
+            out[at] = [indel_ratio(x, y) for x, y in zip(*some)]
+    return out
+
+
 def _ratio_series(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([indel_ratio(x or "", y or "") for x, y in zip(a, b)], dtype="int32")
+    return pd.Series(indel_ratios([x or "" for x in a], [x or "" for x in b]), dtype="int32")
 
 
 ratio_udf = F.pandas_udf(_ratio_series, IntegerType())

@@ -5,7 +5,8 @@ leader unless an existing leader is similar (score >= threshold); every tag
 then maps to a similar leader. Here the random order is a seeded hash
 priority, which makes the result the lexicographically-first maximal
 independent set of the similarity graph. It is computed in parallel rounds
-(a tag is decided as soon as every higher-priority neighbour is): leaders
+(a tag is decided as soon as every higher-priority neighbour is, and a round
+reads the pairs of undecided tags alone): leaders
 never depend on lower-priority tags, so the result equals the sequential
 greedy pass. A member maps to its highest-priority similar leader.
 
@@ -24,9 +25,10 @@ pigeonhole filter of PassJoin):
   * d has the parity of |a|+|b|, so tau is lowered by one where it has not;
   * small tau: two strings within tau leave one and the same string when s
     loses (tau - |r| + |s|) / 2 characters and r loses (tau + |r| - |s|) / 2.
-    Where neither loses more than one, or two or three in strings of bounded
-    length (``DELETIONS``), they join on these deletion variants instead of
-    short segments, whose candidates grow with the square of the strings.
+    Where neither loses more than one, or two to four in strings of bounded
+    length, they join on the keys of these deletion variants (``variants``)
+    instead of short segments, whose candidates grow with the square of the
+    strings.
 Tags that share one prepared string (``Red``, ``red``, ``RED!`` in mode
 ``sort``) score 100 with one another and alike with all others, so each
 distinct prepared string is one node: no pairs of equal strings are made, and
@@ -55,17 +57,18 @@ lookup of it gives the default.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import prepared, ratio_udf, set_ratio_udf
 from ..session import cut_lineage
 from .indexing import dense_index
+from .variants import DELETIONS, EPS, variant_pairs
 
-EPS = 1e-9
 SUBSET_WORDS = 5  # tags of mode 'set' of up to so many words are cut into every common part and rest
 PIECE = 3  # characters of a piece of a longer tag
-DELETIONS = {2: 24, 3: 20}  # characters lost: longest string that is joined on its variants (276 and 1140 of them)
 
 
 def _tau(f: float) -> F.Column:
@@ -75,28 +78,9 @@ def _tau(f: float) -> F.Column:
     return tau - F.pmod(total - tau, F.lit(2))
 
 
-def _without_one(c: F.Column) -> F.Column:
-    """Distinct strings that ``c``, not empty, leaves without one character."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c)))))
-
-
-def _without(c: str, lost: F.Column) -> F.Column:
-    """Distinct strings that ``c`` leaves without ``lost`` (0 to 3) characters."""
-    one = _without_one(F.col(c))
-    two = F.array_distinct(F.flatten(F.transform(one, _without_one)))
-    three = F.array_distinct(F.flatten(F.transform(two, _without_one)))
-    return F.when(lost == 0, F.array(c)).when(lost == 1, one).when(lost == 2, two).when(lost == 3, three)
-
-
-def _lost() -> tuple[F.Column, F.Column]:
-    """Characters that the shorter and the longer string of a pair lose until both are the same."""
-    d = F.col("lr") - F.col("ls")
-    return ((F.col("tau") - d) / 2).cast("int"), ((F.col("tau") + d) / 2).cast("int")
-
-
 def _by_deletion() -> F.Column:
     """Lengths whose pairs are found by deletion variants; the others by segments."""
-    lost = _lost()[1]
+    lost = ((F.col("tau") + F.col("lr") - F.col("ls")) / 2).cast("int")  # of the longer string
     return (lost <= 1) | F.coalesce(*(F.when(lost == k, F.col("lr") <= n) for k, n in DELETIONS.items()), F.lit(False))
 
 
@@ -109,40 +93,35 @@ def _segments(df: DataFrame) -> DataFrame:
 
 
 def _segment_keys(strings: DataFrame, f: float) -> tuple[DataFrame, DataFrame]:
-    """(id, key) rows of the indexed side (the shorter or equal string) and of the probe side;
-    ``strings``: (id, g, e, s), compared where ``g``, a common part of ``e`` characters, is equal."""
-    s = strings.select("id", "g", "e", "s", F.length("s").alias("n")).where(F.col("n") > 0)
-    fits = (F.col("lr") - F.col("ls") <= F.col("tau")) & (F.col("tau") >= 1)
+    """(id, own, key) rows of the indexed side (the shorter or equal string) and of the probe side, of the lengths that
+    deletion variants do not join; ``strings``: (id, g, e, s, own), compared where ``g``, a common part of ``e`` characters, is equal."""
+    s = strings.select("id", "own", "g", "e", "s", F.length("s").alias("n")).where(F.col("n") > 0)
+    others = (F.col("lr") - F.col("ls") <= F.col("tau")) & (F.col("tau") >= 1) & ~_by_deletion()
     whole_n = F.col("n") + F.col("e")
     longest = F.floor(whole_n * (1 + f) / (1 - f) + EPS).cast("int") - F.col("e")
     shortest = F.greatest(F.ceil(whole_n * (1 - f) / (1 + f) - EPS).cast("int") - F.col("e"), F.lit(1))
-    idx = s.select("id", "g", "e", "s", F.col("n").alias("ls"), F.explode(F.sequence("n", longest)).alias("lr")).withColumn("tau", _tau(f)).where(fits)
-    probe = s.select("id", "g", "e", "s", F.col("n").alias("lr"), F.explode(F.sequence(shortest, F.col("n"))).alias("ls")).withColumn("tau", _tau(f)).where(fits)
+    idx = s.select("id", "own", "g", "e", "s", F.col("n").alias("ls"), F.explode(F.sequence("n", longest)).alias("lr")).withColumn("tau", _tau(f)).where(others)
+    probe = s.select("id", "own", "g", "e", "s", F.col("n").alias("lr"), F.explode(F.sequence(shortest, F.col("n"))).alias("ls")).withColumn("tau", _tau(f)).where(others)
 
     def key(i, text):
         return F.struct("g", "ls", "lr", i.cast("int").alias("i"), text.alias("seg")).alias("key")
 
-    whole, short = F.lit(-1), F.lit(-2)
-    idx_del, probe_del = (
-        d.where(_by_deletion()).select("id", "g", "ls", "lr", F.explode(_without("s", lost)).alias("v")).select("id", key(whole, F.col("v")))
-        for d, lost in zip((idx, probe), _lost()))
     # a string of no more than tau characters has no tau + 1 segments
-    few = ~_by_deletion() & (F.col("ls") <= F.col("tau"))
-    idx_few, probe_few = (d.where(few).select("id", key(short, F.lit(""))) for d in (idx, probe))
-    cut = ~_by_deletion() & (F.col("ls") > F.col("tau"))
-    idx_seg = _segments(idx.where(cut)).select("id", key(F.col("i"), F.substring("s", F.col("p") + 1, F.col("len"))))
+    few = F.col("ls") <= F.col("tau")
+    idx_few, probe_few = (d.where(few).select("id", "own", key(F.lit(-2), F.lit(""))) for d in (idx, probe))
+    idx_seg = _segments(idx.where(~few)).select("id", "own", key(F.col("i"), F.substring("s", F.col("p") + 1, F.col("len"))))
     places = F.sequence(F.greatest(F.col("p") - F.col("tau"), F.lit(0)), F.least(F.col("p") + F.col("tau"), F.col("lr") - F.col("len")))
-    probe_seg = _segments(probe.where(cut)).select("*", F.explode(places).alias("q")).select(
-        "id", key(F.col("i"), F.substring("s", F.col("q") + 1, F.col("len"))))
-    return idx_del.unionByName(idx_few).unionByName(idx_seg), probe_del.unionByName(probe_few).unionByName(probe_seg)
+    probe_seg = _segments(probe.where(~few)).select("*", F.explode(places).alias("q")).select(
+        "id", "own", key(F.col("i"), F.substring("s", F.col("q") + 1, F.col("len"))))
+    return idx_few.unionByName(idx_seg), probe_few.unionByName(probe_seg)
 
 
 def _common_and_rest(strings: DataFrame) -> DataFrame:
     """Every cut of a tag of 2 to SUBSET_WORDS words into common words ``g`` and a rest ``s``, neither of them empty."""
-    d = strings.select("id", F.split("s", " ").alias("ws")).withColumn("k", F.size("ws")).where(F.col("k").between(2, SUBSET_WORDS))
-    d = d.select("id", "ws", F.explode(F.expr("sequence(1, shiftleft(1, k) - 2)")).alias("m"))
-    d = d.select("id", F.expr("array_join(filter(ws, (w, i) -> getbit(m, i) = 1), ' ')").alias("g"), F.expr("array_join(filter(ws, (w, i) -> getbit(m, i) = 0), ' ')").alias("s"))
-    return d.select("id", "g", (F.length("g") + 1).alias("e"), "s")
+    d = strings.select("id", "own", F.split("s", " ").alias("ws")).withColumn("k", F.size("ws")).where(F.col("k").between(2, SUBSET_WORDS))
+    d = d.select("id", "own", "ws", F.explode(F.expr("sequence(1, shiftleft(1, k) - 2)")).alias("m"))
+    d = d.select("id", "own", F.expr("array_join(filter(ws, (w, i) -> getbit(m, i) = 1), ' ')").alias("g"), F.expr("array_join(filter(ws, (w, i) -> getbit(m, i) = 0), ' ')").alias("s"))
+    return d.select("id", "g", (F.length("g") + 1).alias("e"), "s", "own")
 
 
 def _rare_word_pairs(strings: DataFrame, f: float) -> DataFrame:
@@ -182,15 +161,25 @@ def _piece_pairs(index: DataFrame, probe: DataFrame, f: float) -> DataFrame:
 
 def candidate_pairs(strings: DataFrame, threshold: int, mode: str = "simple") -> DataFrame:
     """Pairs (a, b), a < b, that may score >= threshold: a lossless superset
-    of the similar pairs. ``strings``: (id, s)."""
+    of the similar pairs. ``strings``: (id, s), with a column ``own`` only
+    pairs with a row where it is true need be among them."""
     f = (100.0 - threshold + 0.5) / 100.0
-    parts = strings.select("id", F.lit("").alias("g"), F.lit(0).alias("e"), "s")
-    idx_keys, pr_keys = _segment_keys(parts.unionByName(_common_and_rest(strings)) if mode == "set" else parts, f)
-    pairs = idx_keys.withColumnRenamed("id", "x").join(pr_keys.withColumnRenamed("id", "y"), "key").select("x", "y")
+    asked = "own" in strings.columns
+    strings = strings.select("id", "s", F.col("own") if asked else F.lit(False).alias("own"))
+    parts = strings.select("id", F.lit("").alias("g"), F.lit(0).alias("e"), "s", "own")
+    parts = parts.unionByName(_common_and_rest(strings)) if mode == "set" else parts
+    idx_keys, pr_keys = _segment_keys(parts, f)
+    idx_keys, pr_keys = idx_keys.select(F.col("id").alias("x"), F.col("own").alias("ox"), "key"), pr_keys.select(F.col("id").alias("y"), F.col("own").alias("oy"), "key")
+    if asked:
+        found = idx_keys.where("ox").join(pr_keys, "key").unionByName(idx_keys.where("NOT ox").join(pr_keys.where("oy"), "key"))
+    else:
+        found = idx_keys.join(pr_keys, "key")
+    pairs = found.select("x", "y")
     if mode == "set":
         many = strings.where(F.size(F.split("s", " ")) > SUBSET_WORDS)
         pairs = pairs.unionByName(_rare_word_pairs(strings, f)).unionByName(_piece_pairs(strings, many, f)).unionByName(_piece_pairs(many, strings, f))
-    return pairs.where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = pairs.where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return pairs.unionByName(variant_pairs(parts, f, asked)).repartition("a").distinct()  # dealt as the join with the strings needs them
 
 
 def similar_pairs(strings: DataFrame, threshold: int, mode: str = "simple") -> DataFrame:
@@ -227,35 +216,23 @@ def canonical_tags(tags: DataFrame, threshold: int = 90, mode: str = "simple", s
     nodes, every = _nodes(tags, mode, seed)
     strings = nodes.select("id", "s")
     edges = cut_lineage(similar_pairs(strings, threshold, mode).select(F.col("a").alias("hi"), F.col("b").alias("lo")), "fuzzy_edges")
-    # only tags with a similar partner need rounds; isolated tags lead
-    linked = edges.select(F.col("hi").alias("id")).union(edges.select(F.col("lo").alias("id"))).distinct()
-    state = cut_lineage(linked.select("id", F.lit("U").alias("st")), "fuzzy_state")
+    # pairs of undecided nodes: a node without one above it leads, those below a leader are members
+    left, members = edges, []
     for _ in range(max_rounds):
-        undecided = state.where(F.col("st") == "U")
-        hs = state.select(F.col("id").alias("hi"), F.col("st").alias("hs"))
-        agg = edges.join(undecided.select(F.col("id").alias("lo")), "lo").join(hs, "hi").groupBy("lo").agg(
-            F.max((F.col("hs") == "L").cast("int")).alias("any_l"), F.max((F.col("hs") == "U").cast("int")).alias("any_u")
-        )
-        nxt = state.join(agg, state.id == agg.lo, "left").select(
-            "id",
-            F.when(F.col("st") != "U", F.col("st"))
-            .when(F.col("any_l") == 1, "M")
-            .when(F.col("any_u") == 1, "U")
-            .otherwise("L").alias("st"),
-        )
-        state = cut_lineage(nxt, "fuzzy_state")
-        if state.where(F.col("st") == "U").limit(1).count() == 0:
+        led = left.join(left.select(F.col("lo").alias("hi")).distinct(), "hi", "left_anti")
+        members.append(cut_lineage(led.select("lo").distinct(), "fuzzy_members"))
+        left = left.join(members[-1], "lo", "left_anti").join(members[-1].select(F.col("lo").alias("hi")), "hi", "left_anti")
+        left = cut_lineage(left, "fuzzy_left")
+        if left.isEmpty():
             break
     else:
         raise RuntimeError(f"leaders were not decided in {max_rounds} rounds")
-    state = nodes.select("id").join(state, "id", "left").select("id", F.coalesce("st", F.lit("L")).alias("st"))
-    leaders = state.where(F.col("st") == "L").select(F.col("id").alias("lid"))
-    both = edges.select(F.col("hi").alias("m"), F.col("lo").alias("lid")).unionByName(edges.select(F.col("lo").alias("m"), F.col("hi").alias("lid")))
-    best = both.join(leaders, "lid").groupBy("m").agg(F.min("lid").alias("lid"))  # highest-priority similar leader
-    names = nodes.select("id", "tag")
+    # a member was led by a node above it, so its highest-priority similar leader is above it
+    below = reduce(DataFrame.unionByName, members).select(F.col("lo").alias("hi"))
+    best = edges.join(below, "hi", "left_anti").groupBy("lo").agg(F.min("hi").alias("lid"))
     # a leading node is led by its first tag, its other tags are members of it
-    led = state.join(best, state.id == best.m, "left").select("id", F.coalesce(F.when(F.col("st") == "L", F.col("id")), F.col("lid")).alias("lid"))
-    led = led.join(nodes.select("id", "s"), "id").join(names.select(F.col("id").alias("lid"), F.col("tag").alias("leader")), "lid")
+    led = nodes.select("id", "s").join(best, F.col("id") == F.col("lo"), "left").select("s", F.coalesce("lid", "id").alias("lid"))
+    led = led.join(nodes.select(F.col("id").alias("lid"), F.col("tag").alias("leader")), "lid")
     out = every.join(led.select("s", "leader"), "s").select("tag", "leader")
     if mode == "set":
         out = out.unionByName(every.where("s = ''").select("tag", F.col("tag").alias("leader")))

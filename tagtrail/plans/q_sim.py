@@ -21,7 +21,8 @@ CONFIGS = [{"temperature": 2.0, "top_p": 0.3}, {"temperature": 1.0, "top_p": 0.9
 
 
 def _doc_tokens(spark, sf):
-    return fx.tag_docs(spark, sf).select(F.explode("tokens").alias("tag"))
+    docs = fx.spread(fx.read_table(spark, sf, "documents"), "doc_id", "text")
+    return fx.tag_docs_from(docs).select(F.explode("tokens").alias("tag"))
 
 
 def _mapping(spark, sf):

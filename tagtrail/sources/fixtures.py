@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read_table  # noqa: F401  (re-exported)
+from .tables import read_table, spread  # noqa: F401  (re-exported)
 
 EPOCH_2024_US = 1704067200000000
 WEEK_US = 7 * 86400 * 1000000
@@ -140,10 +140,15 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tag_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fx_tag_docs: documents as lower-cased whitespace tokens (a larger corpus)."""
-    return read_table(spark, sf_dir, "documents").select(
+    return tag_docs_from(read_table(spark, sf_dir, "documents"))
+
+
+def tag_docs_from(documents: DataFrame) -> DataFrame:
+    """fx_tag_docs over any documents DataFrame."""
+    return documents.select(
         F.col("doc_id"),
         F.col("lang"),
-        F.expr(r"filter(split(lower(text), '\\s+'), t -> t <> '')").alias("tokens"),
+        F.expr(r"array_remove(split(lower(text), '\\s+'), '')").alias("tokens"),
     )
 
 

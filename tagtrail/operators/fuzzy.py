@@ -256,11 +256,14 @@ def lookup(queries: DataFrame, mapping: DataFrame, threshold: int = 90, mode: st
     leaders = mapping.where("is_leader").select(F.col("tag").alias("t"), F.lit(1).alias("ld"), F.lit(0).alias("qy"))
     q = queries.select(F.col("query").alias("t"), F.lit(0).alias("ld"), F.lit(1).alias("qy")).where(F.col("t").isNotNull())
     sides = leaders.unionByName(q).groupBy("t").agg(F.max("ld").alias("ld"), F.max("qy").alias("qy")).withColumnRenamed("t", "tag")
+    sides = cut_lineage(sides, "fuzzy_sides")  # the mapping is read once
     nodes, every = _nodes(sides, mode, seed)
     sides = every.join(sides, "tag").join(nodes.select("id", "s"), "s", "left").select("id", "tag", "h", "ld", "qy")
     # nodes without a query or without a leader need no partner of their kind
     has = sides.where("id IS NOT NULL").groupBy("id").agg(F.min(F.when(F.col("ld") == 1, F.struct("h", "tag"))).alias("lead"), F.max("qy").alias("qy"))
-    pairs = similar_pairs(nodes.select("id", "s"), threshold, mode)
+    has = cut_lineage(has, "fuzzy_has")
+    asked = nodes.join(has.select("id", (F.col("qy") == 1).alias("own")), "id").select("id", "s", "own")
+    pairs = cut_lineage(similar_pairs(cut_lineage(asked, "fuzzy_asked"), threshold, mode), "fuzzy_pairs")
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("lid")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("lid")))
     both = both.join(has.where(F.col("qy") == 1).select("id"), "id", "left_semi")
     lead = has.where(F.col("lead").isNotNull()).select(F.col("id").alias("lid"), "lead")

@@ -16,11 +16,12 @@ import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..session import cut_lineage
+from .tagquery import cell_arrays, join_lists
 
 BLOCKS = 16  # blocks of a long posting list
 BLOCK_POSTINGS = 256  # a list up to this length is one block
@@ -130,12 +131,14 @@ def salted_postings(index: BM25Index, terms: DataFrame) -> DataFrame:
 
 
 def score(index: BM25Index, query: DataFrame, key: str = "order_id", doc_alias: str = "doc_id", hot: int = HOT_POSTINGS,
-          qty: Sequence[str] = ("qty",), into: Sequence[str] = ("score",)) -> DataFrame:
+          qty: Sequence[str] = ("qty",), into: Sequence[str] = ("score",), cells: int | None = None) -> DataFrame:
     """(key, doc, score) for every document sharing a term with the query;
     query terms count with multiplicity. Postings of a hot term are spread over
     salts and its query rows copied to each, whatever the planner's skew settings.
     Several columns ``qty`` of quantities are scored in one join, each ``into``
-    its column, null where that query shares no term with the document."""
+    its column, null where that query shares no term with the document. With
+    ``cells`` quantities, weights (see ``in_cells``) and scores are arrays of so
+    many, an entry for each index of a grid; these scores are not rounded yet."""
     g = index.group
     terms = cut_lineage(salted_terms(index, hot), "bm25-hot")
     asked, postings, on = query.select(*g, key, "term", *qty), index.postings.select(*g, "term", "doc_id", "w"), [*g, "term"]
@@ -143,11 +146,23 @@ def score(index: BM25Index, query: DataFrame, key: str = "order_id", doc_alias:
         asked = asked.join(F.broadcast(terms), on, "left")
         asked = asked.select(*g, key, "term", *qty, F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1)).alias("_salt"))
         postings, on = salted_postings(index, terms), [*on, "_salt"]
-    j = asked.join(postings, on)
-    s = j.groupBy(*g, key, "doc_id").agg(*[F.round(F.sum(F.col(q) * F.col("w")), SCORE_DIGITS).alias(i) for q, i in zip(qty, into, strict=True)])
+    j = asked.join(postings, on) if cells is None else join_lists(asked, postings, on, ["doc_id", "w"])
+
+    def scores(q: str) -> Column:
+        if cells is None:
+            return F.round(F.sum(F.col(q) * F.col("w")), SCORE_DIGITS)
+        return F.array(*[F.sum(F.get(q, F.lit(i)) * F.get("w", F.lit(i))) for i in range(cells)])
+
+    s = j.groupBy(*g, key, "doc_id").agg(*[scores(q).alias(i) for q, i in zip(qty, into, strict=True)])
     return s.withColumnRenamed("doc_id", doc_alias)
 
 
+def in_cells(index: BM25Index, cells: Sequence[str]) -> BM25Index:
+    """The postings of an index with ``cell`` as its group as one index whose weights are arrays, an entry for each cell
+    (null where a cell's index lacks the posting). It scores alone: it has no terms, documents or stats."""
+    return BM25Index(cell_arrays(index.postings, ["term", "doc_id"], "w", cells), *(None,) * 3, index.k1, index.b, index.alpha, [])
+
+
 def top_n(scores: DataFrame, n: int = 5, key: str = "query_id", doc_col: str = "doc_id") -> DataFrame:
     """Best n documents per query (score desc, then doc id)."""
     w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col(doc_col))

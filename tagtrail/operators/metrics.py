@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..session import cut_lineage
+from .bm25 import SCORE_DIGITS
 from .scoring import hash_fill
 
 
@@ -109,12 +110,19 @@ def config_metrics(
 
     Orders meet their truth by ``key`` alone and only hits go on, so where both
     sides come partitioned by ``key`` no ranked row is shuffled. An order
-    without a hit adds zeros: it is in the group's count alone."""
+    without a hit adds zeros: it is in the group's count alone.
+
+    If ``configs`` has a column ``at``, ``scores`` are (key, pid, scores): arrays
+    in which a configuration's score is at that place (see ``hits_in_cells``)."""
     ks = _ks(ks)
-    names, given, groups = metric_names(ks), configs.columns, list(group_cols)
+    names, given, groups = metric_names(ks), [c for c in configs.columns if c != "at"], list(group_cols)
     t = _truth_sets(truth, key, groups)
-    ranked = rank_scores(scores, max(ks), key, configs=given)
-    hits = ranked.select(*given, key, "pid", "rank").join(t, key).where(F.array_contains("_truth", F.col("pid")))
+    if "at" in configs.columns:
+        hits = hits_in_cells(scores, t, configs.count(), max(ks), key).join(F.broadcast(configs), "at")
+        configs = configs.drop("at")
+    else:
+        ranked = rank_scores(scores, max(ks), key, configs=given)
+        hits = ranked.select(*given, key, "pid", "rank").join(t, key).where(F.array_contains("_truth", F.col("pid")))
     per = hits.groupBy(*given, key).agg(*[F.any_value(g).alias(g) for g in groups], *_hit_sums(ks))
     per = per.select(*given, *groups, F.lit(0).cast("bigint").alias("n_orders"), *_metric_columns(ks))
     orders = t.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_orders")).crossJoin(F.broadcast(configs))
@@ -123,6 +131,29 @@ def config_metrics(
     return sums.select(*given, *groups, "n_orders", *[F.round(F.col(f"`{n}`") / F.col("n_orders"), digits).alias(n) for n in names])
 
 
+def hits_in_cells(scores: DataFrame, truth: DataFrame, cells: int, k_max: int, key: str) -> DataFrame:
+    """(key, pid, at, rank) and the columns of ``truth`` (key, ..., _truth) of the true products among the best
+    ``k_max`` by the ``at``-th of the ``cells`` scores of an order: ranked as ``rank_scores`` does, but counted. A true
+    product's rank is one more than the number of products before it, so no order is sorted once for each cell.
+    Scores are compared as rounded to SCORE_DIGITS, and rounded only where that may decide."""
+    own = F.struct("pid", "scores")
+    true = F.collect_list(F.when(F.array_contains("_truth", F.col("pid")), own)).over(Window.partitionBy(key))
+    rows = scores.select(key, "pid", "scores").join(truth.select(key, "_truth"), key).withColumn("_t", true)
+    rows = rows.select(key, "pid", "scores", F.explode("_t").alias("_t"))
+    close = 2 * 10.0**-SCORE_DIGITS
+
+    def before(i: int) -> Column:
+        mine, its = F.get("scores", F.lit(i)), F.get("_t.scores", F.lit(i))
+        near = F.round(mine, SCORE_DIGITS), F.round(its, SCORE_DIGITS)
+        tied = (near[0] == near[1]) & (F.col("pid") < F.col("_t.pid"))
+        first = F.when(its.isNull(), None).when(mine - its > close, 1).when(its - mine > close, 0).when(near[0] > near[1], 1).when(tied, 1).otherwise(0)
+        return F.sum(first)
+
+    ranks = rows.groupBy(key, F.col("_t.pid").alias("pid")).agg(F.array(*[before(i) + 1 for i in range(cells)]).alias("_r"))
+    ranks = ranks.select(key, "pid", F.posexplode("_r").alias("at", "rank")).where(F.col("rank") <= k_max)
+    return ranks.join(truth, key)
+
+
 def per_row_metrics_list(df: DataFrame, ranked_col: str, truth_col: str, ks: int | Sequence[int] | None = None) -> DataFrame:
     """List form: per-row metrics from a ranked ARRAY and a truth ARRAY."""
     ks = _ks(ks)

@@ -72,27 +72,64 @@ def build_query(
     return q.select(*ks, "term", F.col("qty").cast("bigint").alias("qty"))
 
 
-def build_queries(
-    seqs: DataFrame, tags: DataFrame, query_fns: Sequence[str], key: str = "order_id", seq_col: str = "prefix",
-    bow: Callable[[Column], Column] | None = None, group: list[str] | None = None,
-) -> DataFrame:
-    """``build_query`` for several query functions on one pass over the sequences: one row (key, term) with a column
-    of quantities by the name of each function, null where its query lacks the term."""
-    ks = list(group or []) + [key]
-    cnt = F.col("cnt")
+def _quantities(cnt: Column, query_fns: Sequence[str]) -> list[Column]:
+    """Per query function the quantity of a term from its counts ``cnt`` at the positions of a sequence (null: not there)."""
     qty = {
         "union": F.max(cnt),
         "sum": F.sum(cnt),
         "concat": F.sum(cnt),
-        "intersection": F.when(F.count(F.lit(1)) == F.any_value("n_pos"), F.min(cnt)),
+        "intersection": F.when(F.count(cnt) == F.any_value("n_pos"), F.min(cnt)),
         "recency": F.sum(cnt * (F.col("pos") + 1)),
         "last": F.sum(F.when(F.col("pos") == F.col("n_pos") - 1, cnt)),
     }
     unknown = [f for f in query_fns if f not in qty]
     if unknown:
         raise ValueError(f"unknown query_fn {unknown[0]!r}")
+    return [qty[f].cast("bigint") for f in query_fns]
+
+
+def build_queries(
+    seqs: DataFrame, tags: DataFrame, query_fns: Sequence[str], key: str = "order_id", seq_col: str = "prefix",
+    bow: Callable[[Column], Column] | None = None, group: list[str] | None = None, cells: Sequence[str] | None = None,
+) -> DataFrame:
+    """``build_query`` for several query functions on one pass over the sequences: one row (key, term) with a column
+    of quantities by the name of each function, null where its query lacks the term.
+
+    With ``cells`` (the values of a column ``cell`` of ``tags``) the sequences are not copied to the cells: a column
+    holds an array, whose i-th quantity is that of the i-th cell."""
+    if cells is not None:
+        return _cell_queries(seqs, tags, query_fns, key, seq_col, bow, cells)
+    ks = list(group or []) + [key]
+    qty = _quantities(F.col("cnt"), query_fns)
     counts = _term_counts(seq_tags_long(seqs, tags, key, seq_col, group), ks, bow)
-    return counts.groupBy(*ks, "term").agg(*[qty[f].cast("bigint").alias(f) for f in query_fns])
+    return counts.groupBy(*ks, "term").agg(*[q.alias(f) for q, f in zip(qty, query_fns)])
+
+
+def _cell_queries(seqs: DataFrame, tags: DataFrame, query_fns: Sequence[str], key: str, seq_col: str, bow: Callable[[Column], Column] | None, cells: Sequence[str]) -> DataFrame:
+    at = range(len(cells))
+    lists = tags.groupBy("cell", "pid").agg(F.min("tags").alias("tags"))
+    terms = lists.select("cell", "pid", F.explode(bow(F.col("tags")) if bow is not None else "tags").alias("term")).where("pid IS NOT NULL AND term IS NOT NULL")
+    counted = terms.groupBy("cell", "pid", "term").agg(F.count(F.lit(1)).alias("n"))
+    counted = cell_arrays(counted, ["pid", "term"], "n", cells)
+    places = seqs.select(key, F.size(seq_col).alias("n_pos"), F.posexplode(seq_col).alias("pos", "pid"))
+    ex = join_lists(places, counted, ["pid"], ["term", "n"])
+    per = ex.groupBy(key, "pos", "term").agg(F.any_value("n_pos").alias("n_pos"), *[F.sum(F.get("n", F.lit(i))).alias(f"_c{i}") for i in at])
+    qty = [_quantities(F.col(f"_c{i}"), query_fns) for i in at]
+    return per.groupBy(key, "term").agg(*[F.array(*[qty[i][j] for i in at]).alias(f) for j, f in enumerate(query_fns)])
+
+
+def cell_arrays(rows: DataFrame, by: Sequence[str], value: str, cells: Sequence[str]) -> DataFrame:
+    """One row for each value of ``by``, with an array of ``value``: its i-th entry is that of the i-th cell, or null."""
+    return rows.groupBy(*by).agg(F.array(*[F.max(F.when(F.col("cell") == c, F.col(value))) for c in cells]).alias(value))
+
+
+def join_lists(rows: DataFrame, found: DataFrame, on: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``rows`` with ``columns`` of the rows of ``found`` that are equal in ``on``, an inner join through one list for each
+    key. Whatever the planner takes ``rows`` for, it never broadcasts them, which would lose how they are partitioned."""
+    lists = found.groupBy(*on).agg(F.collect_list(F.struct(*columns)).alias("_found"))
+    none = F.array().cast(lists.schema["_found"].dataType)
+    j = rows.join(lists, list(on), "left").select(*rows.columns, F.explode(F.coalesce("_found", none)).alias("_f"))
+    return j.select(*rows.columns, *[F.col(f"_f.{c}") for c in columns])
 
 
 def custom_query(seqs: DataFrame, tags: DataFrame, fn: Callable[[Column], Column], key: str = "order_id", seq_col: str = "prefix") -> DataFrame:

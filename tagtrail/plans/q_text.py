@@ -185,8 +185,12 @@ def q_eval_grid(spark: SparkSession, sf: str) -> DataFrame:
     evaluated in one job. The cells are a small literal table; one index with
     the cell as its group serves all query functions.
 
-    The sequences are shuffled once, by order and before they are copied to the
-    cells, into partitions that hold about GRID_ROWS scores each: an order's
+    A sequence is not copied to the cells: the counts of a product's terms, the
+    weights of a posting and the scores of a product are arrays with an entry
+    for each cell, so terms are joined and added up once. A target's rank is
+    counted, not sorted for.
+
+    The sequences are shuffled once, by order, into partitions that hold about GRID_ROWS scores each: an order's
     queries, scores, ranks and hits stay in its partition, and what leaves it
     are the sums of its hits."""
     cells = F.broadcast(grid_frame(spark))
@@ -199,14 +203,16 @@ def q_eval_grid(spark: SparkSession, sf: str) -> DataFrame:
         "cell", "pid", F.concat(F.slice("_t", 1, F.col("max_len")), F.array_repeat(F.col("pid").cast("string"), F.col("n_pid"))).alias("tags"))
     tags = cut_lineage(tags, "grid_tags")  # read by the index and by the queries
     n = n.repartition(grid_partitions(spark, n.count(), tags.count()), "order")
-    asked = tagquery.build_queries(n.crossJoin(cells.select("cell")), tags, GRID_QUERY, "order", group=["cell"])
+    names = [r.cell for r in cells.collect()]  # the literal table's
+    asked = tagquery.build_queries(n, tags, GRID_QUERY, "order", cells=names)
     idx = bm25.build_index(tags, "pid", "tags", k1=0.75, alpha=1.0, group=["cell"])
+    idx = bm25.in_cells(idx, names)
     idx = replace(idx, postings=cut_lineage(idx.postings, "grid_postings"))  # written, the planner sees their bytes
-    wide = bm25.score(idx, asked, "order", doc_alias="pid", qty=GRID_QUERY, into=GRID_QUERY)
-    by_fn = F.explode(F.array(*[F.struct(F.lit(q).alias("qf"), F.col(q).alias("score")) for q in GRID_QUERY])).alias("s")
-    scores = wide.select("cell", "order", "pid", by_fn).select("cell", "s.qf", "order", "pid", "s.score").where("score IS NOT NULL")
+    found = bm25.score(idx, asked, "order", doc_alias="pid", qty=GRID_QUERY, into=GRID_QUERY, cells=len(names))
+    scores = found.select("order", "pid", F.concat(*GRID_QUERY).alias("scores"))
     truth = n.select("order", "split", F.col("target").alias("pid"))
-    configs = grid_frame(spark).select("cell", F.explode(F.array(*map(F.lit, GRID_QUERY))).alias("qf"))
+    places = [(q, c, i) for i, (q, c) in enumerate((q, c) for q in GRID_QUERY for c in names)]
+    configs = spark.createDataFrame(places, "qf string, cell string, at int")
     out = M.ranking_metrics(scores, truth, (5, 10, 20), "order", ["split"], configs=configs)
     return out.select(F.concat_ws("_", "qf", "cell").alias("config_id"), *out.columns[2:])
 
